@@ -1,12 +1,72 @@
-"""From raw documents to packed sequences: the stages in order."""
+"""From raw documents to packed sequences: the stages in order.
+
+Each stage takes what its predecessor kept. All but the last return the columns of
+documents: toxic documents go; one document of each near-duplicate class stays;
+strings of ``REPEAT_BYTES`` bytes that occur more than once stay where they occur
+first; documents are repeated or cut as the mix of sources takes them; the last
+stage packs token sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from postquill.llm import mixing, neardup, packing, suffixes, toxicity
 from postquill.session import materialise, table
 
-STAGES: list = []
+#: About 35 words: passages of over 50 words are caught in any of the languages.
+REPEAT_BYTES = 200
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, tuple(docs.columns))
+    return scored.where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without an id stay unless their text repeats; repeated rows count once."""
+    classes = neardup.near_duplicate_classes(docs)
+    kept = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])).select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document of which nothing is left goes; lengths are counted anew."""
+    cut = suffixes.remove_repeats(docs, REPEAT_BYTES, keep_first=True, digest=False)
+    cut = cut.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document is repeated as often as it is taken whole; of the rest its first words."""
+    mixed = mixing.mix(docs, keep=tuple(docs.columns), cut=False)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
+    takes = F.concat(F.array_repeat(F.lit(-1).cast("long"), times), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    taken = mixed.withColumn("__take", F.explode(takes))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), 1, F.greatest(F.col("__take"), F.lit(0)).cast("int")), "")
+    taken = taken.withColumn("text", F.when(F.col("__take") < 0, F.col("text")).otherwise(first))
+    return taken.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("repeated_passages", drop_repeats),
+    ("source_mix", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Stages 1 to 3 and 5 have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
 
 

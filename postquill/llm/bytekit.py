@@ -135,3 +135,44 @@ def words(buf: np.ndarray, offsets: np.ndarray, longest: int = 0) -> tuple[np.nd
         start = start[which] + nth * longest
         end = np.minimum(start + longest, end[which])
     return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+class HashIndex:
+    """Row numbers of distinct 64-bit keys: open addressing, all in numpy.
+
+    ``keys`` may be exact values or hashes; they are mixed before they choose a slot.
+    """
+
+    def __init__(self, keys: np.ndarray, load: float = 0.3) -> None:
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) / load))))
+        size = 1 << self.bits
+        self.keys = np.zeros(size, U64)
+        self.rows = np.full(size, -1, np.int32)
+        slot = self._slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            _, first = np.unique(slot[left], return_index=True)
+            first = left[first]
+            free = first[self.rows[slot[first]] < 0]
+            self.keys[slot[free]] = keys[free]
+            self.rows[slot[free]] = free
+            done = np.zeros(len(keys), bool)
+            done[free] = True
+            left = left[~done[left]]
+            slot[left] = (slot[left] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where there is none."""
+        slot = self._slot(keys)
+        out = self.rows[slot]
+        active = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        while len(active):
+            slot_ = (slot[active] + 1) & (len(self.rows) - 1)
+            slot[active] = slot_
+            row = self.rows[slot_]
+            out[active] = row
+            active = active[(row >= 0) & (self.keys[slot_] != keys[active])]
+        return out

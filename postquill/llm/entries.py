@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, topk
+from . import fingerprints, importance, language, mixing, neardup, packing, suffixes, topk, toxicity, urls
 
 QUERIES = {
+    "op1_importance_resampling": importance.op1_importance_resampling,
+    "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_impact_search": topk.op3_impact_search,
+    "op4_order_minhash": fingerprints.op4_order_minhash,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_language": language.op6_language,
+    "op7_suffix_repeats": suffixes.op7_suffix_repeats,
+    "op8_url_templates": urls.op8_url_templates,
     "op9_pack_sequences": packing.op9_pack_sequences,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
