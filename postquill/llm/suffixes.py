@@ -12,15 +12,18 @@ stops at that depth:
    fingerprinted together - and names are sorted in ranges over all machines.
 2. Recurse on names. A name that occurs once is settled and dropped; the suffixes
    up to ``v`` bytes before a repeated name are the only ones left.
-3. Merge the remaining suffixes, sampled and not: each is named at full depth
-   and takes its place among the others.
+3. Merge the remaining suffixes, sampled and not. Neighbouring ones that share the
+   same smallest 32-gram in their first ``length`` bytes form a run; equal runs
+   take one place together, and of each distinct run one copy goes on, every
+   suffix of it named at full depth and sorted in among the others.
 4. Compare adjacent prefixes: equal neighbours in the sorted ranges are repeats.
 
-Names are 64-bit fingerprints in step 1, where a collision only costs work, and
-96-bit ones in steps 3 and 4. What moves between machines is, per slice of about
-4 MB of text, a block of names for every range and a bit for every name back.
-Names that a slice holds more than once are sent once, so a passage shared by any
-number of documents costs one name per slice.
+Names are 64-bit fingerprints in step 1, where a collision only costs work, 128-bit
+ones for runs and 96-bit ones for suffixes at full depth. What moves between
+machines is, per slice of about 4 MB of text, a block of names for every range and
+two bits for every name back. Names that a slice holds more than once are sent
+once, so a passage shared by any number of documents costs one name per slice, and
+no range grows with the size of a group of copies.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing
 unless covered from within; repeated rows repeat each other's bytes; extra columns
@@ -40,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..session import discard, materialise, table
+from ..session import discard, materialise, release, table
 from .bytekit import SLICE_BYTES, U64, buffers, prefix_hash, slices, span_hash
 
 LENGTH = 400
@@ -65,7 +68,7 @@ def difference_cover(most: int) -> tuple[int, np.ndarray]:
         while len(s) < v:
             s.append((a * s[-1] + b * s[-2] + c * s[-3]) % q)
         zeros = np.flatnonzero(np.array(s) == 0)
-        if len({int(x - y) % v for x in zeros for y in zeros}) == v:
+        if len(zeros) == q + 1 and len({int(x - y) % v for x in zeros for y in zeros}) == v:
             return v, zeros
     raise AssertionError("every prime order has such a recurrence")
 
@@ -149,11 +152,21 @@ class Depths:
 NAMED = "range int, slice long, names binary"
 
 
+def _columns(values: np.ndarray) -> bytes:
+    """Numbers with their bytes regrouped by place: sorted ones compress well so."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _values(data: memoryview, kind: str, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width).reshape(width, n).T).reshape(-1).view(kind)
+
+
 def _named_rows(slice_: int, names: np.ndarray, checks: np.ndarray | None, bits: int) -> pa.RecordBatch:
     ranges, blobs = [], []
     for r, part in by_range(names, bits):
         ranges.append(r)
-        blobs.append(names[part].tobytes() + (b"" if checks is None else checks[part].tobytes()))
+        blobs.append(_columns(names[part]) + (b"" if checks is None else _columns(checks[part])))
     return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array([slice_] * len(ranges), pa.int64()), pa.array(blobs, pa.binary())], names=["range", "slice", "names"])
 
 
@@ -171,52 +184,50 @@ def _name_samples(depths: Depths, bits: int):
 FOUND = "slice long, range int, hits binary"
 
 
-def _adjacent(width: int, keep_first: bool):
-    """Sorts a range and marks names that occur in several slices: a bit for each name
-    of each slice. With ``keep_first`` the first slice's own is not marked."""
+def _adjacent(check: str):
+    """Sorts a range and marks the names that occur in several slices: two bits for each
+    name of a slice, whether it occurs elsewhere and whether in an earlier slice.
+    ``check`` is the type of the second half of a name, empty without one."""
+    width = 8 + (np.dtype(check).itemsize if check else 0)
 
     def run(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("slice").to_numpy(), kind="stable")
+        slice_ids = group.column("slice").to_numpy()
+        order = np.argsort(slice_ids, kind="stable")
         rows = [group.column("names")[int(i)].as_py() for i in order]
-        names, checks, sizes = [], [], []
-        for row in rows:
-            n = len(row) // width
-            names.append(np.frombuffer(row, "<u8", n))
-            checks.append(np.frombuffer(row, "<u4", n, 8 * n) if width == 12 else np.zeros(0, np.uint32))
-            sizes.append(n)
-        name = np.concatenate(names)
+        sizes = [len(row) // width for row in rows]
+        name = np.concatenate([_values(memoryview(row), "<u8", n) for row, n in zip(rows, sizes)])
         place = np.argsort(name, kind="stable")
-        sorted_ = name[place]
-        same = sorted_[1:] == sorted_[:-1]
-        if width == 12:
-            check = np.concatenate(checks)[place]
-            same &= check[1:] == check[:-1]
-        hit = np.zeros(len(name), bool)
-        hit[place[1:][same]] = True
-        if not keep_first:
-            hit[place[:-1][same]] = True
-        out = {"slice": [], "range": [], "hits": []}
+        same = name[place[1:]] == name[place[:-1]]
+        if check:
+            second = np.concatenate([_values(memoryview(row)[8 * n :], check, n) for row, n in zip(rows, sizes)])
+            same &= second[place[1:]] == second[place[:-1]]
+        later, hit = np.zeros(len(name), bool), np.zeros(len(name), bool)
+        later[place[1:][same]] = True
+        hit[place[:-1][same]] = True
+        hit |= later
+        out: dict[str, list] = {"slice": [], "hits": []}
         edges = np.r_[0, np.cumsum(sizes)]
-        slice_ids = group.column("slice").to_numpy()[order]
-        for i in range(len(rows)):
-            part = hit[edges[i] : edges[i + 1]]
-            if part.any():
-                out["slice"].append(int(slice_ids[i]))
-                out["range"].append(group.column("range")[0].as_py())
-                out["hits"].append(np.packbits(part).tobytes())
-        return pa.table({"slice": pa.array(out["slice"], pa.int64()), "range": pa.array(out["range"], pa.int32()), "hits": pa.array(out["hits"], pa.binary())})
+        for i, row in enumerate(order):
+            part = slice(edges[i], edges[i + 1])
+            if hit[part].any():
+                out["slice"].append(int(slice_ids[row]))
+                out["hits"].append(np.packbits(hit[part]).tobytes() + np.packbits(later[part]).tobytes())
+        range_ = group.column("range")[0].as_py()
+        return pa.table({"slice": pa.array(out["slice"], pa.int64()), "range": pa.array([range_] * len(out["slice"]), pa.int32()), "hits": pa.array(out["hits"], pa.binary())})
 
     return run
 
 
-def _hits(names: np.ndarray, found: list[dict] | None, bits: int) -> np.ndarray:
-    """The marks that came back for a slice's sorted distinct names."""
+def _hits(names: np.ndarray, found: list[dict] | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """What came back for a slice's sorted distinct names: elsewhere, and earlier."""
     marks = {f["range"]: f["hits"] for f in found or ()}
-    out = np.zeros(len(names), bool)
+    out = np.zeros(len(names), bool), np.zeros(len(names), bool)
     for r, part in by_range(names, bits):
         if r in marks:
             n = part.stop - part.start
-            out[part] = np.unpackbits(np.frombuffer(marks[r], np.uint8), count=n).astype(bool)
+            raw = np.frombuffer(marks[r], np.uint8)
+            for o, half in zip(out, np.split(raw, 2)):
+                o[part] = np.unpackbits(half, count=n).astype(bool)
     return out
 
 
@@ -240,7 +251,7 @@ def _remaining(depths: Depths, bits: int, finish):
                 buf, offsets = _opened(sizes, blob)
                 at, owner = sampled(offsets, depths.v, depths.cover, depths.first)
                 names, inverse, count = np.unique(first_names(prefix_hash(buf), at, depths.first), return_inverse=True, return_counts=True)
-                repeated = (_hits(names, found, bits) | (count > 1))[inverse.ravel()]
+                repeated = (_hits(names, found, bits)[0] | (count > 1))[inverse.ravel()]
                 at, owner = at[repeated], owner[repeated]
                 left = np.maximum(offsets[owner], at - depths.v + 1)
                 right = np.minimum(at, offsets[owner + 1] - depths.length) + 1
@@ -262,42 +273,105 @@ def _remaining(depths: Depths, bits: int, finish):
     return run
 
 
-def _windows(sizes: bytes, blob: bytes, runs: bytes, depths: Depths):
-    buf, offsets = _opened(sizes, blob)
-    at = np.flatnonzero(np.unpackbits(np.frombuffer(_unpacked(runs), np.uint8), count=len(buf)))
-    names = span_hash(prefix_hash(buf), at, at + depths.length)
-    return buf, offsets, at, names
+GRAM = 32
 
 
-def _name_windows(depths: Depths, bits: int):
+class Runs:
+    """The remaining suffixes of a slice, in runs of neighbours with the same anchor:
+    the place of the smallest ``GRAM``-gram in their first ``length`` bytes. Equal
+    texts have their anchors in the same places, so runs of copies are equal."""
+
+    def __init__(self, sizes: bytes, blob: bytes, runs: bytes, length: int) -> None:
+        self.length = length
+        self.buf, self.offsets = _opened(sizes, blob)
+        n = len(self.buf)
+        self.prefix = prefix_hash(self.buf)
+        self.at = np.flatnonzero(np.unpackbits(np.frombuffer(_unpacked(runs), np.uint8), count=n))
+        gram = min(GRAM, length)
+        width = length - gram + 1
+        if not len(self.at):
+            self.first = np.zeros(0, np.int64)
+            return
+        start = np.arange(n - gram + 1)
+        bits = max(20, int(n).bit_length())
+        low = U64((1 << bits) - 1)
+        packed = (span_hash(self.prefix, start, start + gram) & ~low) | start.astype(U64)
+        whole = np.full(-(-len(packed) // width) * width, U64(0xFFFFFFFFFFFFFFFF))
+        whole[: len(packed)] = packed
+        blocks = whole.reshape(-1, width)  # the minimum over any width from block-wise running minima
+        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+        behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        anchor = np.minimum(behind[self.at], ahead[self.at + width - 1]) & low
+        self.first = np.flatnonzero(np.r_[True, (self.at[1:] != self.at[:-1] + 1) | (anchor[1:] != anchor[:-1])])
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct run names (two halves), the first run of each, the name of each run, counts."""
+        end = np.r_[self.first[1:], len(self.at)]
+        lo, hi = self.at[self.first], (self.at[end - 1] + self.length if len(self.first) else self.first)
+        self.many = end - self.first
+        names, one, which, count = np.unique(span_hash(self.prefix, lo, hi), return_index=True, return_inverse=True, return_counts=True)
+        return names, span_hash(prefix_hash(self.buf, 1), lo[one], hi[one]), one, which.ravel(), count
+
+    def standing(self, found: list[dict] | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix whether its run occurs elsewhere too, and whether the run is
+        the one copy that goes on."""
+        names, _, one, which, count = self.contexts()
+        hit, later = _hits(names, found, bits)
+        chosen = np.zeros(len(self.first), bool)
+        chosen[one] = ~later
+        return np.repeat((hit | (count > 1))[which], self.many), np.repeat(chosen, self.many)
+
+    def names(self, at: np.ndarray) -> np.ndarray:
+        return span_hash(self.prefix, at, at + self.length)
+
+
+def _name_runs(depths: Depths, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for slice_, sizes, blob, runs in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                buf, _, at, names = _windows(sizes, blob, runs, depths)
-                names, first = np.unique(names, return_index=True)
-                second = prefix_hash(buf, 1)
+                names, checks, *_ = Runs(sizes, blob, runs, depths.length).contexts()
+                yield _named_rows(slice_, names, checks, bits)
+
+    return run
+
+
+def _name_suffixes(depths: Depths, run_bits: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slice_, sizes, blob, runs, found in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                r = Runs(sizes, blob, runs, depths.length)
+                at = r.at[r.standing(found, run_bits)[1]]
+                names, first = np.unique(r.names(at), return_index=True)
+                second = prefix_hash(r.buf, 1)
                 checks = (span_hash(second, at[first], at[first] + depths.length) >> U64(32)).astype("<u4")
                 yield _named_rows(slice_, names, checks, bits)
 
     return run
 
 
-def _remove(depths: Depths, bits: int, keep_first: bool, finish):
+def _remove(depths: Depths, run_bits: int, bits: int, keep_first: bool, finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for slice_, cols, sizes, blob, runs, done, found in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for slice_, cols, sizes, blob, runs, done, found_runs, found in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 yield _unipc(_unpacked(done))
-                buf, offsets, at, names = _windows(sizes, blob, runs, depths)
-                names, first, inverse, count = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
-                inverse = inverse.ravel()
-                repeated = _hits(names, found, bits)[inverse]
-                own = (count > 1)[inverse]
+                r = Runs(sizes, blob, runs, depths.length)
+                shared, chosen = r.standing(found_runs, run_bits)
+                at = r.at[chosen]
+                names, first, inverse, count = np.unique(r.names(at), return_index=True, return_inverse=True, return_counts=True)
+                hit, later = _hits(names, found, bits)
                 if keep_first:
-                    own[first] = False
-                at = at[repeated | own]
-                gone = _spread(at, at + depths.length, len(buf)) if len(buf) else np.zeros(0, bool)
-                parts = [slice(a, b) for a, b in zip(offsets[:-1], offsets[1:])]
-                yield finish(_unipc(cols), [buf[p] for p in parts], [gone[p] for p in parts])
+                    gone_at = np.ones(len(at), bool)
+                    gone_at[first] = later
+                    repeated = ~chosen
+                    repeated[chosen] = gone_at
+                else:
+                    repeated = shared
+                    repeated[chosen] |= (hit | (count > 1))[inverse.ravel()]
+                at = r.at[repeated]
+                n = len(r.buf)
+                gone = _spread(at, at + depths.length, n) if n else np.zeros(0, bool)
+                parts = [slice(a, b) for a, b in zip(r.offsets[:-1], r.offsets[1:])]
+                yield finish(_unipc(cols), [r.buf[p] for p in parts], [gone[p] for p in parts])
 
     return run
 
@@ -342,22 +416,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     rows = rows.select(*[f.name for f in result.fields if f.name not in {x.name for x in added}], "text")
     finish = _digest if digest else _text
 
+    def marks(names: DataFrame, check: str, to: str) -> DataFrame:
+        found = names.groupBy("range").applyInArrow(_adjacent(check), FOUND)
+        return found.groupBy(F.col("slice").alias(f"__{to}")).agg(F.collect_list(F.struct("range", "hits")).alias(to))
+
     cut = materialise(rows.mapInArrow(_slice, SLICE), "suffix-slices")
     total = cut.agg(F.sum("bytes")).first()[0] or 0
     bits = _bits(total * len(depths.cover) // depths.v)
-    names = cut.select("slice", "sizes", "blob").mapInArrow(_name_samples(depths, bits), NAMED)
-    found = names.groupBy("range").applyInArrow(_adjacent(8, False), FOUND)
-    found = found.groupBy("slice").agg(F.collect_list(F.struct("range", "hits")).alias("found"))
-    both = cut.join(found.withColumnRenamed("slice", "__s"), F.col("slice") == F.col("__s"), "left").select("slice", "cols", "sizes", "blob", "found")
+    samples = marks(cut.select("slice", "sizes", "blob").mapInArrow(_name_samples(depths, bits), NAMED), "", "samples")
+    both = cut.join(samples, F.col("slice") == F.col("__samples"), "left").select("slice", "cols", "sizes", "blob", "samples")
     open_ = materialise(both.mapInArrow(_remaining(depths, bits, finish), OPEN), "suffix-open")
     discard(cut)
+    del samples, both
+    release(docs.sparkSession)
 
     bits = _bits(open_.agg(F.sum("windows")).first()[0] or 0)
-    names = open_.where("windows > 0").select("slice", "sizes", "blob", "runs").mapInArrow(_name_windows(depths, bits), NAMED)
-    found = names.groupBy("range").applyInArrow(_adjacent(12, keep_first), FOUND)
-    found = found.groupBy("slice").agg(F.collect_list(F.struct("range", "hits")).alias("found"))
-    both = open_.join(found.withColumnRenamed("slice", "__s"), F.col("slice") == F.col("__s"), "left")
-    return both.select("slice", "cols", "sizes", "blob", "runs", "done", "found").mapInArrow(_remove(depths, bits, keep_first, finish), result)
+    left = open_.where("windows > 0").select("slice", "sizes", "blob", "runs")
+    runs = materialise(marks(left.mapInArrow(_name_runs(depths, bits), NAMED), "<u8", "of_runs"), "suffix-runs")
+    named = left.join(runs, F.col("slice") == F.col("__of_runs"), "left").select("slice", "sizes", "blob", "runs", "of_runs")
+    suffixes = marks(named.mapInArrow(_name_suffixes(depths, bits, bits), NAMED), "<u4", "of_suffixes")
+    out = open_.join(runs, F.col("slice") == F.col("__of_runs"), "left").join(suffixes, F.col("slice") == F.col("__of_suffixes"), "left")
+    out = out.select("slice", "cols", "sizes", "blob", "runs", "done", "of_runs", "of_suffixes")
+    return out.mapInArrow(_remove(depths, bits, bits, keep_first, finish), result)
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
