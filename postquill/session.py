@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs that nothing refers to any more;
+    Spark deletes them when the driver's JVM has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`materialise` that nothing will read again."""
     for df in tables:
