@@ -162,3 +162,9 @@ def string_list(text: Column | str, key: str) -> Column:
     bare = F.from_json(unfenced(text), "array<string>")
     held = F.from_json(unfenced(text), f"`{key}` array<string>").getField(key)
     return F.when(unfenced(text).startswith("["), bare).otherwise(held)
+
+
+def format_sources_text(sources: Column | str) -> Column:
+    """Numbered source blocks of array<struct<rank, sender, date, subject, text>>."""
+    block = lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] From: "), text_or_empty(s["sender"]), F.lit("\nDate: "), F.coalesce(s["date"].cast("string"), F.lit("unknown-date")), F.lit("\nSubject: "), text_or_empty(s["subject"]), F.lit("\n"), text_or_empty(s["text"]))
+    return F.array_join(F.transform(_c(sources), block), "\n\n")

@@ -28,24 +28,27 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 30, rows_per_task: int = 200_000) -> DataFrame:
     """(id, component) for every node of ``edges`` (columns a, b): the component is
     the smallest id reachable. Rounds grow with the logarithm of the longest path;
-    each is written to the shared folder, so lineage stays short.
+    each is written to the shared folder, so lineage stays short, in as many files
+    as its edges need.
 
     Null ends and loops are ignored; repeated edges count once; an empty edge
     table gives no rows.
     """
     clean = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct()
     now = materialise(clean, "cc")
+    files = max(8, now.count() // rows_per_task)
     mark = None
     for _ in range(max_rounds):
-        after = materialise(_star(_star(now, True), False), "cc")
+        twice = _star(_star(_star(_star(now, True), False), True), False)
+        after = materialise(twice.coalesce(files), "cc")
         discard(now)
         now = after
         # a fixed point leaves the same stars; the sum over a set of edges tells it apart
         new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if new == mark:
+        if new == mark or not new[0]:
             break
         mark = new
     else:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import archive, quality, retrieval  # noqa: F401  they register their queries
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
