@@ -139,7 +139,7 @@ def is_refusal(text: Column | str) -> Column:
 
 def clamp_unit(value: Column | str) -> Column:
     """A confidence within [0, 1]; what is no number becomes 0.5."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(value).try_cast("double"))), F.lit(0.5))
+    return F.when(_c(value).try_cast("double").isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(value).try_cast("double"))))
 
 
 def sent_label(day: Column | str) -> Column:

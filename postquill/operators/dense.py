@@ -28,7 +28,7 @@ def search(vectors: DataFrame, query: DataFrame, k: int = 100) -> DataFrame:
     return ranked(pairs.select("qid", "id", dot("embedding", "vector").alias("score")), k, "dense")
 
 
-def _top(k: int, queries):
+def _top(k: int, queries, qid_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, matrix = queries.value
         for batch in batches:
@@ -39,7 +39,7 @@ def _top(k: int, queries):
             best = np.argpartition(-score, take - 1, axis=0)[:take] if take < len(batch) else np.tile(np.arange(len(batch))[:, None], (1, len(qids)))
             edge = np.take_along_axis(score, best, axis=0).min(axis=0)
             rows, cols = np.nonzero(score >= edge - 1e-6)  # ties at the edge are settled later, by id
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(qids)[cols]), batch.column(0).take(pa.array(rows)), pa.array(score[rows, cols])], names=["qid", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([qids[c] for c in cols.tolist()], qid_type), batch.column(0).take(pa.array(rows)), pa.array(score[rows, cols])], names=["qid", "id", "score"])
 
     return run
 
@@ -57,7 +57,7 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int = 100, query_bat
             return search(vectors, queries, k)
         matrix = np.array(part.column("vector").to_pylist(), np.float64)
         shared = spark.sparkContext.broadcast((part.column("qid").to_pylist(), matrix))
-        out = vectors.select("id", "embedding").mapInArrow(_top(k, shared), f"qid {dict(queries.dtypes)['qid']}, id {id_type}, score double")
+        out = vectors.select("id", "embedding").mapInArrow(_top(k, shared, rows.schema.field("qid").type), f"qid {dict(queries.dtypes)['qid']}, id {id_type}, score double")
         found = out if found is None else found.unionByName(out)
     return ranked(found, k, "dense")
 

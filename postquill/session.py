@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,8 +61,10 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished jobs that nothing refers to any more;
     Spark deletes them when the driver's JVM has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def discard(*tables: DataFrame) -> None:
