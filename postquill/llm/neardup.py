@@ -7,11 +7,11 @@ sampling draws ``BANDS * ROWS`` samples a document, whose bands give candidates;
 candidates are verified by exact weighted Jaccard similarity of whole texts.
 
 Identical texts form a class before any sampling, and one document stands for
-them. In a band's bucket everyone is first compared with one member, then with
-another, then with a neighbour; the pairs of members that are still in different
-components after that are all compared. So a bucket of m alike documents costs
-about 3 m comparisons, and no candidate pair that could join two components is
-left out. The result is one row per document.
+them. In a band's bucket everyone is first compared with two of its members. Where a
+bucket then holds several components, all pairs of its members are compared, by
+matrix products over blocks of ``BLOCK`` members, and only the links that join
+components leave a block. So no candidate pair that could join two components is
+left out and none is written. The result is one row per document.
 
 Defined results: a null text is empty; documents without words are alike only if
 their texts are identical; one with fewer than five words is a single shingle;
@@ -36,6 +36,8 @@ from .bytekit import U64, buffers, fold_case, mix64, prefix_hash, slices, span_h
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
+#: Members of a bucket whose pairs one task compares.
+BLOCK = 1024
 DF_BITS = 16
 DF_BUCKETS = 1 << DF_BITS
 DF_PARTS = 64
@@ -70,8 +72,8 @@ def inverse_frequencies(texts: DataFrame, n_docs: int) -> np.ndarray:
     return 1 + np.log((1 + n_docs) / (1 + np.minimum(df, n_docs)))
 
 
-def shingles(buf: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text, text after text: text, hash, weight."""
+def counted_shingles(buf: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, text after text: text, hash, idf, count."""
     folded = fold_case(buf)
     start, end, text = words(folded, offsets)
     h = span_hash(prefix_hash(folded), start, end)
@@ -92,33 +94,50 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np.
     new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])] if len(key) else np.zeros(0, bool)
     edge = np.flatnonzero(new)
     count = np.diff(np.r_[edge, len(key)])
-    return owner[edge], key[edge], np.round(mean[edge], 6) * count
+    return owner[edge], key[edge], np.round(mean[edge], 6), count
+
+
+def shingles(buf: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, text after text: text, hash, weight."""
+    owner, key, mean, count = counted_shingles(buf, offsets, idf)
+    return owner, key, mean * count
+
 
+_UNIT = np.float32(2.0**-24)
+_BITS24 = U64((1 << 24) - 1)
 
-def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
-    """Uniform numbers in (0, 1) from hashes, in single precision."""
+
+def _hashed(key: np.ndarray, salt: int) -> np.ndarray:
     h = (key + U64(salt * int(_STEP) % (1 << 64))) * U64(0xBF58476D1CE4E5B9)
     h ^= h >> U64(29)
     h *= U64(0x94D049BB133111EB)
-    return ((h >> U64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+    h ^= h >> U64(32)
+    return h
+
+
+def _uniform(bits: np.ndarray) -> np.ndarray:
+    """Uniform numbers in (0, 1) from 24 bits, in single precision."""
+    return (bits.astype(np.float32) + np.float32(0.5)) * _UNIT
 
 
 def consistent_samples(key: np.ndarray, log_weight: np.ndarray, first: np.ndarray, salts: range) -> np.ndarray:
     """Improved consistent weighted sampling: one hashed (shingle, level) per text and
-    salt. ``first`` are the places where texts begin."""
+    salt. ``first`` are the places where texts begin. The five uniform numbers of a
+    shingle and salt come from two hashes."""
     out = np.empty((len(first), len(salts)), U64)
     sizes = np.diff(np.r_[first, len(key)])
     for j, salt in enumerate(salts):
-        base = 5 * salt + 1
-        r = -np.log(_uniform(key, base) * _uniform(key, base + 1))
-        level = np.floor(log_weight / r + _uniform(key, base + 2))
-        log_y = r * (level - _uniform(key, base + 2))
-        log_a = np.log(-np.log(_uniform(key, base + 3) * _uniform(key, base + 4))) - log_y - r
+        h1, h2 = _hashed(key, 2 * salt + 1), _hashed(key, 2 * salt + 2)
+        r = -np.log(_uniform(h1 >> U64(40)) * _uniform((h1 >> U64(16)) & _BITS24))
+        beta = _uniform(((h1 & U64(0xFFFF)) << U64(8)) | (h2 & U64(0xFF)))
+        log_y = r * (np.floor(log_weight / r + beta) - beta)
+        log_a = np.log(-np.log(_uniform(h2 >> U64(40)) * _uniform((h2 >> U64(16)) & _BITS24))) - log_y - r
         least = np.minimum.reduceat(log_a, first)
         hit = np.flatnonzero(log_a == np.repeat(least, sizes))
         text = np.searchsorted(first, hit, side="right") - 1
         one = hit[np.r_[True, text[1:] != text[:-1]]]
-        out[:, j] = mix64(key[one] + level[one].astype(np.int64).astype(U64) * _STEP)
+        level = np.floor(log_weight[one] / r[one] + beta[one])
+        out[:, j] = mix64(key[one] + level.astype(np.int64).astype(U64) * _STEP)
     return out
 
 
@@ -182,12 +201,62 @@ def _verify(shared, similarity: float):
     return run
 
 
-def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``members`` (bucket, id, weight) with column ``part``: the component so far."""
-    if links is None:
-        return members.withColumn("part", F.col("id"))
-    comp = connected_components(links).select(F.col("id").alias("__id"), "component")
-    return members.join(comp, F.col("id") == F.col("__id"), "left").withColumn("part", F.coalesce("component", "id")).drop("__id", "component")
+def block_links(texts: list[str], parts: np.ndarray, idf: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places that join all components of ``parts`` which some pair of alike
+    texts joins: every pair is compared, by matrix products. A shingle that occurs
+    c times counts as c shingles, so that shared weight is an inner product."""
+    buf, offsets = buffers(pa.array(texts, pa.large_string()))
+    cut = [counted_shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], idf) for a, b in slices(offsets)]
+    owner = np.concatenate([c[0] + a for c, (a, _) in zip(cut, slices(offsets))])
+    key, mean, count = (np.concatenate([c[i] for c in cut]) for i in (1, 2, 3))
+    which = np.repeat(np.arange(len(key)), count)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    owner, weight = owner[which], mean[which]
+    _, column, held = np.unique(mix64(key[which]) + nth.astype(U64), return_inverse=True, return_counts=True)
+    total = np.bincount(owner, weight, minlength=len(texts))
+    shared = held[column.ravel()] > 1
+    columns, column = np.unique(column.ravel()[shared], return_inverse=True)
+    owner, weight, column = owner[shared], np.sqrt(weight[shared]), column.ravel()
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    tile = max(1, min(512, (4 << 20) // max(1, len(columns))))
+
+    def rows(a: int, b: int) -> np.ndarray:
+        part = slice(first[a], first[b])
+        out = np.zeros((b - a, len(columns)))
+        out[owner[part] - a, column[part]] = weight[part]
+        return out
+
+    root = {p: p for p in parts.tolist()}
+
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    found = []
+    for a in range(0, len(texts), tile):
+        left = rows(a, min(a + tile, len(texts)))
+        for b in range(a, len(texts), tile):
+            both = left @ rows(b, min(b + tile, len(texts))).T
+            every = total[a : a + tile, None] + total[None, b : b + tile] - both
+            alike = (both >= (similarity - _EXACT) * every) & (every > 0)
+            alike &= parts[a : a + tile, None] != parts[None, b : b + tile]
+            for i, j in zip(*(x.tolist() for x in np.nonzero(alike))):
+                p, q = find(int(parts[a + i])), find(int(parts[b + j]))
+                if p != q:
+                    root[p] = q
+                    found.append((a + i, b + j))
+    return found
+
+
+def _block(shared, similarity: float):
+    def run(group: pa.Table) -> pa.Table:
+        ids = group.column("id").to_numpy()
+        pairs = block_links(group.column("text").to_pylist(), group.column("part").to_numpy(), shared.value, similarity)
+        return pa.table({"a": pa.array([int(ids[i]) for i, _ in pairs], pa.int64()), "b": pa.array([int(ids[j]) for _, j in pairs], pa.int64())})
+
+    return run
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -206,41 +275,35 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     wanted = members.select("id").distinct()
     texts = materialise(rows.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "near-texts")
 
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among ``pairs`` (a, b) that were not compared before."""
-        nonlocal tried
+    def verified(pairs: DataFrame, tag: str) -> DataFrame:
+        """The links among ``pairs`` (a, b, and their weights)."""
         close = F.least("wa", "wb") >= F.greatest("wa", "wb") * (similarity - 1e-6)
         fresh = pairs.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        if tried is not None:
-            fresh = fresh.join(tried, ["a", "b"], "left_anti")
-        fresh = materialise(fresh, "near-pairs")
-        tried = fresh if tried is None else tried.unionByName(fresh)
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         both = fresh.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-        return materialise(both.mapInArrow(_verify(idf, similarity), "a long, b long"), "near-links")
-
-    def grown(found: DataFrame) -> DataFrame:
-        return found if links is None else links.unionByName(found)
-
-    # everyone in a bucket with its smallest member, then of those apart with the largest
-    for choose in (F.min, F.max):
-        now = _labelled(members, links)
-        hub = now.groupBy("bucket").agg(choose(F.struct("id", "weight", "part")).alias("hub")).withColumnRenamed("bucket", "__b")
-        pairs = now.join(hub, F.col("bucket") == F.col("__b")).where("part <> hub.part")
-        links = grown(verified(pairs.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("weight").alias("wa"), F.col("hub.weight").alias("wb"))))
-    # all pairs of members that are in different components still
-    now = _labelled(members, links)
-    split = now.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("__b"))
-    apart = materialise(now.join(split, F.col("bucket") == F.col("__b")).drop("__b"), "near-apart")
-    other = apart.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("id", "weight", "part")])
-    pairs = apart.join(other, "bucket").where("id < id_2 AND part <> part_2")
-    links = grown(verified(pairs.select(F.col("id").alias("a"), F.col("id_2").alias("b"), F.col("weight").alias("wa"), F.col("weight_2").alias("wb"))))
-
-    parts = connected_components(links).select(F.col("id").alias("__id"), "component")
+        return materialise(both.mapInArrow(_verify(idf, similarity), "a long, b long"), tag)
+
+    # everyone in a bucket with its smallest and its largest member
+    hubs = members.groupBy("bucket").agg(*[f(F.struct("id", "weight")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]).withColumnRenamed("bucket", "__b")
+    hub = members.join(hubs, F.col("bucket") == F.col("__b")).select("id", "weight", F.explode(F.array("lo", "hi")).alias("hub"))
+    links = verified(hub.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("weight").alias("wa"), F.col("hub.weight").alias("wb")), "near-links")
+    parts = materialise(connected_components(links), "near-parts")
+
+    # where a bucket still holds several components, all its pairs, in blocks
+    comp = parts.select(F.col("id").alias("__id"), "component")
+    now = members.join(comp, F.col("id") == F.col("__id"), "left").withColumn("part", F.coalesce("component", "id")).drop("__id", "component")
+    split = now.groupBy("bucket").agg(F.min("part").alias("p_lo"), F.max("part").alias("p_hi"), F.count(F.lit(1)).alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    split = split.where("p_lo <> p_hi").withColumnRenamed("bucket", "__b").withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
+    apart = now.join(split, F.col("bucket") == F.col("__b")).where("id <> lo AND id <> hi")  # the hubs were compared with everyone
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    apart = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart = apart.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "part")
+    apart = apart.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("bucket", "i", "j", "id", "part", "text")
+    more = materialise(apart.groupBy("bucket", "i", "j").applyInArrow(_block(idf, similarity), "a long, b long"), "near-more")
+    if more.limit(1).count():
+        parts = connected_components(links.unionByName(more))
+    parts = parts.select(F.col("id").alias("__id"), "component")
     classes = lead.join(parts, F.col("lead") == F.col("__id"), "left").select(F.col("same").alias("__same"), F.coalesce("component", "lead").alias("class_id"))
     return signed.select("doc_id", "same").join(classes, F.col("same") == F.col("__same")).select("doc_id", "class_id")
 
