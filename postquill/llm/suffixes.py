@@ -14,12 +14,13 @@ stops at that depth:
    up to ``v`` bytes before a repeated name are the only ones left.
 3. Merge the remaining suffixes, sampled and not. Neighbouring ones that share the
    same smallest 32-gram in their first ``length`` bytes form a run; equal runs
-   take one place together, and of each distinct run one copy goes on, every
-   suffix of it named at full depth and sorted in among the others.
+   take one place together, and one copy of each distinct run stands for it. Where
+   several distinct runs share an anchor, every suffix of theirs is named at full
+   depth and sorted in among the others.
 4. Compare adjacent prefixes: equal neighbours in the sorted ranges are repeats.
 
 Names are 64-bit fingerprints in step 1, where a collision only costs work, 128-bit
-ones for runs and 96-bit ones for suffixes at full depth. What moves between
+ones for runs and 80-bit ones for suffixes at full depth. What moves between
 machines is, per slice of about 4 MB of text, a block of names for every range and
 two bits for every name back. Names that a slice holds more than once are sent
 once, so a passage shared by any number of documents costs one name per slice, and
@@ -44,9 +45,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import discard, materialise, release, table
-from .bytekit import SLICE_BYTES, U64, buffers, prefix_hash, slices, span_hash
+from .bytekit import U64, buffers, prefix_hash, slices, span_hash
 
 LENGTH = 400
+#: Bytes of text handled together; a longer document is a slice of its own.
+SLICE_BYTES = 1 << 20
 RANGE_NAMES = 1 << 20
 LEAST_RANGES = 64
 
@@ -290,7 +293,7 @@ class Runs:
         gram = min(GRAM, length)
         width = length - gram + 1
         if not len(self.at):
-            self.first = np.zeros(0, np.int64)
+            self.first, self.anchors = np.zeros(0, np.int64), np.zeros(0, U64)
             return
         start = np.arange(n - gram + 1)
         bits = max(20, int(n).bit_length())
@@ -303,6 +306,8 @@ class Runs:
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         anchor = np.minimum(behind[self.at], ahead[self.at + width - 1]) & low
         self.first = np.flatnonzero(np.r_[True, (self.at[1:] != self.at[:-1] + 1) | (anchor[1:] != anchor[:-1])])
+        place = anchor[self.first].astype(np.int64)
+        self.anchors = span_hash(self.prefix, place, place + gram)
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct run names (two halves), the first run of each, the name of each run, counts."""
@@ -313,13 +318,23 @@ class Runs:
         return names, span_hash(prefix_hash(self.buf, 1), lo[one], hi[one]), one, which.ravel(), count
 
     def standing(self, found: list[dict] | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix whether its run occurs elsewhere too, and whether the run is
-        the one copy that goes on."""
+        """For each run whether it occurs elsewhere too, and whether it stands for all its copies."""
         names, _, one, which, count = self.contexts()
         hit, later = _hits(names, found, bits)
         chosen = np.zeros(len(self.first), bool)
         chosen[one] = ~later
-        return np.repeat((hit | (count > 1))[which], self.many), np.repeat(chosen, self.many)
+        return (hit | (count > 1))[which], chosen
+
+    def contested(self, chosen: np.ndarray, found: list[dict] | None, bits: int) -> np.ndarray:
+        """The chosen runs whose anchors another chosen run has too."""
+        names, which, count = np.unique(self.anchors[chosen], return_inverse=True, return_counts=True)
+        out = chosen.copy()
+        out[chosen] = (_hits(names, found, bits)[0] | (count > 1))[which.ravel()]
+        return out
+
+    def suffixes(self, runs: np.ndarray) -> np.ndarray:
+        """Which of the remaining suffixes are in the given runs."""
+        return np.repeat(runs, self.many) if len(self.first) else np.zeros(0, bool)
 
     def names(self, at: np.ndarray) -> np.ndarray:
         return span_hash(self.prefix, at, at + self.length)
@@ -335,38 +350,49 @@ def _name_runs(depths: Depths, bits: int):
     return run
 
 
-def _name_suffixes(depths: Depths, run_bits: int, bits: int):
+def _name_anchors(depths: Depths, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for slice_, sizes, blob, runs, found in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for slice_, sizes, blob, runs, of_runs in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 r = Runs(sizes, blob, runs, depths.length)
-                at = r.at[r.standing(found, run_bits)[1]]
+                yield _named_rows(slice_, np.unique(r.anchors[r.standing(of_runs, bits)[1]]), None, bits)
+
+    return run
+
+
+def _name_suffixes(depths: Depths, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slice_, sizes, blob, runs, of_runs, of_anchors in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                r = Runs(sizes, blob, runs, depths.length)
+                at = r.at[r.suffixes(r.contested(r.standing(of_runs, bits)[1], of_anchors, bits))]
                 names, first = np.unique(r.names(at), return_index=True)
                 second = prefix_hash(r.buf, 1)
-                checks = (span_hash(second, at[first], at[first] + depths.length) >> U64(32)).astype("<u4")
+                checks = (span_hash(second, at[first], at[first] + depths.length) >> U64(48)).astype("<u2")
                 yield _named_rows(slice_, names, checks, bits)
 
     return run
 
 
-def _remove(depths: Depths, run_bits: int, bits: int, keep_first: bool, finish):
+def _remove(depths: Depths, bits: int, keep_first: bool, finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for slice_, cols, sizes, blob, runs, done, found_runs, found in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            for slice_, cols, sizes, blob, runs, done, of_runs, of_anchors, found in zip(*(batch.column(i).to_pylist() for i in range(9))):
                 yield _unipc(_unpacked(done))
                 r = Runs(sizes, blob, runs, depths.length)
-                shared, chosen = r.standing(found_runs, run_bits)
-                at = r.at[chosen]
-                names, first, inverse, count = np.unique(r.names(at), return_index=True, return_inverse=True, return_counts=True)
+                shared, chosen = r.standing(of_runs, bits)
+                open_ = r.suffixes(r.contested(chosen, of_anchors, bits))
+                names, first, inverse, count = np.unique(r.names(r.at[open_]), return_index=True, return_inverse=True, return_counts=True)
                 hit, later = _hits(names, found, bits)
+                inverse = inverse.ravel()
                 if keep_first:
-                    gone_at = np.ones(len(at), bool)
+                    repeated = r.suffixes(~chosen)
+                    gone_at = np.ones(len(inverse), bool)
                     gone_at[first] = later
-                    repeated = ~chosen
-                    repeated[chosen] = gone_at
+                    repeated[open_] = gone_at
                 else:
-                    repeated = shared
-                    repeated[chosen] |= (hit | (count > 1))[inverse.ravel()]
+                    repeated = r.suffixes(shared)
+                    repeated[open_] |= (hit | (count > 1))[inverse]
                 at = r.at[repeated]
                 n = len(r.buf)
                 gone = _spread(at, at + depths.length, n) if n else np.zeros(0, bool)
@@ -432,12 +458,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
 
     bits = _bits(open_.agg(F.sum("windows")).first()[0] or 0)
     left = open_.where("windows > 0").select("slice", "sizes", "blob", "runs")
+    base = ["slice", "sizes", "blob", "runs"]
+
+    def with_marks(rows: DataFrame, found: DataFrame, to: str) -> DataFrame:
+        return rows.join(found, F.col("slice") == F.col(f"__{to}"), "left").drop(f"__{to}")
+
     runs = materialise(marks(left.mapInArrow(_name_runs(depths, bits), NAMED), "<u8", "of_runs"), "suffix-runs")
-    named = left.join(runs, F.col("slice") == F.col("__of_runs"), "left").select("slice", "sizes", "blob", "runs", "of_runs")
-    suffixes = marks(named.mapInArrow(_name_suffixes(depths, bits, bits), NAMED), "<u4", "of_suffixes")
-    out = open_.join(runs, F.col("slice") == F.col("__of_runs"), "left").join(suffixes, F.col("slice") == F.col("__of_suffixes"), "left")
-    out = out.select("slice", "cols", "sizes", "blob", "runs", "done", "of_runs", "of_suffixes")
-    return out.mapInArrow(_remove(depths, bits, bits, keep_first, finish), result)
+    named = with_marks(left, runs, "of_runs").select(*base, "of_runs")
+    anchors = materialise(marks(named.mapInArrow(_name_anchors(depths, bits), NAMED), "", "of_anchors"), "suffix-anchors")
+    both_marks = lambda rows: with_marks(with_marks(rows, runs, "of_runs"), anchors, "of_anchors")
+    named = both_marks(left).select(*base, "of_runs", "of_anchors")
+    suffixes = marks(named.mapInArrow(_name_suffixes(depths, bits), NAMED), "<u2", "of_suffixes")
+    out = with_marks(both_marks(open_), suffixes, "of_suffixes").select("slice", "cols", "sizes", "blob", "runs", "done", "of_runs", "of_anchors", "of_suffixes")
+    return out.mapInArrow(_remove(depths, bits, keep_first, finish), result)
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
