@@ -7,7 +7,7 @@ overlapping the next by half; attention pools the states of a window, and a
 document's score is its most toxic window's, calibrated on documents kept out of
 the training. All windows of the whole text are scored.
 
-Labels are learned only from a bounded sample (``SAMPLE`` documents a class of at
+Labels are learned only from a bounded sample (``SAMPLE`` documents of each class, of at
 most ``SAMPLE_BYTES`` bytes, drawn by a hash of the id) of the rows that are not
 held out; texts are the only input.
 
@@ -36,7 +36,7 @@ PREFIXES = (3, 4, 5, 6)
 EMBED, HIDDEN = 8, 8
 #: A word's input: its own vector, the mean vector of its n-grams, the strongest n-gram.
 WIDTH = 2 * EMBED + 1
-SAMPLE, SAMPLE_BYTES = 1500, 12_000
+SAMPLE, SAMPLE_BYTES = {1: 1000, 0: 1600}, 8_000
 MIN_COUNT = 3
 THRESHOLD = 0.7
 STEPS, BATCH, RATE = 240, 128, 0.02
@@ -64,12 +64,12 @@ def read_words(buf: np.ndarray, offsets: np.ndarray) -> Words:
     grams, owner = [], []
     for n in GRAMS:
         many = np.maximum(length - n + 1, 0)
-        own = np.repeat(np.arange(len(s)), many)
+        own = np.repeat(np.arange(len(s), dtype=np.int32), many)
         at = s[own] + np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
         grams.append(span_hash(prefix, at, at + n))
         owner.append(own)
     for n in PREFIXES:
-        own = np.flatnonzero(length >= n)
+        own = np.flatnonzero(length >= n).astype(np.int32)
         grams.append(span_hash(prefix, s[own], s[own] + n) ^ _START)
         owner.append(own)
     return Words(hashes, which.ravel(), text, np.concatenate(grams), np.concatenate(owner))
@@ -259,21 +259,24 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
     pair_text, pair_word = pair // len(w.hashes), pair % len(w.hashes)
     pos, neg = _texts_with(pair_word, pair_text, labels, len(w.hashes))
     keep = pos + neg >= MIN_COUNT
-    gram, inverse = np.unique(w.grams, return_inverse=True)
-    order_g = np.argsort(w.owner, kind="stable")
-    of_word = inverse.ravel()[order_g]
-    edges = np.searchsorted(w.owner[order_g], np.arange(len(w.hashes) + 1))
+    by_owner = np.argsort(w.owner, kind="stable").astype(np.int32)
+    grams_sorted = w.grams[by_owner]
+    edges = np.searchsorted(w.owner[by_owner], np.arange(len(w.hashes) + 1))
+    del by_owner
+    gram = np.unique(grams_sorted)
+    of_word = np.searchsorted(gram, grams_sorted).astype(np.int32)
     gpos, gneg = np.zeros(len(gram), np.int64), np.zeros(len(gram), np.int64)
     by_word = np.argsort(pair_word, kind="stable")
     for part in np.array_split(by_word, max(1, len(by_word) // 100_000)):  # bounded memory; a word's texts may be in two parts
         many = edges[pair_word[part] + 1] - edges[pair_word[part]]
         at = np.repeat(edges[pair_word[part]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        seen = np.unique(of_word[at] * len(labels) + np.repeat(pair_text[part], many))
+        seen = np.unique(of_word[at].astype(np.int64) * len(labels) + np.repeat(pair_text[part], many))
         lab = labels[seen % len(labels)]
         gpos += np.bincount(seen[lab == 1] // len(labels), minlength=len(gram))
         gneg += np.bincount(seen[lab == 0] // len(labels), minlength=len(gram))
     gkeep = gpos + gneg >= MIN_COUNT + 1
     net = Network(HashIndex(w.hashes[keep]), HashIndex(gram[gkeep]), _odds(pos[keep], neg[keep], n_pos, n_neg), _odds(gpos[gkeep], gneg[gkeep], n_pos, n_neg), seed)
+    del of_word, gram, gpos, gneg
 
     # windows to learn from: the strongest of a toxic text, any of a clean one
     start, owner = windows(w.text)
@@ -288,9 +291,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
     tox = labels[owner] == 1
     top = np.flatnonzero(usable & tox & is_top)
     clean = np.flatnonzero(usable & ~tox)
-    order_x = np.argsort(w.owner, kind="stable")
-    grams_sorted = w.grams[order_x]
-    bounds = np.searchsorted(w.owner[order_x], np.arange(len(w.hashes) + 1))
+    bounds = edges
 
     state: dict[str, np.ndarray] = {}
 
@@ -330,10 +331,11 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
             by = np.stack([np.bincount(inv.ravel(), share[:, j], minlength=len(touched)) for j in range(EMBED)], axis=1).astype(np.float32)
             step("grams", net.grams, by, RATE, touched)
             net.words[-1] = net.grams[-1] = 0
-        if epoch in (epochs // 4, epochs // 2, 3 * epochs // 4):  # the clean windows that look most toxic, and the toxic windows found so far
+        if epoch % max(1, epochs // 8) == 0 and epoch:  # clean windows that look toxic join for good; toxic windows are chosen anew
             x, _ = net.inputs(w.hashes, w.grams, w.owner)
             logits = np.concatenate([net.forward(x, idx[i : i + 8192]) for i in range(0, len(idx), 8192)])
-            hard = clean[np.argsort(-logits[clean], kind="stable")[: len(top) // 2]]
+            worst = clean[np.argsort(-logits[clean], kind="stable")[: max(8, len(top) // 4)]]
+            hard = np.union1d(hard, worst[logits[worst] > -4])
             best = np.maximum.reduceat(logits, firsts)
             top = np.flatnonzero(usable & tox & (logits >= np.repeat(best, np.diff(np.r_[firsts, len(owner)]))))
 
@@ -353,16 +355,16 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = SAMPLE_BYTES) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, longest: int = SAMPLE_BYTES) -> DataFrame:
     """text and toxic of the bounded sample of labelled rows that are not held out."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     ids = None
     for label in (0, 1):
-        part = usable.where(F.col("toxic") == label).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        part = usable.where(F.col("toxic") == label).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[label])
         ids = part if ids is None else ids.unionByName(part)
-    ids = ids.select(F.col("doc_id").alias("__id"), "toxic")  # at most 2 * sample rows
+    ids = ids.select(F.col("doc_id").alias("__id"), "toxic")  # at most the sample's rows
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text").between(1, longest))
-    return texts.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic").limit(4 * sample)
+    return texts.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic").limit(2 * sum(sample.values()))
 
 
 def held_out(column: str):
