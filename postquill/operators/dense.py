@@ -22,9 +22,8 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def search(vectors: DataFrame, query: DataFrame, k: int = 100) -> DataFrame:
-    """Exact top-k by expression, for few queries (qid, vector)."""
-    one = F.lit(1).alias("__k")
-    pairs = vectors.select("id", "embedding", one).join(query.select("qid", "vector", one), "__k")
+    """Exact top-k by expression, for few queries (qid, vector); pairs are dealt over partitions of both sides."""
+    pairs = vectors.select("id", "embedding").crossJoin(query.select("qid", "vector"))
     return ranked(pairs.select("qid", "id", dot("embedding", "vector").alias("score")), k, "dense")
 
 

@@ -9,7 +9,7 @@ from ..functions.text import STOPWORDS, content_terms, key_of_chunk
 from ..operators import chunking, dense, fusion, lexical, metrics, rerank
 from ..operators.evaluation import misses
 from ..session import table
-from .base import label_vectors, query, vector_queries
+from .base import EVERY, FIRST, label_vectors, query, query_number, vector_queries, vector_query
 
 TOP, DEPTH = 10, 50
 
@@ -201,92 +201,96 @@ half AS (SELECT qid, 'half' AS run, id, score, row_number() OVER (PARTITION BY q
 runs AS (SELECT * FROM dense UNION ALL SELECT * FROM half)"""
 
 
-def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    v, q = label_vectors(spark, sf), vector_queries(spark, sf)
+def _runs(spark: SparkSession, sf: str, which: str = FIRST) -> tuple[DataFrame, DataFrame]:
+    v, q = label_vectors(spark, sf), vector_queries(spark, sf, which)
     cut = lambda df, c: df.withColumn(c, F.slice(c, 1, 16))
-    half = dense.search(cut(v, "embedding"), cut(q, "vector"), 100).withColumn("run", F.lit("half"))
+    half = dense.search_batch(cut(v, "embedding"), cut(q, "vector"), 100).withColumn("run", F.lit("half"))
     return dense.search_batch(v, q, 100), half
 
 
-@query("WITH" + _DENSE + " SELECT qid, id, score, rank FROM dense")
-def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return dense.search(label_vectors(spark, sf), vector_queries(spark, sf), 100).drop("run")
+@vector_query("WITH" + _DENSE + " SELECT qid, id, score, rank FROM dense")
+def dense_topk(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
+    return dense.search(label_vectors(spark, sf), vector_queries(spark, sf, which), 100).drop("run")
 
 
-@query("WITH" + _DENSE + " SELECT qid, id, score, rank FROM dense")
-def dense_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
-    return dense.search_batch(label_vectors(spark, sf), vector_queries(spark, sf), 100).drop("run")
+@vector_query("WITH" + _DENSE + " SELECT qid, id, score, rank FROM dense")
+def dense_topk_batch(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
+    return dense.search_batch(label_vectors(spark, sf), vector_queries(spark, sf, which), 100).drop("run")
 
 
 _RRF = " , rf AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM runs GROUP BY qid, id), rrf AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM rf)"
 _MM = " , mm AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM runs WINDOW w AS (PARTITION BY qid, run))"
 
 
-@query("WITH" + _DENSE + _RRF + " SELECT qid, id, score, rank FROM rrf")
-def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.reciprocal_rank(fusion.union_runs(*_runs(spark, sf))).drop("run")
+@vector_query("WITH" + _DENSE + _RRF + " SELECT qid, id, score, rank FROM rrf")
+def rrf_fusion(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
+    return fusion.reciprocal_rank(fusion.union_runs(*_runs(spark, sf, which))).drop("run")
 
 
-@query("WITH" + _DENSE + _MM + """, wf AS (SELECT qid, id, round(sum(CASE WHEN run = 'dense' THEN 0.7 ELSE 0.3 END * s), 6) AS score FROM mm GROUP BY qid, id)
+@vector_query("WITH" + _DENSE + _MM + """, wf AS (SELECT qid, id, round(sum(CASE WHEN run = 'dense' THEN 0.7 ELSE 0.3 END * s), 6) AS score FROM mm GROUP BY qid, id)
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM wf QUALIFY rank <= 50""")
-def weighted_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.weighted(fusion.union_runs(*_runs(spark, sf)), {"dense": 0.7, "half": 0.3}, 50).drop("run")
+def weighted_fusion(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
+    return fusion.weighted(fusion.union_runs(*_runs(spark, sf, which)), {"dense": 0.7, "half": 0.3}, 50).drop("run")
 
 
-@query("WITH" + _DENSE + _MM + """, wf AS (SELECT share, qid, id, round(sum(CASE WHEN run = 'dense' THEN share ELSE 1 - share END * s), 6) AS score FROM mm, (VALUES (0.3::DOUBLE), (0.4), (0.5), (0.6), (0.7)) v(share) GROUP BY ALL)
+@vector_query("WITH" + _DENSE + _MM + """, wf AS (SELECT share, qid, id, round(sum(CASE WHEN run = 'dense' THEN share ELSE 1 - share END * s), 6) AS score FROM mm, (VALUES (0.3::DOUBLE), (0.4), (0.5), (0.6), (0.7)) v(share) GROUP BY ALL)
 SELECT share, qid, id, score, row_number() OVER (PARTITION BY share, qid ORDER BY score DESC, id)::INT AS rank FROM wf QUALIFY rank <= 10""")
-def weight_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.weight_sweep(fusion.union_runs(*_runs(spark, sf)), "dense", "half", top_k=10)
+def weight_sweep(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
+    return fusion.weight_sweep(fusion.union_runs(*_runs(spark, sf, which)), "dense", "half", top_k=10)
 
 
-@query("WITH" + _DENSE + """, inner_ AS (SELECT qid, run, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT qid // 2 AS qid, CASE WHEN run = 'dense' THEN 'dense' ELSE 'sparse' END AS run, id, rank FROM runs) GROUP BY ALL),
+_MULTI = "WITH" + _DENSE + """, inner_ AS (SELECT qid, run, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT qid // 2 AS qid, CASE WHEN run = 'dense' THEN 'dense' ELSE 'sparse' END AS run, id, rank FROM runs) GROUP BY ALL),
 again AS (SELECT *, row_number() OVER (PARTITION BY qid, run ORDER BY round(score, 9) DESC, id) AS rank FROM inner_),
 fin AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM again GROUP BY qid, id)
-SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM fin QUALIFY rank <= 20""")
-def multi_query_fusion(spark: SparkSession, sf: str) -> DataFrame:
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM fin QUALIFY rank <= 20"""
+
+
+@vector_query(_MULTI, _MULTI.replace("qid // 2 AS qid", "qid // 40 AS qid"))
+def multi_query_fusion(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
     """Two texts per question and two modalities: fused within, then across."""
-    runs = fusion.union_runs(*_runs(spark, sf))
-    rows = runs.select(F.floor(F.col("qid") / 2).alias("qid"), F.when(F.col("run") == "dense", "dense").otherwise("sparse").alias("modality"), (F.col("qid") % 2).alias("text_no"), "id", "rank")
+    runs = fusion.union_runs(*_runs(spark, sf, which))
+    number = query_number(which)
+    rows = runs.select(F.floor(number / 2).alias("qid"), F.when(F.col("run") == "dense", "dense").otherwise("sparse").alias("modality"), (number % 2).alias("text_no"), "id", "rank")
     return fusion.two_stage(rows, top_k=20).drop("run")
 
 
-@query("WITH" + _DENSE + """, src AS (SELECT qid, id, run, rank FROM runs WHERE rank <= 30 UNION ALL SELECT vec_id, (vec_id + 1), 'source', 0 FROM embeddings WHERE vec_id < 20),
+@vector_query("WITH" + _DENSE + """, src AS (SELECT qid, id, run, rank FROM runs WHERE rank <= 30 UNION ALL SELECT vec_id, (vec_id + 1), 'source', 0 FROM embeddings WHERE vec_id < 20),
 be AS (SELECT qid, id, min(rank)::INT AS best, array_to_string(list_sort(list_distinct(list(run))), '+') AS found_by FROM src GROUP BY qid, id)
 SELECT qid, id, best, found_by, row_number() OVER (PARTITION BY qid ORDER BY best, id)::INT AS position FROM be QUALIFY position <= 25""")
-def pool_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    runs = fusion.union_runs(*_runs(spark, sf)).where("rank <= 30")
-    extra = vector_queries(spark, sf).select("qid", (F.col("qid") + 1).alias("id"))
+def pool_candidates(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
+    runs = fusion.union_runs(*_runs(spark, sf, which)).where("rank <= 30")
+    extra = vector_queries(spark, sf, which).select("qid", (F.col("qid") + 1).alias("id"))
     return fusion.pool(runs, 25, extra).select("qid", "id", "best", "found_by", "position")
 
 
 _VREL = ", rel AS (SELECT q.vec_id AS qid, d.vec_id AS id FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id < 20), qs AS (SELECT vec_id AS qid, CASE label % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'temporal' ELSE 'entity' END AS query_class FROM embeddings WHERE vec_id < 20), own AS (SELECT qid, id, (rank - 1)::INT AS rank FROM dense WHERE qid <> id AND rank > 1),"
 
 
-def _vector_eval(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _vector_eval(spark: SparkSession, sf: str, which: str = FIRST) -> tuple[DataFrame, DataFrame, DataFrame]:
     v = label_vectors(spark, sf)
-    own = dense.search_batch(v, vector_queries(spark, sf), 100).where("qid <> id AND rank > 1").withColumn("rank", F.col("rank") - 1)
-    asked = v.where("id < 20").select(F.col("id").alias("qid"), "label")
+    own = dense.search_batch(v, vector_queries(spark, sf, which), 100).where("qid <> id AND rank > 1").withColumn("rank", F.col("rank") - 1)
+    asked = v.where(which.replace("vec_id", "id")).select(F.col("id").alias("qid"), "label")
     classes = asked.select("qid", F.element_at(F.array(F.lit("semantic"), F.lit("temporal"), F.lit("entity")), F.col("label") % 3 + 1).alias("query_class"))
     relevant = asked.join(v.select("id", "label"), "label").where("qid <> id").select("qid", "id")
     return own, classes, relevant
 
 
-@query("WITH" + _DENSE + _VREL + _METRICS.format(run="own") + _SUMMARY)
-def recall_mrr_ndcg(spark: SparkSession, sf: str) -> DataFrame:
-    own, classes, relevant = _vector_eval(spark, sf)
+@vector_query("WITH" + _DENSE + _VREL + _METRICS.format(run="own") + _SUMMARY)
+def recall_mrr_ndcg(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
+    own, classes, relevant = _vector_eval(spark, sf, which)
     return metrics.summary(metrics.per_query(own, classes, relevant))
 
 
-@query("WITH" + _DENSE + _VREL + _METRICS.format(run="own") + " SELECT qid, query_class, n_relevant, found_at, round(recall_5, 6) AS recall_5, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg FROM pq")
-def per_query_found_at(spark: SparkSession, sf: str) -> DataFrame:
-    own, classes, relevant = _vector_eval(spark, sf)
+@vector_query("WITH" + _DENSE + _VREL + _METRICS.format(run="own") + " SELECT qid, query_class, n_relevant, found_at, round(recall_5, 6) AS recall_5, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg FROM pq")
+def per_query_found_at(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
+    own, classes, relevant = _vector_eval(spark, sf, which)
     per = metrics.per_query(own, classes, relevant)
     return per.select("qid", "query_class", "n_relevant", "found_at", *[F.round(c, 6).alias(c) for c in ("recall_5", "rr", "ndcg")])
 
 
-@query("WITH" + _DENSE + _VREL.rstrip(",") + " SELECT qid, (list(rank ORDER BY rank, id))[1:8] AS ranks FROM own JOIN rel USING (qid, id) GROUP BY qid")
-def chunk_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    own, _, relevant = _vector_eval(spark, sf)
+@vector_query("WITH" + _DENSE + _VREL.rstrip(",") + " SELECT qid, (list(rank ORDER BY rank, id))[1:8] AS ranks FROM own JOIN rel USING (qid, id) GROUP BY qid")
+def chunk_ranks(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
+    own, _, relevant = _vector_eval(spark, sf, which)
     got = metrics.chunk_ranks(own, relevant, F.col("id"))
     return got.select("qid", F.transform("chunks", lambda c: c["rank"]).alias("ranks"))
 
@@ -335,21 +339,25 @@ def dimension_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
-    v, q = label_vectors(spark, sf), vector_queries(spark, sf)
+    v, q = label_vectors(spark, sf), vector_queries(spark, sf, EVERY)
     placed, centres = dense.ivf_build(v)
     return dense.ann_recall(dense.search_batch(v, q, 20), dense.ivf_search(placed, centres, q, 20, 8))
 
 
-@query("WITH" + _DENSE + _VREL.rstrip(",") + f""", fa AS (SELECT qid, min(rank) AS found_at FROM own JOIN rel USING (qid, id) GROUP BY qid),
+_TAXONOMY = "WITH" + _DENSE + _VREL.rstrip(",") + f""", fa AS (SELECT qid, min(rank) AS found_at FROM own JOIN rel USING (qid, id) GROUP BY qid),
 nr AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid),
 pq AS (SELECT q.qid, q.query_class, n, found_at, CASE WHEN q.qid % 5 = 0 THEN 'bad_label: by hand' ELSE '' END AS notes, CASE WHEN q.qid % 2 = 0 THEN 'pricing memo terms' END AS document FROM qs q JOIN nr USING (qid) LEFT JOIN fa USING (qid))
 SELECT qid::VARCHAR AS query_id, CASE WHEN contains(notes, 'bad_label') THEN 'bad_label' WHEN query_class = 'temporal' THEN 'temporal' WHEN n > 1 THEN 'multi_hop' WHEN document IS NULL THEN 'vocabulary' ELSE 'ranking' END AS category
-FROM pq WHERE found_at IS NULL OR found_at > 1""")
-def failure_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
-    own, classes, relevant = _vector_eval(spark, sf)
+FROM pq WHERE found_at IS NULL OR found_at > 1"""
+
+
+@vector_query(_TAXONOMY, _TAXONOMY.replace("q.qid % 5", "q.qid // 20 % 5").replace("q.qid % 2", "q.qid // 20 % 2"))
+def failure_taxonomy(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
+    own, classes, relevant = _vector_eval(spark, sf, which)
     per = metrics.per_query(own, classes, relevant)
+    number = query_number(which)
     rows = per.where("n_relevant > 0").select(
         F.col("qid").cast("string").alias("query_id"), F.lit("pricing memo").alias("query"), "query_class", "n_relevant", "found_at", F.lit(None).cast("int").alias("best_chunk_rank"),
-        F.when(F.col("qid") % 5 == 0, "bad_label: by hand").otherwise("").alias("notes"), F.when(F.col("qid") % 2 == 0, "pricing memo terms").alias("document"),
+        F.when(number % 5 == 0, "bad_label: by hand").otherwise("").alias("notes"), F.when(number % 2 == 0, "pricing memo terms").alias("document"),
     )
     return misses(rows, k=1).select("query_id", "category")

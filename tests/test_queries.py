@@ -47,3 +47,29 @@ def test_entry(spark):
     out = e.entry(spark)
     assert out.columns == ["qid", "id", "score", "rank"] and out.count() > 0
     assert set(SQL) <= set(e.oracle_sql()) <= set(e.queries())
+
+
+EVERY = sorted(n for n in QUERIES if n.endswith("_every"))
+
+
+def test_all_query_vectors_are_answered(spark, sf):
+    """Every id divisible by 20, however many vectors there are: 25 of the 500 here."""
+    want = {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()}
+    assert len(EVERY) == 11 and len(want) == 25
+    for name in ("dense_topk_every", "dense_topk_batch_every", "rrf_fusion_every", "per_query_found_at_every"):
+        assert {r[0] for r in QUERIES[name](spark, sf).select("qid").distinct().collect()} == want
+    assert QUERIES["recall_mrr_ndcg_every"](spark, sf).where("query_class = 'all'").first()["n_queries"] == 25
+    assert QUERIES["multi_query_fusion_every"](spark, sf).select("qid").distinct().count() == 13
+
+
+def test_ann_recall_is_measured_on_all_query_vectors(spark, sf):
+    from postquill.operators import dense
+    from postquill.plans.base import label_vectors
+
+    v = label_vectors(spark, sf)
+    q = v.where("id % 20 = 0").select(v.id.alias("qid"), v.embedding.alias("vector"))
+    placed, centres = dense.ivf_build(v)
+    exact, near = (r.groupBy("qid").agg({"id": "collect_set"}).toPandas().set_index("qid").iloc[:, 0] for r in (dense.search_batch(v, q, 20), dense.ivf_search(placed, centres, q, 20, 8)))
+    want = [len(set(exact[i]) & set(near[i])) / len(exact[i]) for i in exact.index]
+    got = QUERIES["ann_recall"](spark, sf).first()
+    assert len(want) == 25 and abs(got["mean_recall"] - sum(want) / 25) < 1e-9 and got["worst_recall"] == min(want)
