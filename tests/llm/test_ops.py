@@ -268,6 +268,23 @@ def test_toxicity_held_out(spark, docs, labels, empty):
     assert toxicity.score(docs, 0.25).agg(F.min("__score")).first()[0] == 0.25
 
 
+def test_toxicity_held_out_by_language(spark):
+    sf = "/root/testdata/sf0.1"
+    marks = spark.read.parquet(f"{sf}/labels.parquet")
+    lang = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    out = toxicity.op5_toxicity(spark, sf).join(marks, "doc_id").join(lang, "doc_id").where("held_out").toPandas()
+    least = {"en": 0.85, "de": 0.85, "fr": 0.85, "es": 0.4}  # 12 toxic rows in es
+    for name, part in out.groupby("lang"):
+        toxic = part.toxic == 1
+        print("toxicity held out:", name, part.predicted[toxic].sum(), "of", toxic.sum(), "toxic,", part.predicted[~toxic].sum(), "of", (~toxic).sum(), "clean")
+        assert part.predicted[toxic].mean() >= least[name] and part.predicted[~toxic].mean() < 0.06, name
+
+
+def test_evidence_takes_three_windows():
+    found, value = toxicity.evidence(np.array([1.0, 4, 2, 3, 5]), np.array([0, 0, 0, 0, 7]))
+    assert found.tolist() == [0, 7] and np.allclose(value, [(4 + 3) / 2, (5 + (5 + 2 * toxicity.NOTHING) / 3) / 2])
+
+
 def test_every_word_is_in_two_windows_or_at_an_end():
     text = np.repeat([0, 2, 5], [5, 70, 32])
     start, owner = toxicity.windows(text)
