@@ -60,6 +60,17 @@ def term_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(b, F.col("item_id") == F.col("doc_id") % 40).select("doc_id", "item_id", F.round(text.term_overlap("q", "text"), 6).alias("overlap"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, {_T.format(x="text")} AS t FROM documents), b AS (SELECT item_id, {_T.format(x="text")} AS t FROM benchmark)
+SELECT doc_id, item_id, round(CASE WHEN len(b.t) = 0 THEN 0 ELSE len(list_intersect(b.t, d.t)) / len(b.t) END, 6) AS overlap FROM d CROSS JOIN b""")
+def term_overlap_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document against every item; a document first keeps only terms that some item has."""
+    b = table(spark, sf, "benchmark").select("item_id", text.content_terms("text").alias("q"))
+    asked = b.select(F.explode("q").alias("term")).agg(F.collect_set("term").alias("asked"))  # one row
+    d = table(spark, sf, "documents").crossJoin(asked).select("doc_id", F.array_intersect(text.content_terms("text"), "asked").alias("t"))
+    share = F.size(F.array_intersect("t", "q")) / F.nullif(F.size("q"), F.lit(0))
+    return d.crossJoin(b).select("doc_id", "item_id", F.round(F.coalesce(share, F.lit(0.0)), 6).alias("overlap"))
+
+
 @query("""WITH p AS (SELECT quality::VARCHAR AS a, (1 - toxic)::VARCHAR AS b FROM labels), n AS (SELECT count(*) AS n, avg((a = b)::INT) AS po FROM p),
 e AS (SELECT sum(x.c * y.c) / (SELECT n FROM n) / (SELECT n FROM n) AS pe FROM (SELECT a, count(*)::DOUBLE AS c FROM p GROUP BY a) x JOIN (SELECT b, count(*)::DOUBLE AS c FROM p GROUP BY b) y ON x.a = y.b)
 SELECT n, round(po, 6) AS observed, round(pe, 6) AS expected, round((po - pe) / (1 - pe), 6) AS kappa FROM n, e""")

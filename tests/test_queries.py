@@ -73,3 +73,14 @@ def test_ann_recall_is_measured_on_all_query_vectors(spark, sf):
     want = [len(set(exact[i]) & set(near[i])) / len(exact[i]) for i in exact.index]
     got = QUERIES["ann_recall"](spark, sf).first()
     assert len(want) == 25 and abs(got["mean_recall"] - sum(want) / 25) < 1e-9 and got["worst_recall"] == min(want)
+
+
+def test_every_document_meets_every_item(spark, tmp_path):
+    """More items than 40, a null text and an item without terms."""
+    spark.createDataFrame([(i, f"word{i} common the", None) for i in range(60)] + [(60, "the", None)], "item_id long, text string, x string").drop("x").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "word59 word3"), (41, "common common"), (2, None), (2, "word7 common")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["term_overlap_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == 4 * 61
+    some = {(d, i): o for d, i, o in got if d != 2}
+    assert some[1, 59] == some[1, 3] == some[41, 59] == 0.5 and some[1, 4] == some[1, 60] == 0
+    assert sorted(o for d, i, o in got if d == 2 and i == 7) == [0, 1]
