@@ -8,7 +8,7 @@ one branch. A template (a leaf) is rejected if the smoothed purity of its labels
 ``(blocked + ALPHA * prior) / (labelled + ALPHA)``, exceeds ``REJECT``. The labels
 are the verdicts of the rules where one fits. Levels are built over all hosts at
 once from counts per template, so a host of any size is never one task's group;
-segments beyond ``DEPTH`` levels count as one.
+there are as many levels as the longest path has segments.
 
 Defined results: a null URL or one without ``://`` has empty host and path and no
 rule; repeated rows are judged alike; templates without labels get the prior, so
@@ -30,7 +30,6 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-DEPTH = 8
 MANY, RARE = 32, 0.02
 ALPHA, REJECT, Z = 4.0, 0.5, 2.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,9 +55,7 @@ def ruled(rules=RULES) -> tuple[Column, Column]:
 def shape(path: str = "path") -> Column:
     """The segments of a path, runs of digits and hexadecimal ids made wildcards."""
     hexed = F.regexp_replace(F.col(path), r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{8,}(?![0-9A-Za-z])", "{x}")
-    parts = F.split(F.regexp_replace(hexed, r"[0-9]+", "{n}"), "/", -1)
-    tail = F.slice(parts, DEPTH, F.greatest(F.size(parts) - DEPTH + 1, F.lit(0)))
-    return F.when(F.size(parts) <= DEPTH, parts).otherwise(F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.array_join(tail, "/"))))
+    return F.split(F.regexp_replace(hexed, r"[0-9]+", "{n}"), "/", -1)
 
 
 def template_tree(urls: DataFrame) -> DataFrame:

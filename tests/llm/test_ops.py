@@ -418,6 +418,15 @@ def test_template_tree_rejects_labelled_templates(spark):
     assert len({r["template"] for k, r in tree.items() if k[1][1].startswith("word")}) == 1
 
 
+def test_template_tree_reads_segments_of_any_depth(spark):
+    deep = "/a/b/c/d/e/f/g"
+    rows = [("h.org", f"{deep}/{kind}/w{chr(97 + i % 26)}{chr(97 + i // 26)}", verdict) for kind, verdict in (("spam", "block"), ("good", "allow")) for i in range(200)]
+    table = spark.createDataFrame(rows, "host string, path string, verdict string").select("host", urls.shape().alias("shape"), "verdict")
+    got = urls.template_tree(table).collect()
+    assert len(got) == 400 and {len(r["shape"]) for r in got} == {10}
+    assert all((r["purity"] > urls.REJECT) == (r["shape"][8] == "spam") for r in got)
+
+
 # -- 9
 
 
