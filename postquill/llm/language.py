@@ -9,7 +9,8 @@ shorter contexts for n-grams that no language has seen. The language that codes
 the whole text in the fewest bits is predicted.
 
 Training takes at most ``SAMPLE`` documents a language (drawn by a hash of the id,
-of at most ``SAMPLE_BYTES`` bytes) among those that are not held out.
+of at most ``SAMPLE_BYTES`` bytes) among those that are not held out; a language
+whose documents are all longer is learned from their first ``SAMPLE_BYTES`` characters.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and
 for every text where nothing could be learned; ties go to the first language in
@@ -154,18 +155,21 @@ def held_out(column: str):
 def learn(docs: DataFrame, sample: int = SAMPLE, longest: int = SAMPLE_BYTES) -> ContextTrees | None:
     """Trains on the bounded sample; only counts per language come from all rows."""
     spark = docs.sparkSession
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.octet_length("text").between(1, longest))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = F.octet_length("text")
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id") & (size >= 1))
+    counts = {r["lang"]: (r["n"], r["short"]) for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(size <= longest).alias("short")).collect()}
     if not counts:
         return None
-    rates = spark.createDataFrame([(lang, min(1.0, 1.3 * sample / n)) for lang, n in counts.items()], "__lang string, __rate double")
+    # a language without short documents is learned from the starts of long ones
+    rates = spark.createDataFrame([(lang, min(1.0, 1.3 * sample / (short or n)), not short) for lang, (n, short) in counts.items()], "__lang string, __rate double, __long boolean")
     lot = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) / 1_000_000
-    rows = usable.join(F.broadcast(rates), F.col("lang") == F.col("__lang")).where(lot < F.col("__rate")).select("lang", "doc_id", "text").limit(2 * sample * len(counts)).toArrow()
+    taken = usable.join(F.broadcast(rates), F.col("lang") == F.col("__lang")).where((lot < F.col("__rate")) & ((size <= longest) | F.col("__long")))
+    rows = taken.select("lang", lot.alias("lot"), "doc_id", F.substring("text", 1, longest).alias("text")).limit(2 * sample * len(counts)).toArrow()
     by_lang: dict[str, list[tuple]] = {}
-    for lang, doc_id, text in zip(*(rows.column(c).to_pylist() for c in ("lang", "doc_id", "text"))):
-        by_lang.setdefault(lang, []).append((doc_id, text))
+    for lang, *row in zip(*(rows.column(c).to_pylist() for c in ("lang", "lot", "doc_id", "text"))):
+        by_lang.setdefault(lang, []).append(tuple(row))
     languages = sorted(by_lang)
-    return train(languages, [[t for _, t in sorted(by_lang[x])[:sample]] for x in languages])
+    return train(languages, [[t for *_, t in sorted(by_lang[x])[:sample]] for x in languages])
 
 
 def identify(docs: DataFrame, trees: ContextTrees | None, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:

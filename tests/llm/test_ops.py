@@ -336,6 +336,23 @@ def test_language_held_out(spark, docs, empty, sf):
     assert language.learn(empty) is None and {r["__lang"] for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_of_long_documents_only(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 60), "en") for i in range(40)] + [(100 + i, prose(rng, 4000, "uvwxyz"), "xx") for i in range(8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(len(t) > language.SAMPLE_BYTES for _, t, lang in rows if lang == "xx")
+    trees = language.learn(table)
+    assert list(trees.languages) == ["en", "xx"]
+    assert all(r["__lang"] == r["lang"] for r in language.identify(table, trees, ("doc_id", "text", "lang")).collect())
+    # the sample is drawn by the hash, not by the smallest ids
+    monkeypatch.setattr(language, "train", lambda languages, texts: dict(zip(languages, texts)))
+    lot = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000))
+    usable = table.where((F.col("lang") == "en") & ~language.held_out("doc_id"))
+    want = [r["text"] for r in usable.orderBy(lot, "doc_id").limit(5).collect()]
+    got = language.learn(table, sample=5)["en"]
+    assert got == want[: len(got)] and got
+
+
 # -- 7
 
 
