@@ -6,31 +6,33 @@ over all documents, words hashed to ``DF_BUCKETS``. Improved consistent weighted
 sampling draws ``BANDS * ROWS`` samples a document, whose bands give candidates;
 candidates are verified by exact weighted Jaccard similarity of whole texts.
 
-Identical texts form a class before any sampling, and one document stands for
-them. In a band's bucket everyone is first compared with two of its members. Where a
-bucket then holds several components, all pairs of its members are compared, by
-matrix products over blocks of ``BLOCK`` members, and only the links that join
-components leave a block. So no candidate pair that could join two components is
-left out and none is written. The result is one row per document.
+Identical texts form a class before any sampling, and one row stands for them. In
+a band's bucket everyone is first compared with two of its members. Where a bucket
+then holds several components, the members outside its largest component are compared
+with all its members, by matrix products over blocks of ``BLOCK``, and only the links
+that join components leave a block. So no candidate pair that could join two
+components is left out, and none is written. Buckets and texts of very many rows
+(at most ``HOT_KEYS`` of them) meet their rows by a broadcast, the rest by a shuffle, so
+no key fills one task. The result is one row per document.
 
 Defined results: a null text is empty; documents without words are alike only if
 their texts are identical; one with fewer than five words is a single shingle;
-repeated rows stay rows; a null id never stands for a class while another member
-has one; an empty table gives no rows.
+repeated rows stay rows, and rows of different texts may share an id; rows without an
+id are searched like all others, but a null id never stands for a class while another
+member has one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import materialise, table
+from ..session import discard, materialise, table
 from .bytekit import U64, buffers, fold_case, mix64, prefix_hash, slices, span_hash, words
 
 SHINGLE = 5
@@ -38,6 +40,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 #: Members of a bucket whose pairs one task compares.
 BLOCK = 1024
+#: Most keys that are broadcast: those of more than a ``HOT_KEYS``-th of all rows.
+HOT_KEYS = 1000
 DF_BITS = 16
 DF_BUCKETS = 1 << DF_BITS
 DF_PARTS = 64
@@ -145,9 +149,7 @@ def _sign(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = shared.value
         for batch in batches:
-            buf, offsets = buffers(batch.column(1))
-            raw = buf.tobytes()
-            same = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            buf, offsets = buffers(batch.column(2))
             weight = np.zeros(len(batch))
             bands: list = [[]] * len(batch)
             for a, b in slices(offsets):
@@ -164,7 +166,7 @@ def _sign(shared):
                     signs[:, band] = h
                 for i, text in enumerate(found.tolist()):
                     bands[a + text] = signs[i, :BANDS].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(weight), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "same", "weight", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "same", "weight", "bands"])
 
     return run
 
@@ -201,10 +203,12 @@ def _verify(shared, similarity: float):
     return run
 
 
-def block_links(texts: list[str], parts: np.ndarray, idf: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def block_links(texts: list[str], parts: np.ndarray, idf: np.ndarray, similarity: float, lead: int | None = None) -> list[tuple[int, int]]:
     """Pairs of places that join all components of ``parts`` which some pair of alike
-    texts joins: every pair is compared, by matrix products. A shingle that occurs
-    c times counts as c shingles, so that shared weight is an inner product."""
+    texts joins: each of the first ``lead`` texts (all) is compared with all, by matrix
+    products. A shingle that occurs c times counts as c shingles, so that shared weight
+    is an inner product."""
+    lead = len(texts) if lead is None else lead
     buf, offsets = buffers(pa.array(texts, pa.large_string()))
     cut = [counted_shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], idf) for a, b in slices(offsets)]
     owner = np.concatenate([c[0] + a for c, (a, _) in zip(cut, slices(offsets))])
@@ -235,13 +239,13 @@ def block_links(texts: list[str], parts: np.ndarray, idf: np.ndarray, similarity
         return p
 
     found = []
-    for a in range(0, len(texts), tile):
-        left = rows(a, min(a + tile, len(texts)))
+    for a in range(0, lead, tile):
+        left = rows(a, min(a + tile, lead))
         for b in range(a, len(texts), tile):
             both = left @ rows(b, min(b + tile, len(texts))).T
-            every = total[a : a + tile, None] + total[None, b : b + tile] - both
+            every = total[a : min(a + tile, lead), None] + total[None, b : b + tile] - both
             alike = (both >= (similarity - _EXACT) * every) & (every > 0)
-            alike &= parts[a : a + tile, None] != parts[None, b : b + tile]
+            alike &= parts[a : min(a + tile, lead), None] != parts[None, b : b + tile]
             for i, j in zip(*(x.tolist() for x in np.nonzero(alike))):
                 p, q = find(int(parts[a + i])), find(int(parts[b + j]))
                 if p != q:
@@ -252,60 +256,115 @@ def block_links(texts: list[str], parts: np.ndarray, idf: np.ndarray, similarity
 
 def _block(shared, similarity: float):
     def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("inner", "ascending"), ("id", "ascending")])  # those outside the largest component first
         ids = group.column("id").to_numpy()
-        pairs = block_links(group.column("text").to_pylist(), group.column("part").to_numpy(), shared.value, similarity)
+        lead = group.num_rows - int(group.column("inner").to_numpy().sum())
+        pairs = block_links(group.column("text").to_pylist(), group.column("part").to_numpy(), shared.value, similarity, lead)
         return pa.table({"a": pa.array([int(ids[i]) for i, _ in pairs], pa.int64()), "b": pa.array([int(ids[j]) for _, j in pairs], pa.int64())})
 
     return run
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id): the smallest id of the documents linked to it, itself if none."""
+def by_key(rows: DataFrame, known: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` inner-joined with ``known`` (one row for each ``key``, with the number ``n`` of
+    its rows). Keys of more than ``total / HOT_KEYS`` rows, of which there are fewer than
+    ``HOT_KEYS``, are broadcast; the others are shuffled."""
+    limit = max(total // HOT_KEYS, 256)
+    known = known.withColumnRenamed(key, "__key")
+    hot, cold = known.where(F.col(n) > limit), known.where(F.col(n) <= limit)
+    many = rows.join(F.broadcast(hot), F.col(key) == F.col("__key"))
+    few = rows.join(F.broadcast(hot.select("__key")), F.col(key) == F.col("__key"), "left_anti").join(cold, F.col(key) == F.col("__key"))
+    return many.unionByName(few).drop("__key")
+
+
+def _same(text: str = "text") -> Column:
+    """16 bytes that stand for a whole text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+
+
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, same) of every row; of every distinct text (same, lead, copies, class_key,
+    class_id), where ``lead`` is its smallest id; the number of rows."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    idf = spark.sparkContext.broadcast(inverse_frequencies(rows, rows.count()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _same().alias("same"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = rows.count()
+    idf = spark.sparkContext.broadcast(inverse_frequencies(rows, total))
     signed = materialise(rows.mapInArrow(_sign(idf), "doc_id long, same binary, weight double, bands array<long>"), "near-signs")
 
-    # identical texts: one document stands for each
-    lead = signed.groupBy("same").agg(F.min("doc_id").alias("lead"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
-    lead = materialise(lead, "near-leads")
-    banded = lead.where(F.col("lead").isNotNull()).select(F.col("lead").alias("id"), "weight", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("__b"))
-    members = materialise(banded.join(shared, F.col("bucket") == F.col("__b")).drop("__b").distinct(), "near-members")
-    wanted = members.select("id").distinct()
-    texts = materialise(rows.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "near-texts")
-
-    def verified(pairs: DataFrame, tag: str) -> DataFrame:
+    # identical texts: one row stands for each; the number it gets holds from here on, as the table is written
+    lead = signed.groupBy("same").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    lead = materialise(lead.withColumn("id", F.monotonically_increasing_id()), "near-leads")
+    banded = lead.select("id", "weight", F.explode("bands").alias("bucket"))
+    ends = [f(F.struct("id", "weight")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    hubs = materialise(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1"), "near-hubs")
+    n_members = hubs.agg(F.sum("n")).first()[0] or 0
+    members = materialise(by_key(banded, hubs, "bucket", "n", n_members), "near-members")
+    wanted = lead.select("same", "copies", "id").join(members.select(F.col("id").alias("__id")).distinct(), F.col("id") == F.col("__id"), "left_semi")
+    texts = by_key(rows.select("same", "text"), wanted, "same", "copies", total).groupBy("id").agg(F.first("text").alias("text"))
+    texts = materialise(texts, "near-texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
         """The links among ``pairs`` (a, b, and their weights)."""
         close = F.least("wa", "wb") >= F.greatest("wa", "wb") * (similarity - 1e-6)
         fresh = pairs.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+        right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         both = fresh.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-        return materialise(both.mapInArrow(_verify(idf, similarity), "a long, b long"), tag)
+        return materialise(both.mapInArrow(_verify(idf, similarity), "a long, b long"), "near-links")
 
     # everyone in a bucket with its smallest and its largest member
-    hubs = members.groupBy("bucket").agg(*[f(F.struct("id", "weight")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]).withColumnRenamed("bucket", "__b")
-    hub = members.join(hubs, F.col("bucket") == F.col("__b")).select("id", "weight", F.explode(F.array("lo", "hi")).alias("hub"))
-    links = verified(hub.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("weight").alias("wa"), F.col("hub.weight").alias("wb")), "near-links")
+    hub = members.select("id", "weight", F.explode(F.array("lo", "hi")).alias("hub"))
+    links = verified(hub.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("weight").alias("wa"), F.col("hub.weight").alias("wb")))
     parts = materialise(connected_components(links), "near-parts")
 
-    # where a bucket still holds several components, all its pairs, in blocks
-    comp = parts.select(F.col("id").alias("__id"), "component")
-    now = members.join(comp, F.col("id") == F.col("__id"), "left").withColumn("part", F.coalesce("component", "id")).drop("__id", "component")
-    split = now.groupBy("bucket").agg(F.min("part").alias("p_lo"), F.max("part").alias("p_hi"), F.count(F.lit(1)).alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    split = split.where("p_lo <> p_hi").withColumnRenamed("bucket", "__b").withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
-    apart = now.join(split, F.col("bucket") == F.col("__b")).where("id <> lo AND id <> hi")  # the hubs were compared with everyone
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    apart = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    apart = apart.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "part")
-    apart = apart.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("bucket", "i", "j", "id", "part", "text")
+    # where a bucket still holds several components, those outside the largest one with all, in blocks
+    now = members.select("id", "bucket").join(parts.select(F.col("id").alias("__id"), "component"), F.col("id") == F.col("__id"), "left")
+    now = now.select("id", "bucket", F.coalesce("component", "id").alias("part"))
+    sizes = now.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
+    split = sizes.agg(F.sum("k").alias("m"), F.max(F.struct("k", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    # the smallest and the largest were compared with everyone, so two parts that are both single need no more
+    split = split.where("m > 2").select("bucket", "m", F.col("most.part").alias("big"), F.ceil(F.col("most.k") / F.lit(BLOCK)).cast("int").alias("bigs"), F.ceil((F.col("m") - F.col("most.k")) / F.lit(BLOCK)).cast("int").alias("outs"))
+    apart = by_key(now, materialise(split, "near-split"), "bucket", "m", n_members)
+    inner = (F.col("part") == F.col("big")).cast("int")
+    apart = apart.withColumn("inner", inner).withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("inner") == 1, F.col("bigs")).otherwise(F.col("outs"))).cast("int"))
+    among = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    with_big = F.transform(F.sequence(F.lit(0), F.col("bigs") - 1), lambda o: F.struct(F.col("own").alias("i"), (-1 - o).alias("j")))
+    with_out = F.transform(F.sequence(F.lit(0), F.col("outs") - 1), lambda o: F.struct(o.alias("i"), (-1 - F.col("own")).alias("j")))
+    apart = apart.withColumn("at", F.explode(F.when(F.col("inner") == 1, with_out).otherwise(F.concat(among, with_big)))).select("bucket", "at.i", "at.j", "inner", "id", "part")
+    apart = apart.join(texts.select(F.col("id").alias("__id"), "text"), F.col("id") == F.col("__id")).drop("__id")
     more = materialise(apart.groupBy("bucket", "i", "j").applyInArrow(_block(idf, similarity), "a long, b long"), "near-more")
+    discard(texts, members, hubs)
     if more.limit(1).count():
-        parts = connected_components(links.unionByName(more))
-    parts = parts.select(F.col("id").alias("__id"), "component")
-    classes = lead.join(parts, F.col("lead") == F.col("__id"), "left").select(F.col("same").alias("__same"), F.coalesce("component", "lead").alias("class_id"))
-    return signed.select("doc_id", "same").join(classes, F.col("same") == F.col("__same")).select("doc_id", "class_id")
+        old, parts = parts, materialise(connected_components(links.unionByName(more)), "near-parts")
+        discard(old)
+
+    light = lead.select("id", "same", "lead", "copies").join(parts.select(F.col("id").alias("__id"), "component"), F.col("id") == F.col("__id"), "left").drop("__id")
+    linked = light.where(F.col("component").isNotNull())
+    heads = linked.groupBy("component").agg(F.min("lead").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    linked = by_key(linked.withColumnRenamed("component", "class_key"), heads.withColumnRenamed("component", "class_key"), "class_key", "n", n_members)
+    alone = light.where(F.col("component").isNull()).withColumn("class_key", F.col("id")).withColumn("class_id", F.col("lead"))
+    columns = ["same", "lead", "copies", "class_key", "class_id"]
+    found = materialise(linked.select(columns).unionByName(alone.select(columns)), "near-classes")
+    discard(lead, parts, links, more)
+    return signed.select("doc_id", "same"), found, total
+
+
+def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id): the smallest id of the documents linked to it, itself if none."""
+    rows, classes, total = _classes(docs, similarity)
+    return by_key(rows, classes, "same", "copies", total).select("doc_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stand for their classes, one for each: that of the smallest
+    id, rows without an id last, ties to the smaller hash of the text. Repeated rows
+    count once."""
+    _, classes, _ = _classes(docs, similarity)
+    best = classes.groupBy("class_key").agg(F.min(F.struct(F.col("lead").isNull().alias("none"), "lead", "same")).alias("best"))
+    best = best.select(F.col("best.lead").alias("__lead"), F.col("best.same").alias("__same"))
+    own = docs.withColumn("__own", _same()).withColumn("__id", F.col("doc_id").cast("long"))
+    kept = own.join(best, (F.col("__own") == F.col("__same")) & F.col("__id").eqNullSafe(F.col("__lead")), "left_semi")
+    return kept.dropDuplicates(["__id", "__own"]).select(*docs.columns)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
