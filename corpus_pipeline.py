@@ -26,11 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id stay unless their text repeats; repeated rows count once."""
-    classes = neardup.near_duplicate_classes(docs)
-    kept = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])).select(*docs.columns)
+    """One row of each class stays, whether or not its rows have ids; repeated rows count once."""
+    return neardup.one_of_each(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
