@@ -19,6 +19,7 @@ share of label 1 (0 without labels); an empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -388,13 +389,27 @@ def held_out(column: str):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Network | float:
-    """A trained network, or the share of label 1 where there is nothing to tell apart."""
-    rows = training_rows(docs, labels).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    y = np.array(rows.column("toxic").to_pylist(), np.int64)
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All training rows of the one task into a pickled model."""
+    rows = pa.Table.from_batches(list(batches), schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())]))
+    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    y = rows.column("toxic").to_numpy().astype(np.int64)
     if len(y) < 10 or y.min() == y.max():
-        return float(y.mean()) if len(y) else 0.0
-    return fit(rows.column("text").to_pylist(), y)
+        model: Network | float = float(y.mean()) if len(y) else 0.0
+    else:
+        model = fit(rows.column("text").to_pylist(), y)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Network | float:
+    """A trained network, or the share of label 1 where there is nothing to tell apart.
+
+    One task trains on the bounded sample, so a lost executor repeats the training and
+    the driver holds nothing but the model.
+    """
+    rows = training_rows(docs, labels).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"))
+    found = rows.coalesce(1).mapInArrow(_fit_rows, "model binary").first()
+    return pickle.loads(found["model"]) if found else 0.0
 
 
 def _score(model):
