@@ -2,7 +2,9 @@
 
 Two bag-of-hashed-n-gram models, of the target text (documents labelled of good
 quality) and of all raw text, give each document the log ratio of the two
-likelihoods per n-gram, times ``min(n-grams, EVIDENCE)``. Sampling without
+likelihoods per n-gram, times the mean number of n-grams of all documents: the
+importance weight of a text of mean length, so that length alone decides nothing.
+Sampling without
 replacement in proportion to these importance weights is Gumbel top-k: the ``k``
 documents with the largest log weight plus Gumbel noise. The noise is a hash of
 the id, so reruns agree; the k-th largest key is found by counting, 16 bits at a
@@ -32,7 +34,6 @@ from .bytekit import U64, buffers, fold_case, mix64, prefix_hash, slices, span_h
 BITS = 16
 BUCKETS = 1 << BITS
 TARGET = 20_000
-EVIDENCE = 200
 SMOOTH = 1.0
 
 
@@ -68,7 +69,7 @@ def _count(shared):
     return run
 
 
-def _weigh(shared):
+def _weigh(shared, length: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value
         for batch in batches:
@@ -76,14 +77,14 @@ def _weigh(shared):
             for a, b, bucket, text in _parts(batch):
                 total[a:b] = np.bincount(text, ratio[bucket], minlength=b - a)
                 n[a:b] = np.bincount(text, minlength=b - a)
-            weight = total / np.maximum(n, 1) * np.minimum(n, EVIDENCE)
+            weight = total / np.maximum(n, 1) * length
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(n)], names=["doc_id", "log_weight", "n_grams"])
 
     return run
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, target: int = TARGET) -> np.ndarray:
-    """Log of target over raw share of every bucket."""
+def log_ratios(docs: DataFrame, labels: DataFrame, target: int = TARGET) -> tuple[np.ndarray, int]:
+    """Log of target over raw share of every bucket, and the number of all n-grams."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"))
     ids = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target).toArrow().column(0).to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(np.unique(ids))
@@ -95,7 +96,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, target: int = TARGET) -> np.n
     # the target's share is shrunk towards the raw one where it has seen little
     share = (raw + SMOOTH) / (raw.sum() + SMOOTH * BUCKETS)
     strength = 50.0
-    return np.log((hit + strength * share * BUCKETS / 8) / (hit.sum() + strength * BUCKETS / 8)) - np.log(share) if hit.sum() else np.zeros(BUCKETS)
+    ratio = np.log((hit + strength * share * BUCKETS / 8) / (hit.sum() + strength * BUCKETS / 8)) - np.log(share) if hit.sum() else np.zeros(BUCKETS)
+    return ratio, int(raw.sum())
 
 
 def top_k(rows: DataFrame, key: str, id_: str, k: int) -> DataFrame:
@@ -128,15 +130,15 @@ def top_k(rows: DataFrame, key: str, id_: str, k: int) -> DataFrame:
 
 def resample(docs: DataFrame, labels: DataFrame, seed: int = 1) -> DataFrame:
     """doc_id, log_weight, gumbel_key, selected of every document."""
-    ratio = log_ratios(docs, labels)
+    ratio, n_grams = log_ratios(docs, labels)
+    n = docs.count()
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    weighed = rows.mapInArrow(_weigh(shared), "doc_id long, log_weight double, n_grams long")
+    weighed = rows.mapInArrow(_weigh(shared, n_grams / max(n, 1)), "doc_id long, log_weight double, n_grams long")
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + 0.5) / float(1 << 53)
     keyed = weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
     keyed = materialise(keyed.withColumn("order_key", F.round(F.col("gumbel_key") * (1 << 20)).cast("long")), "importance")
     share = labels.where(F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
-    n = keyed.count()
     k = n if share is None else round(n * share)
     if not n:
         return keyed.select("doc_id", "log_weight", "n_grams", "gumbel_key", F.lit(True).alias("selected"))

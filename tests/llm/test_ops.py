@@ -97,10 +97,20 @@ def test_importance(spark, docs, labels, empty):
         np.add.at(raw, bucket, 1)
         if i in good:
             np.add.at(hit, bucket, 1)
-    ratio = importance.log_ratios(docs, labels)
+    ratio, n_grams = importance.log_ratios(docs, labels)
+    assert n_grams == raw.sum()
     p = (raw + 1) / (raw.sum() + importance.BUCKETS)
     a = 50 * importance.BUCKETS / 8
     assert np.allclose(ratio, np.log((hit + a * p) / (hit.sum() + a)) - np.log(p))
+    # weights and keys by hand, over all n-grams however many
+    texts = dict(rows)
+    for r in got:
+        bucket, _ = importance.gram_buckets(*bytekit.buffers(pa.array([texts[r["doc_id"]]])))
+        assert np.isclose(r["log_weight"], ratio[bucket].mean() * raw.sum() / len(rows) if len(bucket) else 0)
+    lot = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(1)).alias("h")).collect()}
+    for r in got:
+        u = (((lot[r["doc_id"]] % (1 << 64)) >> 11) + 0.5) / (1 << 53)
+        assert np.isclose(r["gumbel_key"], r["log_weight"] - math.log(-math.log(u)))
     assert importance.resample(empty, labels).count() == 0
     assert importance.resample(docs, labels.limit(0)).where("not selected").count() == 0
 
@@ -195,7 +205,10 @@ def brute_fingerprint(text):
 
 @pytest.mark.parametrize("bucket_rows", [2048, 7])
 def test_order_minhash(docs, empty, bucket_rows):
-    rows = sorted(texts_of(docs), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    nameless = docs.where("doc_id < 30").withColumn("doc_id", F.lit(None).cast("long"))  # rows without ids fill buckets of their own
+    docs = docs.unionByName(nameless.select(docs.columns))
+    lots = {r["t"]: r["h"] for r in docs.select(F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t")).collect()}
+    rows = sorted(texts_of(docs), key=lambda r: (r[0] is None, -(r[0] or 0), lots[r[1]], r[1]))
     got = sorted((tuple(r) for r in fingerprints.fingerprints(docs, bucket_rows).collect()), key=str)
     want = []
     for i, (doc_id, text) in enumerate(rows):
@@ -208,6 +221,21 @@ def test_order_minhash(docs, empty, bucket_rows):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 5000, (1 << 20) + 5])
+def test_kmers_are_numbered_alike_at_every_length(n):
+    rng = np.random.default_rng(n)
+    h = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    h[1::7] = h[0]
+    h[2::7] ^= np.uint64(n % 3)  # hashes that differ in low bits only are different k-mers
+    h[3] = h[4] ^ np.uint64(1)
+    seen = Counter()
+    want = np.empty(n, np.uint64)
+    for i, x in enumerate(h.tolist()):
+        want[i] = (x + seen[x] * 0xD1342543DE82EF95) % (1 << 64)
+        seen[x] += 1
+    assert (fingerprints.numbered(h) == bytekit.mix64(want)).all()
+
+
 def test_order_minhash_falls_when_parts_move():
     rng = random.Random(1)
     a, b = prose(rng, 200), prose(rng, 200)
