@@ -11,13 +11,14 @@ rows go to buckets between approximate quantiles of the id, and the first row of
 each bucket is also sent to the bucket before it.
 
 Defined results: a null text is empty; a text shorter than a k-mer is one k-mer;
-two empty texts have likeness 1; null ids come last, ties go by text, and a single
-row is its own next document; an empty table gives no rows.
+two empty texts have likeness 1; null ids come last, ties go by the hash of the text,
+then by the text, and a single row is its own next document; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,9 @@ K = 10
 TUPLE = 2
 SIZE = 40
 BUCKET_ROWS = 2048
+#: Most buckets of rows with ids, and of rows without; beyond it buckets grow. A bucket is
+#: sorted by one task, which spills, and read as a stream.
+MOST_BUCKETS = 20_000
 _CHUNK = 4096
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
 _FACTORS = mix64(np.arange(1, SIZE + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -51,23 +55,19 @@ def kmers(text: str) -> np.ndarray:
 
 def numbered(hashes: np.ndarray) -> np.ndarray:
     """Hashes of (k-mer, number of its earlier occurrences)."""
-    n = len(hashes)
-    if n < 2:
+    ordered = np.sort(hashes)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(again):
         return mix64(hashes)
-    if n < 1 << 20:  # the place fits below the hash, so plain sorting is stable
-        low = U64((1 << 20) - 1)
-        both = np.sort((hashes & ~low) | np.arange(n, dtype=U64))
-        place, key = (both & low).astype(np.int64), both & ~low
-    else:
-        place = np.argsort(hashes, kind="stable")
-        key = hashes[place]
-    new = np.r_[True, key[1:] != key[:-1]]
-    first = np.flatnonzero(new)
-    if len(first) == n:
-        return mix64(hashes)
-    nth = np.arange(n) - first[np.cumsum(new) - 1]
-    occurrence = np.empty(n, U64)
-    occurrence[place] = nth
+    again = again[np.r_[True, again[1:] != again[:-1]]]  # the k-mers that occur more than once
+    at = np.minimum(np.searchsorted(again, hashes), len(again) - 1)
+    place = np.flatnonzero(again[at] == hashes)
+    order = np.argsort(at[place], kind="stable")
+    key = at[place][order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    nth = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+    occurrence = np.zeros(len(hashes), U64)
+    occurrence[place[order]] = nth
     return mix64(hashes + occurrence * U64(0xD1342543DE82EF95))
 
 
@@ -162,38 +162,45 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=NAMES)
 
 
-def _bucket(splits: list[int], width: int = 64):
-    """The number of splits up to an id, searched in two levels."""
-    tops = splits[width - 1 :: width]
-    parts = [splits[i : i + width] for i in range(0, len(splits), width)] or [[]]
-    at = F.size(F.filter(F.lit(tops) if tops else F.array().cast("array<bigint>"), lambda x: x <= F.col("doc_id")))
-    rows = F.array(*[F.array(*[F.lit(x).cast("long") for x in p]).cast("array<bigint>") for p in parts])
-    within = F.size(F.filter(F.coalesce(F.get(rows, at), F.array().cast("array<bigint>")), lambda x: x <= F.col("doc_id")))
-    return F.when(F.col("doc_id").isNull(), -1).otherwise(at * width + within)
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _bucket(splits: list[int], nameless: int):
+    """The number of splits up to an id, searched in two levels; rows without an id go to
+    ``nameless`` buckets below zero, by the hash of their text."""
+    width = max(1, math.isqrt(len(splits)))
+    listed = lambda values: F.transform(F.split(F.lit(",".join(map(str, values))), ","), lambda x: x.cast("bigint"))  # noqa: E731  folded into one literal
+    rows = [splits[i : i + width] for i in range(0, len(splits), width)]
+    below = lambda values: F.size(F.filter(listed(values), lambda x: x <= F.col("doc_id")))
+    at = below([r[-1] for r in rows]) if rows else F.lit(0)
+    within = F.coalesce(F.get(F.array(*[below(r) for r in rows]), at), F.lit(0)) if rows else F.lit(0)
+    by_hash = F.least(F.floor((F.col("lot") / float(1 << 64) + 0.5) * nameless), F.lit(nameless - 1))
+    return F.when(F.col("doc_id").isNull(), -1 - by_hash).otherwise(at * width + within).cast("long")
 
 
-def fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, most: int = MOST_BUCKETS) -> DataFrame:
     """Fingerprints of every document and of its edited text; see the module."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n = rows.count()
-    many = max(1, n // bucket_rows)
-    quantiles = rows.agg(F.percentile_approx("doc_id", [i / many for i in range(1, many)] or [0.5], 100_000)).first()[0] if n else None
-    splits = sorted(set(quantiles or []))
-    placed = rows.withColumn("bucket", _bucket(splits))
-    heads = {r["bucket"]: r["head"] for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}  # one per bucket
-    order = sorted(heads, reverse=True)
-    if not order:
-        return placed.limit(0).mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    before = {b: order[i - 1] for i, b in enumerate(order)}  # of the first, the last
-    known = placed.sparkSession.createDataFrame([(b, heads[b], before[b]) for b in order], "b int, head long, before int")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("lot"))
+    n, named = rows.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    if not n:
+        return rows.limit(0).select(F.lit(0).cast("long"), F.lit(0), "doc_id", "text").mapInArrow(_pairs, RESULT)
+    size = max(bucket_rows, -(-n // most))
+    many = max(1, named // size)
+    quantiles = rows.agg(F.percentile_approx("doc_id", [i / many for i in range(1, many)] or [0.5], 100_000)).first()[0]
+    placed = rows.withColumn("bucket", _bucket(sorted(set(quantiles or [])), max(1, (n - named) // size)))
+    # the first row of each bucket, of which there are at most 2 * most
+    heads = placed.groupBy("bucket").agg(F.max(F.struct("doc_id", (-1 - F.col("lot")).alias("inverse"))).alias("head")).collect()
+    order = sorted(heads, key=lambda r: -r["bucket"])
+    known = [(r["bucket"], r["head"]["doc_id"], -1 - r["head"]["inverse"], order[i - 1]["bucket"]) for i, r in enumerate(order)]  # before the first comes the last
+    known = placed.sparkSession.createDataFrame(known, "b long, head long, head_lot long, before long")
     placed = placed.join(F.broadcast(known), F.col("bucket") == F.col("b"))
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("foreign"))
     also = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("foreign"))
-    places = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, also)).otherwise(F.array(own))
-    dealt = placed.withColumn("to", F.explode(places)).select("to.bucket", "to.foreign", "doc_id", "text")
+    is_head = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("lot") == F.col("head_lot"))
+    dealt = placed.withColumn("to", F.explode(F.when(is_head, F.array(own, also)).otherwise(F.array(own)))).select("to.bucket", "to.foreign", "doc_id", "text", "lot")
     parts = max(len(order) // 3, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "foreign", F.col("doc_id").desc_nulls_last(), F.coalesce("text", F.lit("")))
-    return sorted_.mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    sorted_ = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "foreign", F.col("doc_id").desc_nulls_last(), "lot", F.coalesce("text", F.lit("")))
+    return sorted_.drop("lot").mapInArrow(_pairs, RESULT)
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
