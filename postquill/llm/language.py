@@ -173,8 +173,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, longest: int = SAMPLE_BYTES) ->
 
 
 def identify(docs: DataFrame, trees: ContextTrees | None, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """``columns`` of ``docs`` (text among them) with ``__lang`` and ``__score`` of every whole text."""
-    rows = docs.select(*columns)
+    """``columns`` of ``docs`` (text among them) with ``__lang`` and ``__score`` of
+    every whole text, in place of columns of those names."""
+    rows = docs.select(*[c for c in columns if c not in ("__lang", "__score")])
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     schema = StructType([*rows.schema.fields, StructField("__lang", StringType()), StructField("__score", DoubleType())])
     return rows.mapInArrow(_predict(shared), schema)

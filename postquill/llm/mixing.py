@@ -87,6 +87,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed:
     ``cut`` writes the sizes to the shared folder once; without it they are worked
     out again wherever they are used, for an input that carries its texts along.
     """
+    keep = tuple(c for c in keep if c not in ("size", "source_size", "target", "taken"))
     order_key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     sized = docs.select(*keep, F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0)).cast("long").alias("size"), order_key.alias("__key"))
     sized = sized.withColumn("size", F.greatest(F.col("size"), F.lit(0).cast("long")))  # size(null) may be -1

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +59,7 @@ def _piece_encoder(path: str, tokenizer):
 
         letters = _byte_letters()
         ranks = {bytes(map(letters.__getitem__, w)): i for w, i in model["vocab"].items() if i < 256 + len(merges)}
-        merge = tiktoken.Encoding("piece", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        return lambda word: merge.encode_single_piece(word.encode())
+        return tiktoken.Encoding("piece", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     return lambda word: tokenizer.encode(word, add_special_tokens=False).ids
 
 
@@ -110,12 +110,16 @@ def _pieces(path: str, seq_len: int, end_id: int, groups: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = TokenBytes.of(path)
+        nameless = TaskContext.get().partitionId() << 40  # rows without an id are told apart by their place
         for batch in batches:
             cols: list[list[int]] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = tokens(text.as_py() or "") + end
                 n = len(ids) // 4
                 key = zlib.crc32(ids) << 32 | ((doc_id or 0) & 0xFFFFFFFF)
+                if doc_id is None:
+                    nameless += 1
+                    key = (key + nameless * 0x9E3779B97F4A7C15) % (1 << 64)
                 group = int(mix64(np.array([key ^ seed], U64))[0] % U64(groups))
                 for at in range(0, n, seq_len):
                     part = ids[4 * at : 4 * (at + seq_len)]

@@ -428,8 +428,9 @@ def _score(model):
 
 
 def score(docs: DataFrame, model, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """``columns`` of ``docs`` (text among them) and ``__score`` of every whole text."""
-    rows = docs.select(*columns)
+    """``columns`` of ``docs`` (text among them) and ``__score`` of every whole text, in
+    place of a column of that name."""
+    rows = docs.select(*[c for c in columns if c != "__score"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     from pyspark.sql.types import DoubleType, StructField, StructType
 
