@@ -1,17 +1,20 @@
 """Exact top-k inner-product search over an impact-ordered index.
 
 Components are quantised to integers; an entry's impact is its absolute value.
-A block of vectors keeps its postings in segments of descending impact. Queries
-are taken in batches: segments are processed from the highest impact down, each
-adding its exact contributions to the accumulators. What is left unprocessed of a
+A block of vectors keeps its postings (row, dimension, value) in segments of
+descending impact. Queries are taken in batches, score at a time: segments are
+processed from the highest impact down, each adding its exact contributions to the
+accumulators of the rows that are still possible. What is left unprocessed of a
 vector is bounded by the product of two norms, so processing stops once every
 vector outside the current best is proven out; the possible members are rescored
 exactly. Nothing is approximated: without proof all segments are processed.
 
 Defined results: vectors that are null or hold a null or non-finite component
 take no part; vectors of another length than the query score over the shorter
-length; repeated rows are candidates of their own; ties go to the smaller id; an
-empty table gives no rows.
+length; repeated rows are candidates of their own; ties go to the smaller id; a
+component beyond the range of a long stays at its end, and so does a score (sums
+that a double cannot hold exactly are worked out in whole numbers); an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -37,100 +40,129 @@ ROUNDS = (0.5, 0.8, 0.93, 1.0)
 class ImpactBlock:
     """Postings of a block of vectors in segments of descending impact.
 
-    ``segments`` holds (lowest impact, rows, dims, values); a segment's postings
-    are those with impacts from its lowest up to the segment before it.
+    ``segments`` holds (lowest impact, rows, dims, values): postings with impacts from
+    the lowest up to the segment before it. ``rest`` holds the norm of what a row
+    has left after each segment.
     """
 
     def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], values[order]
-        impact = np.abs(self.values)
-        self.cuts = self._cuts(impact)
-        self.rest = []  # squared norm of what is unprocessed after each round
-        for cut in self.cuts:
-            left = np.where(impact < cut, self.values, 0).astype(np.float64)
+        wide = self.values.astype(np.float64)
+        impact = np.abs(wide)
+        self.norm = np.sqrt((wide * wide).sum(axis=1))
+        self.segments, self.rest = [], []
+        upper = np.inf
+        for cut in self._cuts(impact):
+            rows, dims = np.nonzero((impact >= cut) & (impact < upper))
+            self.segments.append((cut, rows, dims, wide[rows, dims]))
+            left = np.where(impact < cut, wide, 0)
             self.rest.append(np.sqrt((left * left).sum(axis=1)))
+            upper = cut
 
     @staticmethod
-    def _cuts(impact: np.ndarray) -> list[int]:
-        """Impacts that end the rounds, so that each adds its share of squared impact."""
-        top = int(impact.max(initial=0))
-        flat = np.minimum(impact.ravel(), 1 << 16)
-        weight = np.bincount(flat, flat.astype(np.float64) ** 2, minlength=min(top, 1 << 16) + 1)
-        above = np.cumsum(weight[::-1])[::-1] / max(weight.sum(), 1)
-        cuts = sorted({int(np.flatnonzero(above >= min(share, above[0]))[-1]) for share in ROUNDS[:-1]} | {0}, reverse=True)
-        return cuts
-
-    def segment(self, upper: int | None, lower: int) -> np.ndarray:
-        impact = np.abs(self.values)
-        inside = impact >= lower if upper is None else (impact >= lower) & (impact < upper)
-        return np.where(inside, self.values, 0).astype(np.float64)
+    def _cuts(impact: np.ndarray) -> list[float]:
+        """Lowest impacts of the segments, so that each adds its share of squared impact."""
+        flat = np.sort(impact.ravel())[::-1]
+        reached = np.cumsum(flat * flat)
+        if not len(flat) or not reached[-1]:
+            return [0.0]
+        return sorted({float(flat[np.searchsorted(reached, share * reached[-1])]) for share in ROUNDS[:-1]} | {0.0}, reverse=True)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query number, vector number, exact score) of every query's best ``k`` here."""
         width = min(queries.shape[1], self.values.shape[1])
-        q = queries[:, :width].astype(np.float64)
-        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-        score = np.zeros((len(q), len(self.ids)))
+        q = queries.astype(np.float64)
+        length = np.sqrt((q * q).sum(axis=1))
+        if length.max(initial=0) * self.norm.max(initial=0) >= 2.0**52:
+            return self._in_whole_numbers(query_ids, queries, k)
+        n = len(self.ids)
+        score = np.zeros((len(q), n))
         own = self.ids[None, :] == query_ids[:, None]
-        take = min(k + 1, len(self.ids))  # the query's own row may be among them
-        open_ = np.arange(len(q))
+        take = min(k + 1, n)  # the query's own row may be among them
+        open_, alive = np.arange(len(q)), np.arange(n)
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        upper = None
-        for cut, rest in zip(self.cuts, self.rest):
-            score[open_] += q[open_] @ self.segment(upper, cut)[:, :width].T
-            upper = cut
-            slack = length[open_, None] * rest[None, :] * (1 + 1e-9)
-            low = score[open_] - slack
-            low[own[open_]] = -np.inf
-            floor_ = np.partition(low, len(self.ids) - take, axis=1)[:, len(self.ids) - take]
-            possible = score[open_] + slack >= floor_[:, None]
-            possible &= ~own[open_]
-            counts = possible.sum(axis=1)
-            done = counts <= 4 * k if cut else np.ones(len(open_), bool)
+        for (cut, rows, dims, values), rest in zip(self.segments, self.rest):
+            place = np.full(n, -1)
+            place[alive] = np.arange(len(alive))
+            part = (place[rows] >= 0) & (dims < width)
+            postings = np.zeros((len(alive), width))
+            postings[place[rows[part]], dims[part]] = values[part]
+            some = np.ix_(open_, alive)
+            now = score[some] + q[open_, :width] @ postings.T
+            score[some] = now
+            slack = length[open_, None] * rest[None, alive] * (1 + 1e-9)
+            mine = own[some]
+            low = np.where(mine, -np.inf, now - slack)
+            reach = min(take, len(alive))
+            floor_ = np.partition(low, len(alive) - reach, axis=1)[:, len(alive) - reach]
+            possible = (now + slack >= floor_[:, None]) & ~mine
+            done = possible.sum(axis=1) <= 4 * k if cut else np.ones(len(open_), bool)
             where, row = np.nonzero(possible[done])
-            out.append((open_[done][where], row))
-            open_ = open_[~done]
-            if not len(open_):
+            out.append((open_[done][where], alive[row]))
+            open_, alive = open_[~done], alive[possible[~done].any(axis=0)]
+            if not len(open_) or not len(alive):
                 break
         who, row = (np.concatenate(x) for x in zip(*out))
-        exact = (queries[who][:, :width] * self.values[row][:, :width]).sum(axis=1)
-        order = np.lexsort((self.ids[row], -exact, who))
+        exact = (queries[who][:, :width].astype(np.int64) * self.values[row][:, :width].astype(np.int64)).sum(axis=1)
+        return self._best(who, row, exact, k)
+
+    def _best(self, who: np.ndarray, row: np.ndarray, exact: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((self.ids[row], ~exact, who))  # ~x falls as x rises, and does not overflow
         who, row, exact = who[order], row[order], exact[order]
         nth = np.arange(len(who)) - np.searchsorted(who, who, side="left")
         best = nth < k
         return who[best], row[best], exact[best]
 
+    def _in_whole_numbers(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs without rounding, for vectors whose scores a double may not hold."""
+        width = min(queries.shape[1], self.values.shape[1])
+        ends = np.iinfo(np.int64)
+        found = []
+        vectors = self.values[:, :width].astype(object)
+        for i, query in enumerate(queries[:, :width].astype(object)):
+            row = np.flatnonzero(self.ids != query_ids[i])
+            exact = np.array([min(max(int(x), ends.min), ends.max) for x in vectors[row] @ query], np.int64)
+            found.append(self._best(np.full(len(row), i), row, exact, k))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
 
 def _blob(values: np.ndarray) -> bytes:
-    return values.astype("<i8").tobytes()
+    """Integers in as few bytes as hold them all."""
+    most = np.abs(values.astype(np.float64)).max(initial=0)
+    return values.astype("<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8").tobytes()
 
 
-def _blocks(rows: int, tag: int):
-    """Vectors of a task into blocks: (block, dim, ids, values)."""
+def _matrix(data: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, f"<i{len(data) // (rows * dim)}").reshape(rows, dim)
+
+
+BLOCKS = "part long, dim int, ids binary, vals binary"
+
+
+def _blocks(rows: int):
+    """Vectors of a task, sorted by part, into blocks of at most ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[np.ndarray] = []
-        vecs: list[np.ndarray] = []
-
-        def made() -> Iterator[pa.RecordBatch]:
-            nonlocal ids, vecs
-            by_dim: dict[int, list[int]] = {}
-            for i, v in enumerate(vecs):
-                by_dim.setdefault(len(v), []).append(i)
-            for dim, members in by_dim.items():
-                for at in range(0, len(members), rows):
-                    part = members[at : at + rows]
-                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([_blob(np.array([ids[i] for i in part]))], pa.binary()), pa.array([_blob(np.array([vecs[i] for i in part]))], pa.binary())], names=["dim", "ids", "vals"])
-            ids, vecs = [], []
+        held: dict[int, tuple[list[int], list[np.ndarray]]] = {}  # by length
+        at = None
+
+        def block(dim: int) -> pa.RecordBatch:
+            ids, vecs = held.pop(dim)
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([_blob(np.array(vecs))], pa.binary())], names=["part", "dim", "ids", "vals"])
 
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(i)
-                vecs.append(np.asarray(v.values.to_numpy(zero_copy_only=False), np.int64))
-            if len(ids) >= 4 * rows:
-                yield from made()
-        yield from made()
+            for part, id_, vec in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if part != at:
+                    yield from map(block, list(held))
+                    at = part
+                v = np.asarray(vec.values.to_numpy(zero_copy_only=False), np.int64)
+                ids, vecs = held.setdefault(len(v), ([], []))
+                ids.append(id_)
+                vecs.append(v)
+                if len(ids) == rows:
+                    yield block(len(v))
+        yield from map(block, list(held))
 
     return run
 
@@ -143,9 +175,10 @@ def _search(k: int):
         for batch in batches:
             for qdim, qids, qvals, dim, ids, vals in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if kept is None or kept[0] != ids:
-                    kept = (ids, ImpactBlock(np.frombuffer(ids, "<i8"), np.frombuffer(vals, "<i8").reshape(-1, dim)))
+                    own = np.frombuffer(ids, "<i8")
+                    kept = (ids, ImpactBlock(own, _matrix(vals, len(own), dim)))
                 query_ids = np.frombuffer(qids, "<i8")
-                who, row, score = kept[1].search(query_ids, np.frombuffer(qvals, "<i8").reshape(-1, qdim), k)
+                who, row, score = kept[1].search(query_ids, _matrix(qvals, len(query_ids), qdim), k)
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[who]), pa.array(kept[1].ids[row]), pa.array(score)], names=names)
 
     return run
@@ -161,20 +194,18 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 def search(vectors: DataFrame, k: int = K, every: int = EVERY, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The ``k`` highest scores of every query: query_id, rank, vec_id, score.
 
-    Queries are the rows whose id is divisible by ``every``. Index blocks meet
-    query batches by an equi-join on the batch number; only ``k`` rows of each
-    pair of blocks go on to the final ranking.
+    Queries are the rows whose id is divisible by ``every``. The index is dealt once, into
+    parts of about ``block_rows``; batches of queries, a fraction of the rows, are sent
+    to every part. Only ``k`` rows of each block and query go on to the final ranking.
     """
     whole = quantised(vectors)
+    parts = max(1, -(-whole.count() // block_rows))
     queries = whole.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    n = queries.count()
-    batches = max(1, -(-n // query_rows))
-    spread = queries.repartition(batches, F.pmod(F.xxhash64("vec_id"), F.lit(batches)))
-    asked = spread.mapInArrow(_blocks(1 << 20, 0), "dim int, ids binary, vals binary").select(F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("vals").alias("qvals"))
-    asked = asked.withColumn("batch", F.pmod(F.xxhash64("qids"), F.lit(batches)))
-    index = whole.mapInArrow(_blocks(block_rows, 1), "dim int, ids binary, vals binary")
-    index = index.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))))
-    pairs = index.join(asked, "batch").select("qdim", "qids", "qvals", "dim", "ids", "vals")
+    batches = max(1, -(-queries.count() // query_rows))
+    deal = lambda rows, n: rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("part"), "vec_id", "q").repartition(n, "part").sortWithinPartitions("part")
+    asked = deal(queries, batches).mapInArrow(_blocks(query_rows), BLOCKS).select(F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("vals").alias("qvals"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    pairs = deal(whole, parts).mapInArrow(_blocks(block_rows), BLOCKS).join(asked, "part").select("qdim", "qids", "qvals", "dim", "ids", "vals")
     found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

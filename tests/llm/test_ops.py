@@ -187,6 +187,32 @@ def test_impact_search(spark):
     assert topk.search(table.where("vec_id = 20")).count() == 0
 
 
+def test_impact_search_of_large_components(spark):
+    """Beyond a double's whole numbers, and beyond a long."""
+    rng = random.Random(8)
+    vec = [[rng.choice([1e6, 3e8, 1e17, -2e7, 1.0]) * rng.uniform(0.5, 1) for _ in range(3)] for _ in range(45)]
+    table = spark.createDataFrame(list(enumerate(vec)), "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.search(table, k=5, block_rows=16).orderBy("query_id", "rank").collect()]
+    ends = np.iinfo(np.int64)
+    hold = lambda x: min(max(x, int(ends.min)), int(ends.max))
+    whole = [[hold(math.floor(64 * x)) for x in v] for v in vec]
+    want = []
+    for q in (0, 20, 40):
+        scores = sorted((-hold(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in enumerate(whole) if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert got == want
+
+
+def test_impact_segments_hold_every_posting_once():
+    values = np.random.default_rng(3).integers(-50, 50, (40, 6))
+    block = topk.ImpactBlock(np.arange(40), values)
+    whole = np.zeros(values.shape)
+    for cut, rows, dims, part in block.segments:
+        assert (whole[rows, dims] == 0).all() and (np.abs(part) >= cut).all()
+        whole[rows, dims] = part
+    assert (whole == values).all() and [c for c, *_ in block.segments] == sorted((c for c, *_ in block.segments), reverse=True)
+
+
 # -- 4
 
 
