@@ -52,23 +52,28 @@ class Powers:
 
 
 POWERS = Powers()
+#: Hash functions that are independent of each other: base and byte values.
+BASES = {0: POWERS, 1: Powers(0xD1342543DE82EF95)}
 TABLES = {0: byte_table(0), 1: byte_table(1)}
 
 
-def prefix_hash(buf: np.ndarray, which: int = 0) -> np.ndarray:
-    """Prefix sums ``P`` of length ``len(buf) + 1``."""
-    up, _ = POWERS.to(len(buf) + 1)
-    out = np.empty(len(buf) + 1, U64)
+def prefix_sums(values: np.ndarray, which: int = 0) -> np.ndarray:
+    """Prefix sums ``P`` of a sequence of 64-bit symbols, one longer than it."""
+    up, _ = BASES[which].to(len(values) + 1)
+    out = np.empty(len(values) + 1, U64)
     out[0] = 0
-    values = TABLES[which][buf]
-    values *= up[: len(buf)]
-    np.cumsum(values, out=out[1:])
+    np.cumsum(values * up[: len(values)], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the spans ``[start, end)``; equal bytes give equal hashes."""
-    _, down = POWERS.to(len(prefix))
+def prefix_hash(buf: np.ndarray, which: int = 0) -> np.ndarray:
+    """Prefix sums of bytes."""
+    return prefix_sums(TABLES[which][buf], which)
+
+
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of the spans ``[start, end)``; equal symbols give equal hashes."""
+    _, down = BASES[which].to(len(prefix))
     return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64))
 
 
@@ -111,15 +116,20 @@ def fold_case(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, longest: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Everything but ASCII white space.
+_INK = np.ones(256, bool)
+_INK[9:14] = _INK[32] = False
+
+
+def words(buf: np.ndarray, offsets: np.ndarray, longest: int = 0, kind: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text numbers of the words (runs of ASCII letters, digits and
-    bytes over 127). No word crosses two texts. With ``longest``, longer runs are
+    bytes over 127, or of the bytes of another ``kind``). No word crosses two texts. With ``longest``, longer runs are
     cut into pieces of that many bytes."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = _WORD[buf]
+    inside[1:-1] = kind[buf]
     first = inside[1:-1] & ~inside[:-2]
     edge = offsets[1:-1]
     edge = edge[edge < n]
@@ -137,6 +147,11 @@ def words(buf: np.ndarray, offsets: np.ndarray, longest: int = 0) -> tuple[np.nd
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
+def inked(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of the runs of anything but white space."""
+    return words(buf, offsets, kind=_INK)
+
+
 class HashIndex:
     """Row numbers of distinct 64-bit keys: open addressing, all in numpy.
 

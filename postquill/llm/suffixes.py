@@ -1,41 +1,47 @@
-"""Removing repeated strings by a difference-cover suffix sort of bounded depth.
-
-A byte goes if it is covered by a string of ``length`` bytes that also starts
-elsewhere. Only the first ``length`` bytes of suffixes matter, so the suffix sort
-stops at that depth:
-
-1. Sort sampled suffixes. In each document the positions whose remainder modulo
-   ``v`` lies in a difference cover are sampled. For any two positions some shift
-   below ``v`` takes both to sampled ones, so if two strings of ``length`` bytes
-   are equal, two sampled suffixes inside them agree on ``length - v + 1`` bytes.
-   A sampled suffix is named by its tuple of that depth - three consecutive blocks
-   fingerprinted together - and names are sorted in ranges over all machines.
-2. Recurse on names. A name that occurs once is settled and dropped; the suffixes
-   up to ``v`` bytes before a repeated name are the only ones left.
+"""Removing repeated strings by a difference-cover algorithm of bounded depth.
+
+A text is a sequence of symbols of one or more units: bytes, or words (runs of
+anything but white space). A symbol goes if it is covered by a string of the unit's
+``length`` that also starts elsewhere. Only the first ``length`` symbols of a suffix
+matter, so comparison stops at that depth, and any order of names serves:
+
+1. Sample suffixes and sort their tuples. In each document the positions whose
+   remainder modulo ``v`` lies in a difference cover are sampled. For any two positions
+   some shift below ``v`` takes both to sampled ones, so if two strings of ``length``
+   are equal, two sampled suffixes inside them agree on ``length - v + 1`` symbols.
+   That tuple's fingerprint is the suffix's name; names are sorted in ranges over all
+   machines.
+2. Drop what is settled. A name that occurs once is unlike all others; the suffixes up
+   to ``v`` symbols before a repeated name are the only ones left. As names reach the
+   depth that a match guarantees, sorting triples of names again cannot drop more.
 3. Merge the remaining suffixes, sampled and not. Neighbouring ones that share the
-   same smallest 32-gram in their first ``length`` bytes form a run; equal runs
-   take one place together, and one copy of each distinct run stands for it. Where
-   several distinct runs share an anchor, every suffix of theirs is named at full
-   depth and sorted in among the others.
-4. Compare adjacent prefixes: equal neighbours in the sorted ranges are repeats.
-
-Names are 64-bit fingerprints in step 1, where a collision only costs work, 128-bit
-ones for runs and 80-bit ones for suffixes at full depth. What moves between
-machines is, per slice of about 4 MB of text, a block of names for every range and
-two bits for every name back. Names that a slice holds more than once are sent
-once, so a passage shared by any number of documents costs one name per slice, and
-no range grows with the size of a group of copies.
+   same smallest gram in their first ``length`` symbols form a run; equal runs take one
+   place together, and one copy of each distinct run stands for it. Where several
+   distinct runs share an anchor, every suffix of theirs is named at full depth and
+   sorted in among the others.
+4. Compare neighbours in the sorted ranges: equal prefixes are repeats.
+
+This stands in for the textbook form (triples sorted by rank, recursion, merge by
+rank), whose rows hold every symbol several times over. Names are 64-bit fingerprints
+in step 1, where a collision only costs work, and in steps 3 and 4 pairs of 64-bit
+fingerprints with independent bases, which stand for the bytes themselves.
+
+What moves between machines is, per slice of about 1 MB of text, a block of names for
+every range and two bits for every name back. Names that a slice holds more than once
+are sent once, so a passage shared by any number of documents costs one name per
+slice; a range that holds a passage of every slice grows with the number of slices.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing
-unless covered from within; repeated rows repeat each other's bytes; extra columns
-are kept as they are; an empty table gives no rows.
+unless covered from within; repeated rows repeat each other's symbols; extra columns
+are kept as they are, but for those named like a result; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from dataclasses import dataclass
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +51,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import discard, materialise, release, table
-from .bytekit import U64, buffers, prefix_hash, slices, span_hash
+from .bytekit import U64, buffers, inked, prefix_hash, prefix_sums, slices, span_hash
 
 LENGTH = 400
+#: Passages of over 50 words.
+WORDS = 51
 #: Bytes of text handled together; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
 RANGE_NAMES = 1 << 20
 LEAST_RANGES = 64
+_RANGE_BITS = 26
 
 
 @cache
@@ -86,11 +95,6 @@ def sampled(offsets: np.ndarray, v: int, cover: np.ndarray, depth: int) -> tuple
     return offsets[owner] + places[np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)], owner
 
 
-def first_names(prefix: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Names of sampled suffixes: three consecutive blocks that make up ``depth`` bytes."""
-    return span_hash(prefix, at, at + depth)
-
-
 def by_range(names: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """The ranges of sorted ``names`` that are not empty, by their highest bits."""
     high = (names >> U64(64 - bits)).astype(np.int64)
@@ -139,17 +143,63 @@ def _slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nth += 1
 
 
-def _opened(sizes: bytes, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(_unpacked(blob), np.uint8), np.r_[0, np.cumsum(np.frombuffer(sizes, "<i8"))]
+@dataclass(frozen=True)
+class Unit:
+    """What counts as a symbol, and how many of them make a repeat."""
+
+    name: str
+    length: int
+
+    @cached_property
+    def cover(self) -> tuple[int, np.ndarray]:
+        return difference_cover(int(0.7 * self.length))
+
+    @property
+    def depth(self) -> int:
+        return self.length - self.cover[0] + 1
+
+    @property
+    def gram(self) -> int:
+        return min(32 if self.name == "byte" else 8, self.length)
+
+
+class Symbols:
+    """The symbols of a slice's documents in one unit."""
+
+    def __init__(self, text: Text, unit: Unit) -> None:
+        self.text, self.unit = text, unit
+        if unit.name == "byte":
+            self.offsets, self.n = text.offsets, len(text.buf)
+        else:
+            self.start, self.end, owner = inked(text.buf, text.offsets)
+            self.offsets, self.n = np.searchsorted(owner, np.arange(len(text.offsets))), len(owner)
 
+    def prefix(self, which: int = 0) -> np.ndarray:
+        of_bytes = prefix_hash(self.text.buf, which)
+        return of_bytes if self.unit.name == "byte" else prefix_sums(span_hash(of_bytes, self.start, self.end, which), which)
 
-class Depths:
-    """The constants of one run."""
+    def sampled_names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, documents and names of the sampled suffixes."""
+        v, cover = self.unit.cover
+        at, owner = sampled(self.offsets, v, cover, self.unit.depth)
+        return at, owner, span_hash(self.prefix(), at, at + self.unit.depth)
 
-    def __init__(self, length: int) -> None:
-        self.length = length
-        self.v, self.cover = difference_cover(int(0.7 * length))
-        self.first = length - self.v + 1
+    def bytes_of(self, gone: np.ndarray) -> np.ndarray:
+        """The bytes of the given symbols, with the white space between two that go."""
+        if self.unit.name == "byte":
+            return gone
+        next_gone = np.r_[gone[1:], False] if len(gone) else gone
+        next_gone[self.offsets[1:][self.offsets[1:] > 0] - 1] = False  # the last word of a document
+        to = np.where(next_gone, np.r_[self.start[1:], 0], self.end) if len(gone) else self.end
+        return _spread(self.start[gone], to[gone], len(self.text.buf))
+
+
+class Text:
+    """A slice of documents, opened."""
+
+    def __init__(self, sizes: bytes, blob: bytes) -> None:
+        self.buf = np.frombuffer(_unpacked(blob), np.uint8)
+        self.offsets = np.r_[0, np.cumsum(np.frombuffer(sizes, "<i8"))]
 
 
 NAMED = "range int, slice long, names binary"
@@ -165,21 +215,21 @@ def _values(data: memoryview, kind: str, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width).reshape(width, n).T).reshape(-1).view(kind)
 
 
-def _named_rows(slice_: int, names: np.ndarray, checks: np.ndarray | None, bits: int) -> pa.RecordBatch:
+def _named_rows(slice_: int, unit: int, names: np.ndarray, checks: np.ndarray | None, bits: int) -> pa.RecordBatch:
     ranges, blobs = [], []
     for r, part in by_range(names, bits):
-        ranges.append(r)
+        ranges.append(unit << _RANGE_BITS | r)
         blobs.append(_columns(names[part]) + (b"" if checks is None else _columns(checks[part])))
     return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array([slice_] * len(ranges), pa.int64()), pa.array(blobs, pa.binary())], names=["range", "slice", "names"])
 
 
-def _name_samples(depths: Depths, bits: int):
+def _name_samples(units: list[Unit], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for slice_, sizes, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                buf, offsets = _opened(sizes, blob)
-                at, _ = sampled(offsets, depths.v, depths.cover, depths.first)
-                yield _named_rows(slice_, np.unique(first_names(prefix_hash(buf), at, depths.first)), None, bits)
+                text = Text(sizes, blob)
+                for u, unit in enumerate(units):
+                    yield _named_rows(slice_, u, np.unique(Symbols(text, unit).sampled_names()[2]), None, bits)
 
     return run
 
@@ -221,11 +271,12 @@ def _adjacent(check: str):
     return run
 
 
-def _hits(names: np.ndarray, found: list[dict] | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _hits(unit: int, names: np.ndarray, found: list[dict] | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """What came back for a slice's sorted distinct names: elsewhere, and earlier."""
     marks = {f["range"]: f["hits"] for f in found or ()}
     out = np.zeros(len(names), bool), np.zeros(len(names), bool)
     for r, part in by_range(names, bits):
+        r |= unit << _RANGE_BITS
         if r in marks:
             n = part.stop - part.start
             raw = np.frombuffer(marks[r], np.uint8)
@@ -242,56 +293,59 @@ def _spread(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-OPEN = "slice long, windows long, cols binary, sizes binary, blob binary, runs binary, done binary"
+OPEN = "slice long, windows long, cols binary, sizes binary, blob binary, runs array<binary>, done binary"
 
 
-def _remaining(depths: Depths, bits: int, finish):
+def _remaining(units: list[Unit], bits: int, finish):
     """Keeps the suffixes that step 2 leaves; documents without any are finished."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for slice_, cols, sizes, blob, found in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                buf, offsets = _opened(sizes, blob)
-                at, owner = sampled(offsets, depths.v, depths.cover, depths.first)
-                names, inverse, count = np.unique(first_names(prefix_hash(buf), at, depths.first), return_inverse=True, return_counts=True)
-                repeated = (_hits(names, found, bits)[0] | (count > 1))[inverse.ravel()]
-                at, owner = at[repeated], owner[repeated]
-                left = np.maximum(offsets[owner], at - depths.v + 1)
-                right = np.minimum(at, offsets[owner + 1] - depths.length) + 1
-                some = left < right
-                window = _spread(left[some], right[some], len(buf)) if len(buf) else np.zeros(0, bool)
-                counts = np.r_[0, np.cumsum(window)]
-                busy = counts[offsets[1:]] > counts[offsets[:-1]]
+                text = Text(sizes, blob)
+                n = np.diff(text.offsets)
+                busy = np.zeros(len(n), bool)
+                windows, all_symbols = [], []
+                for u, unit in enumerate(units):
+                    symbols = Symbols(text, unit)
+                    at, owner, names = symbols.sampled_names()
+                    names, inverse, count = np.unique(names, return_inverse=True, return_counts=True)
+                    repeated = (_hits(u, names, found, bits)[0] | (count > 1))[inverse.ravel()]
+                    at, owner = at[repeated], owner[repeated]
+                    left = np.maximum(symbols.offsets[owner], at - unit.cover[0] + 1)
+                    right = np.minimum(at, symbols.offsets[owner + 1] - unit.length) + 1
+                    some = left < right
+                    window = _spread(left[some], right[some], symbols.n)
+                    counts = np.r_[0, np.cumsum(window)]
+                    busy |= counts[symbols.offsets[1:]] > counts[symbols.offsets[:-1]]
+                    windows.append(window)
+                    all_symbols.append(symbols)
                 table_ = _unipc(cols)
-                n = np.diff(offsets)
                 idle = np.flatnonzero(~busy)
-                done = finish(table_.take(pa.array(idle)), [buf[offsets[i] : offsets[i + 1]] for i in idle], [np.zeros(n[i], bool) for i in idle])
-                kept = np.repeat(busy, n)
+                whole = [text.buf[text.offsets[i] : text.offsets[i + 1]] for i in idle]
+                done = finish(table_.take(pa.array(idle)), whole, [np.zeros(n[i], bool) for i in idle], [np.zeros(len(idle), np.int64) for _ in units])
+                kept = [np.repeat(busy, np.diff(s.offsets)) for s in all_symbols]
+                runs = [_packed(np.packbits(w[k]).tobytes()) for w, k in zip(windows, kept)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([slice_]), pa.array([int(window.sum())]), pa.array([_ipc(table_.filter(pa.array(busy)))], pa.binary()),
-                    pa.array([n[busy].astype("<i8").tobytes()], pa.binary()), pa.array([_packed(buf[kept].tobytes())], pa.binary()),
-                    pa.array([_packed(np.packbits(window[kept]).tobytes())], pa.binary()), pa.array([_packed(_ipc(done))], pa.binary()),
+                    pa.array([slice_]), pa.array([int(sum(w.sum() for w in windows))]), pa.array([_ipc(table_.filter(pa.array(busy)))], pa.binary()),
+                    pa.array([n[busy].astype("<i8").tobytes()], pa.binary()), pa.array([_packed(text.buf[np.repeat(busy, n)].tobytes())], pa.binary()),
+                    pa.array([runs], pa.list_(pa.binary())), pa.array([_packed(_ipc(done))], pa.binary()),
                 ], names=["slice", "windows", "cols", "sizes", "blob", "runs", "done"])
 
     return run
 
 
-GRAM = 32
-
-
 class Runs:
-    """The remaining suffixes of a slice, in runs of neighbours with the same anchor:
-    the place of the smallest ``GRAM``-gram in their first ``length`` bytes. Equal
+    """The remaining suffixes of a slice in one unit, in runs of neighbours with the same
+    anchor: the place of the smallest gram in their first ``length`` symbols. Equal
     texts have their anchors in the same places, so runs of copies are equal."""
 
-    def __init__(self, sizes: bytes, blob: bytes, runs: bytes, length: int) -> None:
-        self.length = length
-        self.buf, self.offsets = _opened(sizes, blob)
-        n = len(self.buf)
-        self.prefix = prefix_hash(self.buf)
+    def __init__(self, number: int, symbols: Symbols, runs: bytes) -> None:
+        self.number, self.symbols, self.length = number, symbols, symbols.unit.length
+        n, gram = symbols.n, symbols.unit.gram
+        self.prefix = symbols.prefix()
         self.at = np.flatnonzero(np.unpackbits(np.frombuffer(_unpacked(runs), np.uint8), count=n))
-        gram = min(GRAM, length)
-        width = length - gram + 1
+        width = self.length - gram + 1
         if not len(self.at):
             self.first, self.anchors = np.zeros(0, np.int64), np.zeros(0, U64)
             return
@@ -315,12 +369,16 @@ class Runs:
         lo, hi = self.at[self.first], (self.at[end - 1] + self.length if len(self.first) else self.first)
         self.many = end - self.first
         names, one, which, count = np.unique(span_hash(self.prefix, lo, hi), return_index=True, return_inverse=True, return_counts=True)
-        return names, span_hash(prefix_hash(self.buf, 1), lo[one], hi[one]), one, which.ravel(), count
+        return names, self.checks(lo[one], hi[one]), one, which.ravel(), count
+
+    def checks(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The second halves of names."""
+        return span_hash(self.symbols.prefix(1), lo, hi, 1)
 
     def standing(self, found: list[dict] | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """For each run whether it occurs elsewhere too, and whether it stands for all its copies."""
         names, _, one, which, count = self.contexts()
-        hit, later = _hits(names, found, bits)
+        hit, later = _hits(self.number, names, found, bits)
         chosen = np.zeros(len(self.first), bool)
         chosen[one] = ~later
         return (hit | (count > 1))[which], chosen
@@ -329,7 +387,7 @@ class Runs:
         """The chosen runs whose anchors another chosen run has too."""
         names, which, count = np.unique(self.anchors[chosen], return_inverse=True, return_counts=True)
         out = chosen.copy()
-        out[chosen] = (_hits(names, found, bits)[0] | (count > 1))[which.ravel()]
+        out[chosen] = (_hits(self.number, names, found, bits)[0] | (count > 1))[which.ravel()]
         return out
 
     def suffixes(self, runs: np.ndarray) -> np.ndarray:
@@ -340,77 +398,91 @@ class Runs:
         return span_hash(self.prefix, at, at + self.length)
 
 
-def _name_runs(depths: Depths, bits: int):
+def opened(units: list[Unit], sizes: bytes, blob: bytes, runs: list[bytes]) -> list[Runs]:
+    text = Text(sizes, blob)
+    return [Runs(u, Symbols(text, unit), part) for u, (unit, part) in enumerate(zip(units, runs))]
+
+
+def _name_runs(units: list[Unit], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for slice_, sizes, blob, runs in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                names, checks, *_ = Runs(sizes, blob, runs, depths.length).contexts()
-                yield _named_rows(slice_, names, checks, bits)
+            for slice_, *text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                for r in opened(units, *text):
+                    names, checks, *_ = r.contexts()
+                    yield _named_rows(slice_, r.number, names, checks, bits)
 
     return run
 
 
-def _name_anchors(depths: Depths, bits: int):
+def _name_anchors(units: list[Unit], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for slice_, sizes, blob, runs, of_runs in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                r = Runs(sizes, blob, runs, depths.length)
-                yield _named_rows(slice_, np.unique(r.anchors[r.standing(of_runs, bits)[1]]), None, bits)
+            for slice_, *text, of_runs in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                for r in opened(units, *text):
+                    yield _named_rows(slice_, r.number, np.unique(r.anchors[r.standing(of_runs, bits)[1]]), None, bits)
 
     return run
 
 
-def _name_suffixes(depths: Depths, bits: int):
+def _name_suffixes(units: list[Unit], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for slice_, sizes, blob, runs, of_runs, of_anchors in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                r = Runs(sizes, blob, runs, depths.length)
-                at = r.at[r.suffixes(r.contested(r.standing(of_runs, bits)[1], of_anchors, bits))]
-                names, first = np.unique(r.names(at), return_index=True)
-                second = prefix_hash(r.buf, 1)
-                checks = (span_hash(second, at[first], at[first] + depths.length) >> U64(48)).astype("<u2")
-                yield _named_rows(slice_, names, checks, bits)
+            for slice_, *text, of_runs, of_anchors in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                for r in opened(units, *text):
+                    at = r.at[r.suffixes(r.contested(r.standing(of_runs, bits)[1], of_anchors, bits))]
+                    names, first = np.unique(r.names(at), return_index=True)
+                    yield _named_rows(slice_, r.number, names, r.checks(at[first], at[first] + r.length), bits)
 
     return run
 
 
-def _remove(depths: Depths, bits: int, keep_first: bool, finish):
+def gone(r: Runs, bits: int, keep_first: bool, of_runs, of_anchors, of_suffixes) -> np.ndarray:
+    """The symbols that go, given what came back for the names of a slice."""
+    shared, chosen = r.standing(of_runs, bits)
+    open_ = r.suffixes(r.contested(chosen, of_anchors, bits))
+    names, first, inverse, count = np.unique(r.names(r.at[open_]), return_index=True, return_inverse=True, return_counts=True)
+    hit, later = _hits(r.number, names, of_suffixes, bits)
+    inverse = inverse.ravel()
+    if keep_first:
+        repeated = r.suffixes(~chosen)
+        gone_at = np.ones(len(inverse), bool)
+        gone_at[first] = later
+        repeated[open_] = gone_at
+    else:
+        repeated = r.suffixes(shared)
+        repeated[open_] |= (hit | (count > 1))[inverse]
+    at = r.at[repeated]
+    return _spread(at, at + r.length, r.symbols.n)
+
+
+def _remove(units: list[Unit], bits: int, keep_first: bool, finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for slice_, cols, sizes, blob, runs, done, of_runs, of_anchors, found in zip(*(batch.column(i).to_pylist() for i in range(9))):
+            for cols, sizes, blob, runs, done, *marks in zip(*(batch.column(i).to_pylist() for i in range(1, 9))):
                 yield _unipc(_unpacked(done))
-                r = Runs(sizes, blob, runs, depths.length)
-                shared, chosen = r.standing(of_runs, bits)
-                open_ = r.suffixes(r.contested(chosen, of_anchors, bits))
-                names, first, inverse, count = np.unique(r.names(r.at[open_]), return_index=True, return_inverse=True, return_counts=True)
-                hit, later = _hits(names, found, bits)
-                inverse = inverse.ravel()
-                if keep_first:
-                    repeated = r.suffixes(~chosen)
-                    gone_at = np.ones(len(inverse), bool)
-                    gone_at[first] = later
-                    repeated[open_] = gone_at
-                else:
-                    repeated = r.suffixes(shared)
-                    repeated[open_] |= (hit | (count > 1))[inverse]
-                at = r.at[repeated]
-                n = len(r.buf)
-                gone = _spread(at, at + depths.length, n) if n else np.zeros(0, bool)
-                parts = [slice(a, b) for a, b in zip(r.offsets[:-1], r.offsets[1:])]
-                yield finish(_unipc(cols), [r.buf[p] for p in parts], [gone[p] for p in parts])
+                counts, removed = [], None
+                for r in opened(units, sizes, blob, runs):
+                    mask = gone(r, bits, keep_first, *marks)
+                    total = np.r_[0, np.cumsum(mask)]
+                    counts.append(total[r.symbols.offsets[1:]] - total[r.symbols.offsets[:-1]])
+                    if removed is None:
+                        text, removed = r.symbols.text, r.symbols.bytes_of(mask)
+                parts = [slice(a, b) for a, b in zip(text.offsets[:-1], text.offsets[1:])]
+                yield finish(_unipc(cols), [text.buf[p] for p in parts], [removed[p] for p in parts], counts)
 
     return run
 
 
-def _digest(cols: pa.RecordBatch, texts: list[np.ndarray], gone: list[np.ndarray]) -> pa.RecordBatch:
+def _digest(cols: pa.RecordBatch, texts: list[np.ndarray], gone: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
     n = pa.array([len(t) for t in texts], pa.int64())
     removed = pa.array([int(g.sum()) for g in gone], pa.int64())
     spans = pa.array([int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if len(g) else 0 for g in gone], pa.int64())
     sha = pa.array([hashlib.sha256(t[~g].tobytes()).hexdigest() for t, g in zip(texts, gone)], pa.string())
-    return pa.RecordBatch.from_arrays([*cols.columns, n, removed, spans, sha], names=[*cols.schema.names, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    words = [pa.array(c.astype(np.int64)) for c in counts[1:]]
+    return pa.RecordBatch.from_arrays([*cols.columns, n, removed, spans, sha, *words], names=[*cols.schema.names, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["n_passage_words"] * len(words)])
 
 
-def _text(cols: pa.RecordBatch, texts: list[np.ndarray], gone: list[np.ndarray]) -> pa.RecordBatch:
+def _text(cols: pa.RecordBatch, texts: list[np.ndarray], gone: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
     """Kept text and bytes removed; characters cut in half stay whole."""
     out, removed = [], []
     for text, g in zip(texts, gone):
@@ -428,16 +500,20 @@ def _bits(names: int) -> int:
     return max(LEAST_RANGES, -(-names // RANGE_NAMES) - 1).bit_length()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, digest: bool = True) -> DataFrame:
-    """All columns of ``docs`` but text, with what is left of it.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, digest: bool = True, unit: str = "byte", passages: int = 0) -> DataFrame:
+    """All columns of ``docs`` but text, with what is left of it when the strings of
+    ``length`` symbols of the unit ``byte`` or ``word`` that repeat are removed.
 
     ``digest`` gives n_bytes, n_removed, n_spans and kept_sha256, else text and
-    n_removed. ``keep_first`` leaves one occurrence of every repeated string.
+    n_removed. ``keep_first`` leaves one occurrence of every repeated string. With
+    ``passages`` the digest also has n_passage_words: how many of the document's words
+    lie in passages of that many words that occur elsewhere too; white space may differ.
     """
-    depths = Depths(length)
+    units = [Unit(unit, length)] + ([Unit("word", passages)] if passages and digest else [])
     others = [c for c in docs.columns if c not in ("text", "n_removed")]
     rows = docs.select(*others, F.col("text").cast("string").alias("text"))
     added = [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType())] if digest else [StructField("text", StringType()), StructField("n_removed", LongType())]
+    added += [StructField("n_passage_words", LongType())] * (len(units) - 1)
     result = StructType([*[f for f in rows.schema.fields if f.name != "text" and f.name not in {x.name for x in added}], *added])
     rows = rows.select(*[f.name for f in result.fields if f.name not in {x.name for x in added}], "text")
     finish = _digest if digest else _text
@@ -448,10 +524,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
 
     cut = materialise(rows.mapInArrow(_slice, SLICE), "suffix-slices")
     total = cut.agg(F.sum("bytes")).first()[0] or 0
-    bits = _bits(total * len(depths.cover) // depths.v)
-    samples = marks(cut.select("slice", "sizes", "blob").mapInArrow(_name_samples(depths, bits), NAMED), "", "samples")
+    bits = _bits(total * len(units[0].cover[1]) // units[0].cover[0])
+    samples = marks(cut.select("slice", "sizes", "blob").mapInArrow(_name_samples(units, bits), NAMED), "", "samples")
     both = cut.join(samples, F.col("slice") == F.col("__samples"), "left").select("slice", "cols", "sizes", "blob", "samples")
-    open_ = materialise(both.mapInArrow(_remaining(depths, bits, finish), OPEN), "suffix-open")
+    open_ = materialise(both.mapInArrow(_remaining(units, bits, finish), OPEN), "suffix-open")
     discard(cut)
     del samples, both
     release(docs.sparkSession)
@@ -463,15 +539,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     def with_marks(rows: DataFrame, found: DataFrame, to: str) -> DataFrame:
         return rows.join(found, F.col("slice") == F.col(f"__{to}"), "left").drop(f"__{to}")
 
-    runs = materialise(marks(left.mapInArrow(_name_runs(depths, bits), NAMED), "<u8", "of_runs"), "suffix-runs")
+    runs = materialise(marks(left.mapInArrow(_name_runs(units, bits), NAMED), "<u8", "of_runs"), "suffix-runs")
     named = with_marks(left, runs, "of_runs").select(*base, "of_runs")
-    anchors = materialise(marks(named.mapInArrow(_name_anchors(depths, bits), NAMED), "", "of_anchors"), "suffix-anchors")
+    anchors = materialise(marks(named.mapInArrow(_name_anchors(units, bits), NAMED), "", "of_anchors"), "suffix-anchors")
     both_marks = lambda rows: with_marks(with_marks(rows, runs, "of_runs"), anchors, "of_anchors")
     named = both_marks(left).select(*base, "of_runs", "of_anchors")
-    suffixes = marks(named.mapInArrow(_name_suffixes(depths, bits), NAMED), "<u2", "of_suffixes")
+    suffixes = marks(named.mapInArrow(_name_suffixes(units, bits), NAMED), "<u8", "of_suffixes")
     out = with_marks(both_marks(open_), suffixes, "of_suffixes").select("slice", "cols", "sizes", "blob", "runs", "done", "of_runs", "of_anchors", "of_suffixes")
-    return out.mapInArrow(_remove(depths, bits, keep_first, finish), result)
+    return out.mapInArrow(_remove(units, bits, keep_first, finish), result)
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=WORDS)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -445,6 +446,57 @@ def test_repeats_against_all_windows(spark, docs, empty, length):
     assert suffixes.remove_repeats(empty, length).count() == 0
 
 
+INK = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def brute_words(raw, length):
+    """Which words of each text lie in a passage of ``length`` words that also starts elsewhere."""
+    tokens = [INK.findall(t) for t in raw]
+    where = Counter(tuple(t[i : i + length]) for t in tokens for i in range(len(t) - length + 1))
+    out = []
+    for t in tokens:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if where[tuple(t[i : i + length])] > 1:
+                gone[i : i + length] = True
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("length", [51, 8, 1])
+def test_repeated_passages_against_all_windows(spark, docs, empty, length):
+    rng = random.Random(length)
+    shared = [prose(rng, 60, "ab"), "de " * 70, prose(rng, 9)]
+    extra = [(1000 + i, prose(rng, 20) + rng.choice([" ", "\n", "\t\r"]) + rng.choice(shared).replace(" ", rng.choice([" ", "  ", "\n"])) + " " + prose(rng, rng.randint(0, 80)), "x", "y", 1) for i in range(12)]
+    table = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(extra, DOC)).repartition(3)
+    rows = texts_of(table)
+    raw = [t.encode() for _, t in rows]
+    brute = brute_words(raw, length)
+    got = suffixes.remove_repeats(table.select("doc_id", "text"), 400, passages=length).select("doc_id", "n_bytes", "n_passage_words").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, len(t), int(g.sum())) for (i, _), t, g in zip(rows, raw, brute)), key=str)
+    want = []
+    for (doc_id, _), t, gone in zip(rows, raw, brute):
+        drop = np.zeros(len(t), bool)
+        spans = [m.span() for m in INK.finditer(t)]
+        for k, (a, b) in enumerate(spans):
+            if gone[k]:
+                drop[a : spans[k + 1][0] if k + 1 < len(spans) and gone[k + 1] else b] = True
+        want.append((doc_id, int(drop.sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~drop].tobytes()).hexdigest()))
+    got = suffixes.remove_repeats(table.select("doc_id", "text"), length, unit="word").select("doc_id", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert suffixes.remove_repeats(empty, length, unit="word").count() == 0
+
+
+def test_repeats_of_a_whole_table_against_all_windows(spark):
+    """Every byte string of 400 and every passage of 51 words of a table, by plain windows."""
+    sf = "/root/testdata/sf0.01"
+    rows = texts_of(spark.read.parquet(f"{sf}/documents.parquet"))
+    raw = [t.encode() for _, t in rows]
+    want = {i: (int(b.sum()), int(w.sum())) for (i, _), b, w in zip(rows, brute_cover(raw, 400), brute_words(raw, 51))}
+    got = {r["doc_id"]: (r["n_removed"], r["n_passage_words"]) for r in suffixes.op7_suffix_repeats(spark, sf).collect()}
+    assert got == want and any(not b and w for b, w in want.values())
+
+
 def test_one_occurrence_stays(spark):
     rng = random.Random(5)
     passage = prose(rng, 80)
@@ -583,8 +635,13 @@ def test_pipeline(spark, sf):
     classes = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_classes(docs).collect()}
     assert sorted(r["doc_id"] for r in near.collect()) == sorted(set(classes.values()))
     cut = cp.drop_repeats(spark, near, sf).cache()
-    raw = [r["text"].encode() for r in cut.collect()]
-    assert cut.columns == docs.columns and not sum(g.sum() for g in brute_cover(raw, cp.REPEAT_BYTES + 60))
+    before, after = [[INK.findall(t.encode()) for _, t in texts_of(x)] for x in (near, cut)]
+    count = lambda texts: Counter(tuple(t[i : i + cp.PASSAGE_WORDS]) for t in texts for i in range(len(t) - cp.PASSAGE_WORDS + 1))
+    repeated = {k for k, n in count(before).items() if n > 1}
+    left = count(after)
+    assert cut.columns == docs.columns and repeated and all(left[k] <= 1 for k in repeated)
+    spared = {i: t for i, t in texts_of(near) if not any(tuple(INK.findall(t.encode())[k : k + cp.PASSAGE_WORDS]) in repeated for k in range(len(t.split())))}
+    assert {i: t for i, t in texts_of(cut) if i in spared} == spared  # clean documents are left alone
     mixed = cp.mix_sources(spark, cut, sf)
     words = lambda t: len([w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", t)])
     want = {r["doc_id"]: r["taken"] for r in mixing.mix(cut).collect()}
