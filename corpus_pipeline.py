@@ -2,7 +2,7 @@
 
 Each stage takes what its predecessor kept. All but the last return the columns of
 documents: toxic documents go; one document of each near-duplicate class stays;
-strings of ``REPEAT_BYTES`` bytes that occur more than once stay where they occur
+passages of ``PASSAGE_WORDS`` words that occur more than once stay where they occur
 first; documents are repeated or cut as the mix of sources takes them; the last
 stage packs token sequences.
 """
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from postquill.llm import mixing, neardup, packing, suffixes, toxicity
 from postquill.session import materialise, table
 
-#: About 35 words: passages of over 50 words are caught in any of the languages.
-REPEAT_BYTES = 200
+#: Passages of over 50 words, whatever their length in bytes.
+PASSAGE_WORDS = 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document of which nothing is left goes; lengths are counted anew."""
-    cut = suffixes.remove_repeats(docs, REPEAT_BYTES, keep_first=True, digest=False)
+    cut = suffixes.remove_repeats(docs, PASSAGE_WORDS, keep_first=True, digest=False, unit="word")
     cut = cut.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
