@@ -2,9 +2,10 @@
 
 Each URL is a path in its host's tree, one segment a level. Segments with digits
 are generalised to typed wildcards while they are read; on every level the segments
-that are rare under a node with many children become one wildcard, and children
-whose labelled share of blocks cannot be told from their node's are merged into
-one branch. A template (a leaf) is rejected if the smoothed purity of its labels,
+that are rare under a node with many children, or that have no labels of their own,
+become one wildcard, and of the other branches, ordered by their labelled share of
+blocks, each is merged with the one before it unless their shares differ by more than
+``Z`` standard errors. A template (a leaf) is rejected if the smoothed purity of its labels,
 ``(blocked + ALPHA * prior) / (labelled + ALPHA)``, exceeds ``REJECT``. The labels
 are the verdicts of the rules where one fits. Levels are built over all hosts at
 once from counts per template, so a host of any size is never one task's group;
@@ -17,7 +18,7 @@ they are allowed unless most labels are blocks; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise, table
@@ -69,14 +70,19 @@ def template_tree(urls: DataFrame) -> DataFrame:
     for level in range(total["depth"] or 0):
         seg = F.get("shape", F.lit(level))
         child = paths.where(seg.isNotNull()).groupBy("host", "prefix", seg.alias("seg")).agg(*sums)
-        node = child.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("node_n"), F.sum("blocked").alias("node_b"), F.sum("allowed").alias("node_a"))
+        node = child.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("node_n"))
         both = child.join(node, ["host", "prefix"])
         rare = (F.col("children") > MANY) & (F.col("n") < RARE * F.col("node_n"))
-        labelled, node_labelled = F.col("blocked") + F.col("allowed"), F.col("node_b") + F.col("node_a")
-        share = F.when(node_labelled > 0, F.col("node_b") / node_labelled).otherwise(prior)
-        error = F.sqrt((share * (1 - share) + 0.25 / (labelled + 1)) / F.greatest(labelled, F.lit(1)))
-        alike = (labelled > 0) & (F.abs(F.col("blocked") / F.greatest(labelled, F.lit(1)) - share) <= Z * error)
-        named = both.select("host", "prefix", "seg", F.when(rare, "*").when(alike, "~").otherwise(F.col("seg")).alias("name"))
+        labelled = F.col("blocked") + F.col("allowed")
+        share = F.col("blocked") / F.greatest(labelled, F.lit(1))
+        both = both.select("host", "prefix", "seg", (rare | (labelled == 0)).alias("wild"), share.alias("share"), ((share * (1 - share) + 0.25 / (labelled + 1)) / F.greatest(labelled, F.lit(1))).alias("error"))
+        # a node keeps at most max(MANY, 1 / RARE) branches, so these windows are small
+        by_share = Window.partitionBy("host", "prefix").orderBy("share", "seg")
+        apart = F.col("share") - F.lag("share").over(by_share) > Z * F.sqrt(F.col("error") + F.lag("error").over(by_share))
+        kept = both.where(~F.col("wild")).withColumn("first", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("branch", F.sum("first").over(by_share))
+        size = F.count(F.lit(1)).over(Window.partitionBy("host", "prefix", "branch"))
+        kept = kept.select("host", "prefix", "seg", F.when(size > 1, F.concat(F.lit("~"), F.col("branch").cast("string"))).otherwise(F.col("seg")).alias("name"))
+        named = kept.unionByName(both.where("wild").select("host", "prefix", "seg", F.lit("*").alias("name")))
         after = paths.withColumn("seg", seg).join(named, ["host", "prefix", "seg"], "left")
         after = after.withColumn("prefix", F.when(F.col("seg").isNull(), F.col("prefix")).otherwise(F.concat_ws("/", "prefix", "name"))).drop("seg", "name")
         done, paths = paths, materialise(after.select("host", "shape", "n", "blocked", "allowed", "prefix"), "url-level")

@@ -157,6 +157,59 @@ def test_near_duplicates(spark, docs, empty, sf):
     assert neardup.near_duplicate_classes(docs).where("doc_id is null").collect()[0]["class_id"] is None
 
 
+def test_near_duplicates_in_small_blocks_and_without_ids(spark, monkeypatch):
+    """Buckets of several components, compared in blocks; hot texts; null and repeated ids."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rng = random.Random(12)
+    base = prose(rng, 120).split()
+    rows = []
+    for i in range(60):  # chains: each differs a little from the next, and every fifth far more
+        for k in range(1 if i % 5 else 3):
+            base[(7 * i + 31 * k) % 120] = f"w{i}"
+        rows.append((rng.choice([None, i, i // 2]), " ".join(base)))
+    rows += [(7, rows[3][1])] * 300 + [(None, "alone without an id"), (None, "alone without an id"), (900, "alone without an id too")]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found, classes, total = neardup._classes(table, 0.8)
+    assert total == len(rows)
+    got = defaultdict(set)
+    texts = {r["h"]: r["text"] for r in table.select("text", neardup._same().alias("h")).distinct().collect()}
+    for r in classes.collect():
+        got[r["class_key"]].add(texts[r["same"]])
+    idf = neardup.inverse_frequencies(table, len(rows))
+    plain = sorted({t for _, t in rows})
+    want = brute_classes(list(enumerate(plain)), idf)
+    assert {frozenset(v) for v in got.values()} == {frozenset(plain[i] for i in g) for g in want}
+    assert len(want) > 3 and max(map(len, want)) > 4
+    ids = {t: [i for i, u in rows if u == t and i is not None] for t in plain}
+    smallest = {frozenset(g): min((i for t in g for i in ids[plain[t]]), default=None) for g in want}
+    out = Counter(r["class_id"] for r in neardup.near_duplicate_classes(table).collect())
+    size = lambda g: sum(u in {plain[t] for t in g} for _, u in rows)
+    expected = Counter()
+    for g in want:
+        expected[smallest[frozenset(g)]] += size(g)
+    assert out == expected
+    kept = neardup.one_of_each(table.withColumn("__own_column", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "__own_column"]
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(smallest.values())
+
+
+def test_near_copies_by_plain_similarity(spark):
+    """Of all pairs alike in at least 0.8 of their five-word shingles, counted plainly, nine tenths share a class."""
+    rows = texts_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    sets = {i: set(zip(*(re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t.lower())[k:] for k in range(5)))) for i, t in rows}
+    holders = defaultdict(list)
+    for i, s_ in sets.items():
+        for x in s_:
+            holders[x].append(i)
+    shared = Counter((a, b) for h in holders.values() for k, a in enumerate(h) for b in h[k + 1 :])
+    near = {p for p, n in shared.items() if n >= 0.8 * len(sets[p[0]] | sets[p[1]])}
+    class_of = {r["doc_id"]: r["class_id"] for r in neardup.op2_near_duplicates(spark, "/root/testdata/sf0.01").collect()}
+    caught = sum(class_of[a] == class_of[b] for a, b in near)
+    print("near copies:", caught, "of", len(near))
+    assert len(near) > 20 and caught >= 0.9 * len(near)
+
+
 def test_consistent_samples_estimate_similarity():
     rng = np.random.default_rng(1)
     key = rng.integers(0, 1 << 62, 300).astype(np.uint64)
@@ -550,6 +603,73 @@ def test_template_tree_reads_segments_of_any_depth(spark):
     assert all((r["purity"] > urls.REJECT) == (r["shape"][8] == "spam") for r in got)
 
 
+def brute_tree(rows):
+    """The tree by plain loops: {(host, shape): (template, purity)} from (host, shape, verdict)."""
+    count = defaultdict(lambda: [0, 0, 0])
+    for host, shape, verdict in rows:
+        c = count[host, shape]
+        c[0] += 1
+        c[1] += verdict == "block"
+        c[2] += verdict == "allow"
+    b, a = (sum(c[i] for c in count.values()) for i in (1, 2))
+    prior = (b + 1) / (b + a + 2)
+    prefix = {k: "" for k in count}
+    for level in range(max(len(s) for _, s in count)):
+        nodes = defaultdict(lambda: defaultdict(lambda: np.zeros(3)))
+        for k, c in count.items():
+            if level < len(k[1]):
+                nodes[k[0], prefix[k]][k[1][level]] += c
+        names = {}
+        for node, children in nodes.items():
+            total = sum(c[0] for c in children.values())
+            known = []
+            for seg, (n, bl, al) in children.items():
+                if (len(children) > urls.MANY and n < urls.RARE * total) or bl + al == 0:
+                    names[node, seg] = "*"
+                else:
+                    share, lab = bl / (bl + al), bl + al
+                    known.append((share, seg, (share * (1 - share) + 0.25 / (lab + 1)) / lab))
+            known.sort()
+            branches = []
+            for i, (share, seg, error) in enumerate(known):
+                if i and share - known[i - 1][0] <= urls.Z * math.sqrt(error + known[i - 1][2]):
+                    branches[-1].append(seg)
+                else:
+                    branches.append([seg])
+            for i, branch in enumerate(branches):
+                for seg in branch:
+                    names[node, seg] = f"~{i + 1}" if len(branch) > 1 else seg
+        prefix = {k: f"{p}/{names[(k[0], p), k[1][level]]}" if level < len(k[1]) else p for k, p in prefix.items()}
+    leaf = defaultdict(lambda: [0, 0])
+    for k, c in count.items():
+        leaf[k[0], prefix[k]][0] += c[1]
+        leaf[k[0], prefix[k]][1] += c[2]
+    out = {}
+    for k in count:
+        bl, al = leaf[k[0], prefix[k]]
+        out[k] = (k[0] + prefix[k], (bl + urls.ALPHA * prior) / (bl + al + urls.ALPHA))
+    return out
+
+
+def test_template_tree_against_plain_loops(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host, path = urls.parsed()
+    rows = pages.select(host.alias("host"), path.alias("path"))
+    rows = rows.select("host", urls.shape().alias("shape"), urls.ruled()[1].alias("verdict"))
+    rng = random.Random(4)
+    kinds = {"a": 0.9, "b": 0.85, "c": 0.1, "d": 0.5}  # branches alike and apart, labelled and not
+    made = []
+    for _ in range(600):
+        kind = rng.choice([*kinds, "none"])
+        verdict = None if kind == "none" or rng.random() < 0.5 else "block" if rng.random() < kinds[kind] else "allow"
+        made.append(("mix.org", ["", kind, rng.choice("xyz"), *["deep"] * rng.randint(0, 3)], verdict))
+    rows = rows.unionByName(spark.createDataFrame(made, rows.schema))
+    want = brute_tree([(r["host"], tuple(r["shape"]), r["verdict"]) for r in rows.collect()])
+    got = {(r["host"], tuple(r["shape"])): (r["template"], r["purity"]) for r in urls.template_tree(rows).collect()}
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1]) for k in want)
+    assert any("~" in t for t, _ in got.values())
+
+
 # -- 9
 
 
