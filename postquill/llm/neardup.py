@@ -268,12 +268,12 @@ def _block(shared, similarity: float):
 def by_key(rows: DataFrame, known: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """``rows`` inner-joined with ``known`` (one row for each ``key``, with the number ``n`` of
     its rows). Keys of more than ``total / HOT_KEYS`` rows, of which there are fewer than
-    ``HOT_KEYS``, are broadcast; the others are shuffled."""
+    ``HOT_KEYS``, are broadcast; the others are merged, in the same way at every size."""
     limit = max(total // HOT_KEYS, 256)
     known = known.withColumnRenamed(key, "__key")
     hot, cold = known.where(F.col(n) > limit), known.where(F.col(n) <= limit)
     many = rows.join(F.broadcast(hot), F.col(key) == F.col("__key"))
-    few = rows.join(F.broadcast(hot.select("__key")), F.col(key) == F.col("__key"), "left_anti").join(cold, F.col(key) == F.col("__key"))
+    few = rows.join(F.broadcast(hot.select("__key")), F.col(key) == F.col("__key"), "left_anti").join(cold.hint("merge"), F.col(key) == F.col("__key"))
     return many.unionByName(few).drop("__key")
 
 
