@@ -8,17 +8,31 @@ it. Hashes of any span come from one prefix sum: with odd ``B`` and a random
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GROW = 1 << 16
 
 
+def tidy(run):
+    """``run`` over the batches of a task, after which the worker's free memory goes back to
+    the system, as the same worker serves later tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        with contextlib.suppress(OSError, AttributeError):  # C libraries without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (xor-shift and multiply)."""
     x = x ^ (x >> U64(30))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import discard, materialise, table
-from .bytekit import U64, buffers, fold_case, mix64, prefix_hash, slices, span_hash, words
+from .bytekit import U64, buffers, fold_case, mix64, prefix_hash, slices, span_hash, tidy, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -289,7 +289,7 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _same().alias("same"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = rows.count()
     idf = spark.sparkContext.broadcast(inverse_frequencies(rows, total))
-    signed = materialise(rows.mapInArrow(_sign(idf), "doc_id long, same binary, weight double, bands array<long>"), "near-signs")
+    signed = materialise(rows.mapInArrow(tidy(_sign(idf)), "doc_id long, same binary, weight double, bands array<long>"), "near-signs")
 
     # identical texts: one row stands for each; the number it gets holds from here on, as the table is written
     lead = signed.groupBy("same").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
@@ -310,7 +310,7 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame,
         left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
         right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         both = fresh.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-        return materialise(both.mapInArrow(_verify(idf, similarity), "a long, b long"), "near-links")
+        return materialise(both.mapInArrow(tidy(_verify(idf, similarity)), "a long, b long"), "near-links")
 
     # everyone in a bucket with its smallest and its largest member
     hub = members.select("id", "weight", F.explode(F.array("lo", "hi")).alias("hub"))

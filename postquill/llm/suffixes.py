@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import discard, materialise, release, table
-from .bytekit import U64, buffers, inked, prefix_hash, prefix_sums, slices, span_hash
+from .bytekit import U64, buffers, inked, prefix_hash, prefix_sums, slices, span_hash, tidy
 
 LENGTH = 400
 #: Passages of over 50 words.
@@ -527,7 +527,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     bits = _bits(total * len(units[0].cover[1]) // units[0].cover[0])
     samples = marks(cut.select("slice", "sizes", "blob").mapInArrow(_name_samples(units, bits), NAMED), "", "samples")
     both = cut.join(samples, F.col("slice") == F.col("__samples"), "left").select("slice", "cols", "sizes", "blob", "samples")
-    open_ = materialise(both.mapInArrow(_remaining(units, bits, finish), OPEN), "suffix-open")
+    open_ = materialise(both.mapInArrow(tidy(_remaining(units, bits, finish)), OPEN), "suffix-open")
     discard(cut)
     del samples, both
     release(docs.sparkSession)
@@ -546,7 +546,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     named = both_marks(left).select(*base, "of_runs", "of_anchors")
     suffixes = marks(named.mapInArrow(_name_suffixes(units, bits), NAMED), "<u8", "of_suffixes")
     out = with_marks(both_marks(open_), suffixes, "of_suffixes").select("slice", "cols", "sizes", "blob", "runs", "done", "of_runs", "of_anchors", "of_suffixes")
-    return out.mapInArrow(_remove(units, bits, keep_first, finish), result)
+    return out.mapInArrow(tidy(_remove(units, bits, keep_first, finish)), result)
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .bytekit import U64, HashIndex, buffers, fold_case, prefix_hash, slices, span_hash, words
+from .bytekit import U64, HashIndex, buffers, fold_case, prefix_hash, slices, span_hash, tidy, words
 
 WINDOW, STRIDE = 32, 16
 LONGEST = 32
@@ -408,7 +408,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | float:
     the driver holds nothing but the model.
     """
     rows = training_rows(docs, labels).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"))
-    found = rows.coalesce(1).mapInArrow(_fit_rows, "model binary").first()
+    found = rows.coalesce(1).mapInArrow(tidy(_fit_rows), "model binary").first()
     return pickle.loads(found["model"]) if found else 0.0
 
 
@@ -435,7 +435,7 @@ def score(docs: DataFrame, model, columns: tuple[str, ...] = ("doc_id", "text"))
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     schema = StructType([*rows.schema.fields, StructField("__score", DoubleType())])
-    return rows.mapInArrow(_score(shared), schema)
+    return rows.mapInArrow(tidy(_score(shared)), schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
