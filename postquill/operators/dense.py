@@ -8,11 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .lexical import ranked
 
 #: Queries that travel together to a block of vectors.
 QUERY_BATCH = 1024
+#: Vectors of a block.
+BLOCK_ROWS = 8192
+#: Length of the stand-in embedding.
+DIM = 64
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -21,46 +26,73 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(prod, F.lit(0.0), lambda s, x: s + x)
 
 
-def search(vectors: DataFrame, query: DataFrame, k: int = 100) -> DataFrame:
-    """Exact top-k by expression, for few queries (qid, vector); pairs are dealt over partitions of both sides."""
-    pairs = vectors.select("id", "embedding").crossJoin(query.select("qid", "vector"))
-    return ranked(pairs.select("qid", "id", dot("embedding", "vector").alias("score")), k, "dense")
+def _blocks(rows: int, id_type: pa.DataType):
+    """Vectors of a task, sorted by part, as (part, dim, ids, values) of at most ``rows``."""
+    schema = pa.schema([("part", pa.int64()), ("dim", pa.int32()), ("ids", pa.list_(id_type)), ("vals", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, lists = batch.column(0).to_numpy(), batch.column(2)
+            size = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            edges = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (size[1:] != size[:-1])])
+            at = np.r_[0, np.cumsum(size)]
+            for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(part)]):
+                for a in range(lo, hi, rows):
+                    b = min(hi, a + rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int64()), pa.array([size[a]], pa.int32()), pa.array([batch.column(1).slice(a, b - a).to_pylist()], schema.field("ids").type), pa.array([flat[at[a] : at[b]].tobytes()], pa.binary())], schema=schema)
+
+    return run
 
 
-def _top(k: int, queries, qid_type: pa.DataType):
+def _top(k: int, qid_type: pa.DataType, id_type: pa.DataType):
+    names = ["qid", "id", "score"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, matrix = queries.value
         for batch in batches:
-            lists = batch.column(1)
-            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-            score = x @ matrix.T
-            take = min(k, len(batch))
-            best = np.argpartition(-score, take - 1, axis=0)[:take] if take < len(batch) else np.tile(np.arange(len(batch))[:, None], (1, len(qids)))
-            edge = np.take_along_axis(score, best, axis=0).min(axis=0)
-            rows, cols = np.nonzero(score >= edge - 1e-6)  # ties at the edge are settled later, by id
-            yield pa.RecordBatch.from_arrays([pa.array([qids[c] for c in cols.tolist()], qid_type), batch.column(0).take(pa.array(rows)), pa.array(score[rows, cols])], names=["qid", "id", "score"])
+            for qids, qvals, dim, ids, vals in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                score = np.frombuffer(vals).reshape(-1, dim) @ np.frombuffer(qvals).reshape(-1, dim).T
+                edge = np.partition(score, len(ids) - k, axis=0)[len(ids) - k] if k < len(ids) else np.full(len(qids), -np.inf)
+                rows, cols = np.nonzero(score >= edge - 1e-6)  # ties at the edge are settled later, by id
+                yield pa.RecordBatch.from_arrays([pa.array([qids[c] for c in cols.tolist()], qid_type), pa.array([ids[r] for r in rows.tolist()], id_type), pa.array(score[rows, cols])], names=names)
 
     return run
 
 
-def search_batch(vectors: DataFrame, queries: DataFrame, k: int = 100, query_batch: int = QUERY_BATCH) -> DataFrame:
-    """Exact top-k of many queries: one matrix product per batch of vectors, of which
-    only the best ``k`` a query go on. Queries are taken ``query_batch`` at a time."""
-    spark = vectors.sparkSession
-    rows = queries.select("qid", "vector").orderBy("qid").toArrow()
-    id_type = dict(vectors.dtypes)["id"]
-    found = None
-    for at in range(0, max(1, rows.num_rows), query_batch):
-        part = rows.slice(at, query_batch)
-        if not part.num_rows:
-            return search(vectors, queries, k)
-        matrix = np.array(part.column("vector").to_pylist(), np.float64)
-        shared = spark.sparkContext.broadcast((part.column("qid").to_pylist(), matrix))
-        out = vectors.select("id", "embedding").mapInArrow(_top(k, shared, rows.schema.field("qid").type), f"qid {dict(queries.dtypes)['qid']}, id {id_type}, score double")
-        found = out if found is None else found.unionByName(out)
+def search_batch(vectors: DataFrame, queries: DataFrame, k: int = 100, query_batch: int = QUERY_BATCH, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact top-k of every query (qid, vector) among the vectors (id, embedding).
+
+    Vectors are dealt once, into parts of about ``block_rows``, and batches of queries are
+    sent to every part, where one matrix product scores a pair of blocks; only the best
+    ``k`` a query go on. Nothing is collected. Vectors and queries that are null, empty
+    or hold a null or non-finite component take no part, and a vector of another length
+    than the query is no candidate of it.
+    """
+
+    def whole(rows: DataFrame, id_: str, vector: str) -> DataFrame:
+        wide = rows.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        return wide.where(F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+    def dealt(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+        n = max(1, -(-rows.count() // size))
+        type_ = rows.schema["id"].dataType
+        placed = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("part"), "id", "v").repartition(n, "part").sortWithinPartitions("part", F.size("v"))
+        return placed.mapInArrow(_blocks(size, to_arrow_type(type_)), f"part long, dim int, ids array<{type_.simpleString()}>, vals binary"), n
+
+    index, parts = dealt(whole(vectors, "id", "embedding"), block_rows)
+    asked, _ = dealt(whole(queries, "qid", "vector"), query_batch)
+    asked = asked.select("dim", F.col("ids").alias("qids"), F.col("vals").alias("qvals"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    pairs = index.join(asked, ["part", "dim"]).select("qids", "qvals", "dim", "ids", "vals")
+    qid, id_ = queries.schema["qid"].dataType, vectors.schema["id"].dataType
+    found = pairs.mapInArrow(_top(k, to_arrow_type(qid), to_arrow_type(id_)), f"qid {qid.simpleString()}, id {id_.simpleString()}, score double")
     return ranked(found, k, "dense")
 
 
+def search(vectors: DataFrame, query: DataFrame, k: int = 100) -> DataFrame:
+    """Exact top-k of one or a few queries: the same plan."""
+    return search_batch(vectors, query, k)
+
+
 def dimension_problems(vectors: DataFrame, dim: int) -> DataFrame:
     """Rows whose vector has another length than the index."""
     return vectors.where(F.col("embedding").isNull() | (F.size("embedding") != dim))
@@ -109,15 +141,19 @@ def ann_recall(exact: DataFrame, approx: DataFrame) -> DataFrame:
 def unit(vector: Column | str) -> Column:
     v = F.col(vector) if isinstance(vector, str) else vector
     norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: (x / F.when(norm == 0, 1.0).otherwise(norm)).cast("float"))
-
-
-def hashed_embedding(text: Column | str, dim: int = 64) -> Column:
-    """A deterministic stand-in for an encoder: signed hashed term counts, unit length."""
-    t = F.col(text) if isinstance(text, str) else text
-    words = F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"\w+"), F.lit(0))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(words, F.lit(0.0), lambda s, w: s + F.when(F.pmod(F.xxhash64(w), F.lit(dim)) == i, F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    return unit(counts)
+    return F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+
+
+def hashed_embedding(rows: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
+    """(key, embedding) of rows with words: a deterministic stand-in for an encoder, the
+    signed counts of hashed words at unit length. Counts are summed before any shuffle."""
+    word = F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\w\w+"), F.lit(0)))
+    hashed = rows.select(key, word.alias("w")).select(key, F.md5("w").alias("h"))
+    digit = lambda a, n: F.conv(F.substring("h", a, n), 16, 10).cast("int")
+    sums = hashed.groupBy(key, (digit(1, 4) % dim).alias("d")).agg(F.sum(F.when(digit(5, 1) % 2 == 0, 1.0).otherwise(-1.0)).alias("v"))
+    by_key = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m"))  # at most ``dim`` entries
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return by_key.select(key, counts.alias("c")).select(key, unit("c").alias("embedding"))
 
 
 def top_k_window(scores: DataFrame, k: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,29 +25,13 @@ def query(sql: str | None = None):
     return keep
 
 
-#: Query vectors of the SQL as given, and all of them: every id divisible by 20.
-FIRST, EVERY = "vec_id < 20", "vec_id % 20 = 0"
+#: Query vectors: every id divisible by 20, against all vectors.
+EVERY = "vec_id % 20 = 0"
 
 
-def vector_query(sql: str, every_sql: str | None = None):
-    """Registers a function on the query vectors of its SQL and, as ``<name>_every``, on all
-    query vectors; ``every_sql`` is given where more than the set of queries differs."""
-
-    def keep(f):
-        @functools.wraps(f)
-        def every(spark: SparkSession, sf: str) -> DataFrame:
-            return f(spark, sf, EVERY)
-
-        every.__name__ = f"{f.__name__}_every"
-        query((every_sql or sql).replace(FIRST, EVERY))(every)
-        return query(sql)(f)
-
-    return keep
-
-
-def query_number(which: str):
-    """Number of a query vector among those of ``which``, from 0."""
-    return F.floor(F.col("qid") / (20 if which == EVERY else 1)).cast("long")
+def query_number():
+    """Number of a query vector among all of them, from 0."""
+    return F.floor(F.col("qid") / 20).cast("long")
 
 
 def rows(spark: SparkSession, values: str) -> DataFrame:
@@ -87,5 +70,5 @@ def label_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def vector_queries(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
-    return table(spark, sf, "embeddings").where(which).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").where(EVERY).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))

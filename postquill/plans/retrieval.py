@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, content_terms, key_of_chunk
-from ..operators import chunking, dense, fusion, lexical, metrics, rerank
+from ..operators import chunking, dense, fusion, lexical, metrics, rerank, retrievers
 from ..operators.evaluation import misses
 from ..session import table
-from .base import EVERY, FIRST, label_vectors, query, query_number, vector_queries, vector_query
+from .base import EVERY, label_vectors, query, query_number, vector_queries
 
 TOP, DEPTH = 10, 50
 
@@ -43,14 +43,28 @@ oq AS (SELECT qid, len(t) AS n, unnest(t) AS term FROM (SELECT item_id AS qid, {
 oh AS (SELECT id, unnest({_TERMS.format(x="text")}) AS term FROM texts),
 os AS (SELECT qid, id, round(count(*) / n, 6) AS score FROM oh JOIN oq USING (term) GROUP BY qid, id, n),
 ov AS (SELECT qid, 'overlap' AS run, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM os QUALIFY rank <= {DEPTH})"""
-_HYBRID = (
-    "WITH " + _FIXED.format(stride=512) + ", texts AS (SELECT id, array_to_string(c, ' ') AS text FROM ch), " + _bm25("texts") + "," + _OVERLAP + f""",
-both_ AS (SELECT * FROM bm UNION ALL SELECT * FROM ov),
-rr AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM both_ GROUP BY qid, id),
-rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM rr),
+_TEXTS = _FIXED.format(stride=512) + ", texts AS (SELECT id, array_to_string(c, ' ') AS text FROM ch), "
+_EMBED = r"""
+ev AS (SELECT {key}, ('0x' || substr(h, 1, 4))::INT % 64 AS d, sum(CASE WHEN ('0x' || substr(h, 5, 1))::INT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v
+       FROM (SELECT {key}, md5(unnest(regexp_extract_all(lower(text), '\w\w+'))) AS h FROM {rows}) GROUP BY ALL)"""
+_DENSE_TEXT = (
+    "".join(_EMBED.replace("ev AS", f"{name} AS").format(key=key, rows=rows) + "," for name, key, rows in (("qe", "qid", "(SELECT item_id AS qid, text FROM benchmark)"), ("ce", "id", "texts"))) + f"""
+qn AS (SELECT qid, sqrt(sum(v * v)) AS n FROM qe GROUP BY qid), cn AS (SELECT id, sqrt(sum(v * v)) AS n FROM ce GROUP BY id),
+dp AS (SELECT qid, id, sum(qe.v * ce.v) AS dot FROM qe JOIN ce USING (d) GROUP BY ALL),
+ds AS (SELECT qn.qid, cn.id, round(coalesce(dot / nullif(qn.n * cn.n, 0), 0), 6) AS score FROM qn CROSS JOIN cn LEFT JOIN dp ON dp.qid = qn.qid AND dp.id = cn.id),
+dn AS (SELECT qid, 'dense' AS run, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM ds QUALIFY rank <= {DEPTH})"""
+)
+_COLLAPSED = f""",
 co AS (SELECT qid, regexp_replace(id, ':[^:]*$', '') AS id, max(score) AS score, min(rank) AS first_rank FROM rk GROUP BY ALL),
 hy AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY first_rank, id)::INT AS rank FROM co QUALIFY rank <= {TOP})"""
-)
+_FUSED = f"rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM {{scores}} QUALIFY rank <= {DEPTH})"
+
+
+def _rrf(other: str) -> str:
+    return f", both_ AS (SELECT * FROM bm UNION ALL SELECT * FROM {other}), rr AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM both_ GROUP BY qid, id), " + _FUSED.format(scores="rr")
+
+
+_HYBRID = "WITH " + _TEXTS + _bm25("texts") + "," + _DENSE_TEXT + _rrf("dn") + _COLLAPSED
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,18 +76,44 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
+def _found(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    run = retrievers.retrieve(name, _chunks(spark, sf), _questions(spark, sf), DEPTH, 0.7)
+    return fusion.collapse(run, key_of_chunk("id"), TOP).select("qid", "id", "score", "rank")
+
+
 def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    chunks, asked = _chunks(spark, sf), _questions(spark, sf)
-    runs = fusion.union_runs(
-        lexical.bm25(chunks, asked, DEPTH, keep_zero=False),
-        lexical.overlap_run(chunks, asked, DEPTH, content_terms),
-    )
-    return fusion.collapse(fusion.reciprocal_rank(runs), key_of_chunk("id"), TOP)
+    return _found(spark, sf, "hybrid_rrf")
 
 
 @query(_HYBRID + " SELECT qid, id, score, rank FROM hy")
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _hybrid(spark, sf).select("qid", "id", "score", "rank")
+    """BM25 and dense vectors over chunks, fused by rank, collapsed to messages."""
+    return _hybrid(spark, sf)
+
+
+@query("WITH " + _TEXTS + _bm25("texts") + "," + _DENSE_TEXT + f""", both_ AS (SELECT * FROM bm UNION ALL SELECT * FROM dn),
+mm AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM both_ WINDOW w AS (PARTITION BY qid, run)),
+ws AS (SELECT qid, id, round(sum(CASE WHEN run = 'dense' THEN 0.7 ELSE 1 - 0.7 END * s), 6) AS score FROM mm GROUP BY qid, id), """ + _FUSED.format(scores="ws") + _COLLAPSED + " SELECT qid, id, score, rank FROM hy")
+def hybrid_weighted_search(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(spark, sf, "hybrid_weighted")
+
+
+@query("WITH " + _TEXTS + _DENSE_TEXT + ", rk AS (SELECT qid, id, score, rank FROM dn)" + _COLLAPSED + " SELECT qid, id, score, rank FROM hy")
+def dense_text_search(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(spark, sf, "dense")
+
+
+@query("WITH " + _TEXTS + _bm25("texts") + ", rk AS (SELECT qid, id, score, rank FROM bm)" + _COLLAPSED + " SELECT qid, id, score, rank FROM hy")
+def bm25_chunk_search(spark: SparkSession, sf: str) -> DataFrame:
+    return _found(spark, sf, "bm25")
+
+
+@query("WITH " + _TEXTS + _bm25("texts") + "," + _OVERLAP + _rrf("ov").replace(f" QUALIFY rank <= {DEPTH}", "") + _COLLAPSED + " SELECT qid, id, score, rank FROM hy")
+def lexical_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 and the share of the question's terms, two lexical runs, fused by rank."""
+    chunks, asked = _chunks(spark, sf), _questions(spark, sf)
+    runs = fusion.union_runs(lexical.bm25(chunks, asked, DEPTH, keep_zero=False), lexical.overlap_run(chunks, asked, DEPTH, content_terms))
+    return fusion.collapse(fusion.reciprocal_rank(runs), key_of_chunk("id"), TOP).select("qid", "id", "score", "rank")
 
 
 _REL = "rel AS (SELECT b.item_id AS qid, d.doc_id::VARCHAR AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -100,11 +140,12 @@ def hybrid_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _contained(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(qid, id) of benchmark texts inside documents: an equi-join on each text's first
-    24 characters at every place where they occur is avoided by joining on a word."""
+    """(qid, id) of benchmark texts inside documents: pairs that share the text's longest
+    word, as ids; texts join afterwards."""
     word = F.regexp_extract_all(F.lower("text"), F.lit(r"\w\w+"), F.lit(0))
     rare = asked.select(F.col("item_id").alias("qid"), F.col("text").alias("needle"), F.array_max(F.transform(word, lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("w"))
-    held = docs.select("doc_id", "text", F.explode(F.array_distinct(word)).alias("w")).join(rare, "w")
+    pairs = docs.select("doc_id", F.explode(F.array_distinct(word)).alias("w")).join(rare, "w").drop("w")
+    held = pairs.join(docs.select("doc_id", "text"), "doc_id")
     return held.where(F.contains("text", F.col("needle"))).select("qid", F.col("doc_id").cast("string").alias("id")).distinct()
 
 
@@ -194,103 +235,103 @@ def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 _DOT = "list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
 _DENSE = f"""
-de AS (SELECT q.vec_id AS qid, d.vec_id AS id, round({_DOT}, 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id < 20),
+de AS (SELECT q.vec_id AS qid, d.vec_id AS id, round({_DOT}, 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0),
 dense AS (SELECT qid, 'dense' AS run, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM de QUALIFY rank <= 100),
-ha AS (SELECT q.vec_id AS qid, d.vec_id AS id, round({_DOT.replace("q.embedding", "q.embedding[1:16]").replace("d.embedding", "d.embedding[1:16]")}, 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id < 20),
+ha AS (SELECT q.vec_id AS qid, d.vec_id AS id, round({_DOT.replace("q.embedding", "q.embedding[1:16]").replace("d.embedding", "d.embedding[1:16]")}, 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0),
 half AS (SELECT qid, 'half' AS run, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM ha QUALIFY rank <= 100),
 runs AS (SELECT * FROM dense UNION ALL SELECT * FROM half)"""
 
 
-def _runs(spark: SparkSession, sf: str, which: str = FIRST) -> tuple[DataFrame, DataFrame]:
-    v, q = label_vectors(spark, sf), vector_queries(spark, sf, which)
+def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    v, q = label_vectors(spark, sf), vector_queries(spark, sf)
     cut = lambda df, c: df.withColumn(c, F.slice(c, 1, 16))
     half = dense.search_batch(cut(v, "embedding"), cut(q, "vector"), 100).withColumn("run", F.lit("half"))
     return dense.search_batch(v, q, 100), half
 
 
-@vector_query("WITH" + _DENSE + " SELECT qid, id, score, rank FROM dense")
-def dense_topk(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
-    return dense.search(label_vectors(spark, sf), vector_queries(spark, sf, which), 100).drop("run")
+@query("WITH" + _DENSE + " SELECT qid, id, score, rank FROM dense")
+def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return dense.search(label_vectors(spark, sf), vector_queries(spark, sf), 100).drop("run")
 
 
-@vector_query("WITH" + _DENSE + " SELECT qid, id, score, rank FROM dense")
-def dense_topk_batch(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
-    return dense.search_batch(label_vectors(spark, sf), vector_queries(spark, sf, which), 100).drop("run")
+@query("WITH" + _DENSE + " SELECT qid, id, score, rank FROM dense")
+def dense_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
+    return dense.search_batch(label_vectors(spark, sf), vector_queries(spark, sf), 100).drop("run")
 
 
 _RRF = " , rf AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM runs GROUP BY qid, id), rrf AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM rf)"
 _MM = " , mm AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM runs WINDOW w AS (PARTITION BY qid, run))"
 
 
-@vector_query("WITH" + _DENSE + _RRF + " SELECT qid, id, score, rank FROM rrf")
-def rrf_fusion(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
-    return fusion.reciprocal_rank(fusion.union_runs(*_runs(spark, sf, which))).drop("run")
+@query("WITH" + _DENSE + _RRF + " SELECT qid, id, score, rank FROM rrf")
+def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.reciprocal_rank(fusion.union_runs(*_runs(spark, sf))).drop("run")
 
 
-@vector_query("WITH" + _DENSE + _MM + """, wf AS (SELECT qid, id, round(sum(CASE WHEN run = 'dense' THEN 0.7 ELSE 0.3 END * s), 6) AS score FROM mm GROUP BY qid, id)
+@query("WITH" + _DENSE + _MM + """, wf AS (SELECT qid, id, round(sum(CASE WHEN run = 'dense' THEN 0.7 ELSE 0.3 END * s), 6) AS score FROM mm GROUP BY qid, id)
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM wf QUALIFY rank <= 50""")
-def weighted_fusion(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
-    return fusion.weighted(fusion.union_runs(*_runs(spark, sf, which)), {"dense": 0.7, "half": 0.3}, 50).drop("run")
+def weighted_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.weighted(fusion.union_runs(*_runs(spark, sf)), {"dense": 0.7, "half": 0.3}, 50).drop("run")
 
 
-@vector_query("WITH" + _DENSE + _MM + """, wf AS (SELECT share, qid, id, round(sum(CASE WHEN run = 'dense' THEN share ELSE 1 - share END * s), 6) AS score FROM mm, (VALUES (0.3::DOUBLE), (0.4), (0.5), (0.6), (0.7)) v(share) GROUP BY ALL)
+@query("WITH" + _DENSE + _MM + """, wf AS (SELECT share, qid, id, round(sum(CASE WHEN run = 'dense' THEN share ELSE 1 - share END * s), 6) AS score FROM mm, (VALUES (0.3::DOUBLE), (0.4), (0.5), (0.6), (0.7)) v(share) GROUP BY ALL)
 SELECT share, qid, id, score, row_number() OVER (PARTITION BY share, qid ORDER BY score DESC, id)::INT AS rank FROM wf QUALIFY rank <= 10""")
-def weight_sweep(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
-    return fusion.weight_sweep(fusion.union_runs(*_runs(spark, sf, which)), "dense", "half", top_k=10)
+def weight_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.weight_sweep(fusion.union_runs(*_runs(spark, sf)), "dense", "half", top_k=10)
 
 
-_MULTI = "WITH" + _DENSE + """, inner_ AS (SELECT qid, run, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT qid // 2 AS qid, CASE WHEN run = 'dense' THEN 'dense' ELSE 'sparse' END AS run, id, rank FROM runs) GROUP BY ALL),
+_MULTI = "WITH" + _DENSE + """, inner_ AS (SELECT qid, run, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT qid // 40 AS qid, CASE WHEN run = 'dense' THEN 'dense' ELSE 'sparse' END AS run, id, rank FROM runs) GROUP BY ALL),
 again AS (SELECT *, row_number() OVER (PARTITION BY qid, run ORDER BY round(score, 9) DESC, id) AS rank FROM inner_),
 fin AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM again GROUP BY qid, id)
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM fin QUALIFY rank <= 20"""
 
 
-@vector_query(_MULTI, _MULTI.replace("qid // 2 AS qid", "qid // 40 AS qid"))
-def multi_query_fusion(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
+@query(_MULTI)
+def multi_query_fusion(spark: SparkSession, sf: str) -> DataFrame:
     """Two texts per question and two modalities: fused within, then across."""
-    runs = fusion.union_runs(*_runs(spark, sf, which))
-    number = query_number(which)
+    runs = fusion.union_runs(*_runs(spark, sf))
+    number = query_number()
     rows = runs.select(F.floor(number / 2).alias("qid"), F.when(F.col("run") == "dense", "dense").otherwise("sparse").alias("modality"), (number % 2).alias("text_no"), "id", "rank")
     return fusion.two_stage(rows, top_k=20).drop("run")
 
 
-@vector_query("WITH" + _DENSE + """, src AS (SELECT qid, id, run, rank FROM runs WHERE rank <= 30 UNION ALL SELECT vec_id, (vec_id + 1), 'source', 0 FROM embeddings WHERE vec_id < 20),
+@query("WITH" + _DENSE + """, src AS (SELECT qid, id, run, rank FROM runs WHERE rank <= 30 UNION ALL SELECT vec_id, (vec_id + 1), 'source', 0 FROM embeddings WHERE vec_id % 20 = 0),
 be AS (SELECT qid, id, min(rank)::INT AS best, array_to_string(list_sort(list_distinct(list(run))), '+') AS found_by FROM src GROUP BY qid, id)
 SELECT qid, id, best, found_by, row_number() OVER (PARTITION BY qid ORDER BY best, id)::INT AS position FROM be QUALIFY position <= 25""")
-def pool_candidates(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
-    runs = fusion.union_runs(*_runs(spark, sf, which)).where("rank <= 30")
-    extra = vector_queries(spark, sf, which).select("qid", (F.col("qid") + 1).alias("id"))
+def pool_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    runs = fusion.union_runs(*_runs(spark, sf)).where("rank <= 30")
+    extra = vector_queries(spark, sf).select("qid", (F.col("qid") + 1).alias("id"))
     return fusion.pool(runs, 25, extra).select("qid", "id", "best", "found_by", "position")
 
 
-_VREL = ", rel AS (SELECT q.vec_id AS qid, d.vec_id AS id FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id < 20), qs AS (SELECT vec_id AS qid, CASE label % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'temporal' ELSE 'entity' END AS query_class FROM embeddings WHERE vec_id < 20), own AS (SELECT qid, id, (rank - 1)::INT AS rank FROM dense WHERE qid <> id AND rank > 1),"
+_VREL = ", rel AS (SELECT q.vec_id AS qid, d.vec_id AS id FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0), qs AS (SELECT vec_id AS qid, CASE label % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'temporal' ELSE 'entity' END AS query_class FROM embeddings WHERE vec_id % 20 = 0), own AS (SELECT qid, id, (rank - 1)::INT AS rank FROM dense WHERE qid <> id AND rank > 1),"
 
 
-def _vector_eval(spark: SparkSession, sf: str, which: str = FIRST) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _vector_eval(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     v = label_vectors(spark, sf)
-    own = dense.search_batch(v, vector_queries(spark, sf, which), 100).where("qid <> id AND rank > 1").withColumn("rank", F.col("rank") - 1)
-    asked = v.where(which.replace("vec_id", "id")).select(F.col("id").alias("qid"), "label")
+    own = dense.search_batch(v, vector_queries(spark, sf), 100).where("qid <> id AND rank > 1").withColumn("rank", F.col("rank") - 1)
+    asked = v.where(EVERY.replace("vec_id", "id")).select(F.col("id").alias("qid"), "label")
     classes = asked.select("qid", F.element_at(F.array(F.lit("semantic"), F.lit("temporal"), F.lit("entity")), F.col("label") % 3 + 1).alias("query_class"))
     relevant = asked.join(v.select("id", "label"), "label").where("qid <> id").select("qid", "id")
     return own, classes, relevant
 
 
-@vector_query("WITH" + _DENSE + _VREL + _METRICS.format(run="own") + _SUMMARY)
-def recall_mrr_ndcg(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
-    own, classes, relevant = _vector_eval(spark, sf, which)
+@query("WITH" + _DENSE + _VREL + _METRICS.format(run="own") + _SUMMARY)
+def recall_mrr_ndcg(spark: SparkSession, sf: str) -> DataFrame:
+    own, classes, relevant = _vector_eval(spark, sf)
     return metrics.summary(metrics.per_query(own, classes, relevant))
 
 
-@vector_query("WITH" + _DENSE + _VREL + _METRICS.format(run="own") + " SELECT qid, query_class, n_relevant, found_at, round(recall_5, 6) AS recall_5, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg FROM pq")
-def per_query_found_at(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
-    own, classes, relevant = _vector_eval(spark, sf, which)
+@query("WITH" + _DENSE + _VREL + _METRICS.format(run="own") + " SELECT qid, query_class, n_relevant, found_at, round(recall_5, 6) AS recall_5, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg FROM pq")
+def per_query_found_at(spark: SparkSession, sf: str) -> DataFrame:
+    own, classes, relevant = _vector_eval(spark, sf)
     per = metrics.per_query(own, classes, relevant)
     return per.select("qid", "query_class", "n_relevant", "found_at", *[F.round(c, 6).alias(c) for c in ("recall_5", "rr", "ndcg")])
 
 
-@vector_query("WITH" + _DENSE + _VREL.rstrip(",") + " SELECT qid, (list(rank ORDER BY rank, id))[1:8] AS ranks FROM own JOIN rel USING (qid, id) GROUP BY qid")
-def chunk_ranks(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
-    own, _, relevant = _vector_eval(spark, sf, which)
+@query("WITH" + _DENSE + _VREL.rstrip(",") + " SELECT qid, (list(rank ORDER BY rank, id))[1:8] AS ranks FROM own JOIN rel USING (qid, id) GROUP BY qid")
+def chunk_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    own, _, relevant = _vector_eval(spark, sf)
     got = metrics.chunk_ranks(own, relevant, F.col("id"))
     return got.select("qid", F.transform("chunks", lambda c: c["rank"]).alias("ranks"))
 
@@ -339,23 +380,23 @@ def dimension_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
-    v, q = label_vectors(spark, sf), vector_queries(spark, sf, EVERY)
+    v, q = label_vectors(spark, sf), vector_queries(spark, sf)
     placed, centres = dense.ivf_build(v)
-    return dense.ann_recall(dense.search_batch(v, q, 20), dense.ivf_search(placed, centres, q, 20, 8))
+    return dense.ann_recall(dense.search_batch(v, q, 20), dense.ivf_search(placed, centres, q, 20, 12))
 
 
 _TAXONOMY = "WITH" + _DENSE + _VREL.rstrip(",") + f""", fa AS (SELECT qid, min(rank) AS found_at FROM own JOIN rel USING (qid, id) GROUP BY qid),
 nr AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid),
-pq AS (SELECT q.qid, q.query_class, n, found_at, CASE WHEN q.qid % 5 = 0 THEN 'bad_label: by hand' ELSE '' END AS notes, CASE WHEN q.qid % 2 = 0 THEN 'pricing memo terms' END AS document FROM qs q JOIN nr USING (qid) LEFT JOIN fa USING (qid))
+pq AS (SELECT q.qid, q.query_class, n, found_at, CASE WHEN q.qid // 20 % 5 = 0 THEN 'bad_label: by hand' ELSE '' END AS notes, CASE WHEN q.qid // 20 % 2 = 0 THEN 'pricing memo terms' END AS document FROM qs q JOIN nr USING (qid) LEFT JOIN fa USING (qid))
 SELECT qid::VARCHAR AS query_id, CASE WHEN contains(notes, 'bad_label') THEN 'bad_label' WHEN query_class = 'temporal' THEN 'temporal' WHEN n > 1 THEN 'multi_hop' WHEN document IS NULL THEN 'vocabulary' ELSE 'ranking' END AS category
 FROM pq WHERE found_at IS NULL OR found_at > 1"""
 
 
-@vector_query(_TAXONOMY, _TAXONOMY.replace("q.qid % 5", "q.qid // 20 % 5").replace("q.qid % 2", "q.qid // 20 % 2"))
-def failure_taxonomy(spark: SparkSession, sf: str, which: str = FIRST) -> DataFrame:
-    own, classes, relevant = _vector_eval(spark, sf, which)
+@query(_TAXONOMY)
+def failure_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
+    own, classes, relevant = _vector_eval(spark, sf)
     per = metrics.per_query(own, classes, relevant)
-    number = query_number(which)
+    number = query_number()
     rows = per.where("n_relevant > 0").select(
         F.col("qid").cast("string").alias("query_id"), F.lit("pricing memo").alias("query"), "query_class", "n_relevant", "found_at", F.lit(None).cast("int").alias("best_chunk_rank"),
         F.when(number % 5 == 0, "bad_label: by hand").otherwise("").alias("notes"), F.when(number % 2 == 0, "pricing memo terms").alias("document"),
