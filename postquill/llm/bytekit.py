@@ -22,11 +22,15 @@ _GROW = 1 << 16
 
 
 def tidy(run):
-    """``run`` over the batches of a task, after which the worker's free memory goes back to
-    the system, as the same worker serves later tasks."""
+    """``run`` over the batches of a task, after which the worker gives back what it holds:
+    the powers that a long document needed, Arrow's spare memory and the C library's. The
+    same worker serves later tasks, beside an executor that needs the room."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
+        for powers in BASES.values():
+            powers.forget()
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # C libraries without it
             ctypes.CDLL(None).malloc_trim(0)
 
@@ -65,6 +69,11 @@ class Powers:
         return self.up, self.down
 
 
+    def forget(self) -> None:
+        """Keeps the first powers only."""
+        self.up, self.down = self.up[:_GROW].copy(), self.down[:_GROW].copy()
+
+
 POWERS = Powers()
 #: Hash functions that are independent of each other: base and byte values.
 BASES = {0: POWERS, 1: Powers(0xD1342543DE82EF95)}

@@ -14,7 +14,7 @@ clash with those added are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, table
@@ -25,6 +25,7 @@ BLOCK = 128
 SHARD_ROWS = 4096
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def sainte_lague(items: DataFrame, group: list[str], item: list[str], weight: str, seats: str, out: str) -> DataFrame:
@@ -52,6 +53,13 @@ def sainte_lague(items: DataFrame, group: list[str], item: list[str], weight: st
     return won.groupBy(*kept).agg((F.first("__low") + F.sum("__won")).cast("long").alias(out))
 
 
+def n_words(text: str) -> Column:
+    """Number of words, 0 for null. Each word becomes one letter, so that a long text
+    makes one short string and no array of its words."""
+    letters = F.regexp_replace(F.col(text), rf"{SPACE}*{WORD}{SPACE}*", "x")
+    return F.when(F.col(text).rlike(WORD), F.char_length(letters)).otherwise(0).cast("long")
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """Per source: words, weight and target. The targets share the words of all by
     weight, stop at CAP times the source's own and pass the excess on by weight."""
@@ -89,8 +97,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed:
     """
     keep = tuple(c for c in keep if c not in ("size", "source_size", "target", "taken"))
     order_key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = docs.select(*keep, F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0)).cast("long").alias("size"), order_key.alias("__key"))
-    sized = sized.withColumn("size", F.greatest(F.col("size"), F.lit(0).cast("long")))  # size(null) may be -1
+    sized = docs.select(*keep, n_words("text").alias("size"), order_key.alias("__key"))
     if cut:
         sized = materialise(sized, "mix-sizes")
     targets = source_targets(sized)
