@@ -40,6 +40,7 @@ EMBED, HIDDEN = 8, 8
 TOP, NOTHING = 3, -6.0
 #: A word's input: its own vector, the mean vector of its n-grams, the strongest n-gram.
 WIDTH = 2 * EMBED + 1
+PART_BYTES = 1 << 19
 SAMPLE, SAMPLE_BYTES = {1: 1000, 0: 1600}, 8_000
 MIN_COUNT = 3
 THRESHOLD = 0.7
@@ -59,12 +60,22 @@ class Words:
 
 
 def read_words(buf: np.ndarray, offsets: np.ndarray) -> Words:
+    """Words are found a part of the texts at a time; n-grams are read from the distinct
+    words, set side by side, so memory follows the words and not the bytes."""
     folded = fold_case(buf)
-    start, end, text = words(folded, offsets, LONGEST)
-    prefix = prefix_hash(folded)
-    hashes, first, which = np.unique(span_hash(prefix, start, end), return_index=True, return_inverse=True)
-    s, e = start[first], end[first]
-    length = e - s
+    parts = [(np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)]
+    for a, b in slices(offsets, PART_BYTES):
+        part = folded[offsets[a] : offsets[b]]
+        start, end, text = words(part, offsets[a : b + 1] - offsets[a], LONGEST)
+        parts.append((span_hash(prefix_hash(part), start, end), start + offsets[a], end - start, (text + a).astype(np.int64)))
+    every, start, size, text = map(np.concatenate, zip(*parts))
+    del parts
+    hashes, first, which = np.unique(every, return_index=True, return_inverse=True)
+    start, length = start[first], size[first]
+    del every, size
+    e = np.cumsum(length)
+    s = e - length
+    prefix = prefix_hash(folded[np.repeat(start - s, length) + np.arange(e[-1] if len(e) else 0)])
     grams, owner = [], []
     for n in GRAMS:
         many = np.maximum(length - n + 1, 0)
@@ -76,7 +87,7 @@ def read_words(buf: np.ndarray, offsets: np.ndarray) -> Words:
         own = np.flatnonzero(length >= n).astype(np.int32)
         grams.append(span_hash(prefix, s[own], s[own] + n) ^ _START)
         owner.append(own)
-    return Words(hashes, which.ravel(), text, np.concatenate(grams), np.concatenate(owner))
+    return Words(hashes, which.ravel().astype(np.int32), text.astype(np.int32), np.concatenate(grams), np.concatenate(owner))
 
 
 def windows(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +234,7 @@ class Network:
         dx[-1] = 0
         return g, dx
 
-    def scores(self, buf: np.ndarray, offsets: np.ndarray, chunk: int = 8192) -> np.ndarray:
+    def scores(self, buf: np.ndarray, offsets: np.ndarray, chunk: int = 4096) -> np.ndarray:
         """The evidence of each text, -inf without words."""
         out = np.full(len(offsets) - 1, -np.inf)
         if not len(buf):
@@ -284,7 +295,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
     of_word = np.searchsorted(gram, grams_sorted).astype(np.int32)
     gpos, gneg = np.zeros(len(gram), np.int64), np.zeros(len(gram), np.int64)
     by_word = np.argsort(pair_word, kind="stable")
-    for part in np.array_split(by_word, max(1, len(by_word) // 100_000)):  # bounded memory; a word's texts may be in two parts
+    for part in np.array_split(by_word, max(1, len(by_word) // 20_000)):  # bounded memory; a word's texts may be in two parts
         many = edges[pair_word[part] + 1] - edges[pair_word[part]]
         at = np.repeat(edges[pair_word[part]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         seen = np.unique(of_word[at].astype(np.int64) * len(labels) + np.repeat(pair_text[part], many))
@@ -350,7 +361,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
             net.words[-1] = net.grams[-1] = 0
         if epoch % max(1, epochs // 8) == 0 and epoch:  # clean windows that look toxic join for good; toxic windows are chosen anew
             x, _ = net.inputs(w.hashes, w.grams, w.owner)
-            logits = np.concatenate([net.forward(x, idx[i : i + 8192]) for i in range(0, len(idx), 8192)])
+            logits = np.concatenate([net.forward(x, idx[i : i + 4096]) for i in range(0, len(idx), 4096)])
             worst = clean[np.argsort(-logits[clean], kind="stable")[: max(8, len(top) // 4)]]
             hard = np.union1d(hard, worst[logits[worst] > -4])
             best = np.maximum.reduceat(logits, firsts)
@@ -358,7 +369,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
 
     # calibration on the texts kept aside
     x, _ = net.inputs(w.hashes, w.grams, w.owner)
-    logits = np.concatenate([net.forward(x, idx[i : i + 8192]) for i in range(0, len(idx), 8192)])
+    logits = np.concatenate([net.forward(x, idx[i : i + 4096]) for i in range(0, len(idx), 4096)])
     found, best = evidence(logits, owner)
     held = aside[found]
     best, lab = best[held], (labels[found][held] == 1).astype(np.float64)
