@@ -32,9 +32,10 @@ def main() -> None:
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - start, 3)
     questions = spark.read.parquet(f"{sf}/benchmark.parquet").count()
+    asked = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").count()
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf.rsplit("sf", 1)[-1], "cpus": cpus,
-        "hybrid_questions_per_sec": round(questions / took["hybrid_search"], 1), "dense_questions_per_sec": round(20 / took["dense_topk_batch"], 1),
+        "hybrid_questions_per_sec": round(questions / took["hybrid_search"], 1), "dense_questions_per_sec": round(asked / took["dense_topk_batch"], 1),
     }))
 
 
