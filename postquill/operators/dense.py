@@ -151,9 +151,10 @@ def hashed_embedding(rows: DataFrame, key: str, text: str = "text", dim: int = D
     hashed = rows.select(key, word.alias("w")).select(key, F.md5("w").alias("h"))
     digit = lambda a, n: F.conv(F.substring("h", a, n), 16, 10).cast("int")
     sums = hashed.groupBy(key, (digit(1, 4) % dim).alias("d")).agg(F.sum(F.when(digit(5, 1) % 2 == 0, 1.0).otherwise(-1.0)).alias("v"))
-    by_key = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m"))  # at most ``dim`` entries
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return by_key.select(key, counts.alias("c")).select(key, unit("c").alias("embedding"))
+    entries = F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m")  # at most ``dim``
+    by_key = sums.groupBy(key).agg(entries, F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    norm = F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))
+    return by_key.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / norm).alias("embedding"))
 
 
 def top_k_window(scores: DataFrame, k: int) -> DataFrame:
