@@ -41,6 +41,8 @@ TOP, NOTHING = 3, -6.0
 #: A word's input: its own vector, the mean vector of its n-grams, the strongest n-gram.
 WIDTH = 2 * EMBED + 1
 PART_BYTES = 1 << 19
+#: n-grams looked up and added at a time; bounds memory, not results.
+PART_GRAMS = 1 << 17
 SAMPLE, SAMPLE_BYTES = {1: 1000, 0: 1600}, 8_000
 MIN_COUNT = 3
 THRESHOLD = 0.7
@@ -152,18 +154,23 @@ class Network:
     def inputs(self, hashes: np.ndarray, grams: np.ndarray, owner: np.ndarray):
         """Input vectors of distinct words (and a row of zeros), with what their gradient needs."""
         w = self.word_index.find(hashes)
-        g = self.gram_index.find(grams)
-        known = g >= 0
-        g, own = g[known], owner[known]
+        found = [(np.zeros(0, np.int32), owner[:0])]
+        for at in range(0, len(grams), PART_GRAMS):
+            rows = self.gram_index.find(grams[at : at + PART_GRAMS])
+            found.append((rows[rows >= 0], owner[at : at + PART_GRAMS][rows >= 0]))
+        g, own = map(np.concatenate, zip(*found))
+        del found
         n = np.maximum(np.bincount(own, minlength=len(hashes)), 1).astype(np.float32)
         x = np.zeros((len(hashes) + 1, WIDTH), np.float32)
         x[:-1, :EMBED] = self.words[w]
         order = np.argsort(own, kind="stable")
         own_sorted = own[order]
         if len(own):
-            edges = np.flatnonzero(np.r_[True, own_sorted[1:] != own_sorted[:-1]])
-            x[own_sorted[edges], EMBED : 2 * EMBED] = np.add.reduceat(self.grams[g[order]], edges, axis=0)
-            x[own_sorted[edges], 2 * EMBED] = np.maximum.reduceat(self.gram_odds[g[order]], edges)
+            edges = np.r_[np.flatnonzero(np.r_[True, own_sorted[1:] != own_sorted[:-1]]), len(own)]
+            for a, b in slices(edges, PART_GRAMS):  # whole words at a time
+                rows, first = g[order[edges[a] : edges[b]]], edges[a:b] - edges[a]
+                x[own_sorted[edges[a:b]], EMBED : 2 * EMBED] = np.add.reduceat(self.grams[rows], first, axis=0)
+                x[own_sorted[edges[a:b]], 2 * EMBED] = np.maximum.reduceat(self.gram_odds[rows], first)
         x[:-1, EMBED : 2 * EMBED] /= n[:, None]
         return x, (w, g, own, n)
 
@@ -288,11 +295,12 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
     pos, neg = _texts_with(pair_word, pair_text, labels, len(w.hashes))
     keep = pos + neg >= MIN_COUNT
     by_owner = np.argsort(w.owner, kind="stable").astype(np.int32)
-    grams_sorted = w.grams[by_owner]
-    edges = np.searchsorted(w.owner[by_owner], np.arange(len(w.hashes) + 1))
-    del by_owner
+    w.grams, w.owner = w.grams[by_owner], w.owner[by_owner]
+    grams_sorted = w.grams
+    edges = np.searchsorted(w.owner, np.arange(len(w.hashes) + 1))
+    del by_owner, pair
     gram = np.unique(grams_sorted)
-    of_word = np.searchsorted(gram, grams_sorted).astype(np.int32)
+    of_word = np.concatenate([np.searchsorted(gram, part).astype(np.int32) for part in np.array_split(grams_sorted, 1 + len(grams_sorted) // PART_GRAMS)])
     gpos, gneg = np.zeros(len(gram), np.int64), np.zeros(len(gram), np.int64)
     by_word = np.argsort(pair_word, kind="stable")
     for part in np.array_split(by_word, max(1, len(by_word) // 20_000)):  # bounded memory; a word's texts may be in two parts
@@ -304,7 +312,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
         gneg += np.bincount(seen[lab == 0] // len(labels), minlength=len(gram))
     gkeep = gpos + gneg >= MIN_COUNT + 1
     net = Network(HashIndex(w.hashes[keep]), HashIndex(gram[gkeep]), _odds(pos[keep], neg[keep], n_pos, n_neg), _odds(gpos[gkeep], gneg[gkeep], n_pos, n_neg), seed)
-    del of_word, gram, gpos, gneg
+    del of_word, gram, gpos, gneg, by_word, pair_text, pair_word, train
 
     # windows to learn from: the strongest of a toxic text, any of a clean one
     start, owner = windows(w.text)
