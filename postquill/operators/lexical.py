@@ -38,18 +38,28 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 100, keep_zero: bool =
     term counts each time. With ``keep_zero`` a run has ``min(k, N)`` rows, padded
     with score 0 by id.
     """
-    asked = queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = asked_terms(queries, tokens)
     docs = chunks.select("id", tokens(F.col("text")).alias("__t"))
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("__t")).alias("avgdl"))
     hits = docs.select("id", F.size("__t").alias("dl"), F.explode("__t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     postings = hits.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    best = ranked(scored(postings, df, stats, asked, k1, b), k, "bm25")
+    return padded(best, chunks, queries, k, "bm25") if keep_zero else best
+
+
+def asked_terms(queries: DataFrame, tokens: Callable[[Column], Column] = terms) -> DataFrame:
+    """qid, term and how often the query has it."""
+    return queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def scored(postings: DataFrame, df: DataFrame, stats: DataFrame, asked: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """qid, id, score from postings (term, id, dl, tf), document frequencies (term, df)
+    and one row of statistics (n, avgdl)."""
     one = F.lit(1).alias("__k")
     weights = df.select("*", one).join(stats.select("*", one), "__k").select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(weights, "term").join(asked, "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
-    best = ranked(scored, k, "bm25")
-    return padded(best, chunks, queries, k, "bm25") if keep_zero else best
+    return postings.join(weights, "term").join(asked, "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
 
 def padded(best: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, run: str) -> DataFrame:

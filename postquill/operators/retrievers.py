@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stemmed_texts
 from . import dense, fusion, lexical
 
 Embed = Callable[[DataFrame, str, str], DataFrame]
@@ -16,6 +17,13 @@ def sparse_run(chunks: DataFrame, questions: DataFrame, depth: int, tokens: Call
     return lexical.bm25(chunks, questions, depth, keep_zero=False, tokens=tokens)
 
 
+def stemmed_run(chunks: DataFrame, questions: DataFrame, depth: int, tokens: Callable[[Column], Column] = lexical.terms) -> DataFrame:
+    """BM25 over English stems; stems are single tokens already, so they are split at spaces."""
+    stems = lambda text: F.filter(F.split(text, " "), lambda t: t != "")
+    asked = stemmed_texts(questions, tokens, "qid", "query")
+    return lexical.bm25(stemmed_texts(chunks, tokens), asked, depth, keep_zero=False, tokens=stems)
+
+
 def dense_run(chunks: DataFrame, questions: DataFrame, depth: int, embed: Embed = dense.hashed_embedding) -> DataFrame:
     """``embed`` maps (rows, key, text column) to (key, embedding); any encoder fits."""
     asked = embed(questions, "qid", "query").select("qid", F.col("embedding").alias("vector"))
@@ -31,6 +39,7 @@ def _hybrid(fuse) -> Callable:
 
 RETRIEVERS: dict[str, Callable] = {
     "bm25": lambda chunks, questions, depth, _, tokens, embed: sparse_run(chunks, questions, depth, tokens),
+    "bm25_stemmed": lambda chunks, questions, depth, _, tokens, embed: stemmed_run(chunks, questions, depth, tokens),
     "dense": lambda chunks, questions, depth, _, tokens, embed: dense_run(chunks, questions, depth, embed),
     "hybrid_rrf": _hybrid(lambda runs, depth, _: fusion.reciprocal_rank(runs, top_k=depth)),
     "hybrid_weighted": _hybrid(lambda runs, depth, w: fusion.weighted(runs, {"dense": w, "bm25": 1 - w}, depth)),
