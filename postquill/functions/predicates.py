@@ -63,9 +63,14 @@ SEMANTIC = (
 )
 ENTITY = r"(?i)\b(?:from|to|sent by|cc'?d|between)\s+[a-z][\w.\-]*(?:@|\s+[a-z])"
 OVERDUE = r"(?i)\b(?:overdue|late|past due|still (?:open|outstanding))\b"
+DATE_LANGUAGE = (
+    r"(?i)\b(?:mon|tues|wednes|thurs|fri|satur|sun)day\b|\btomorrow\b|\bnext week\b"
+    r"|\bby (?:the )?\d{1,2}(?:st|nd|rd|th)?\b|\bdeadline\b|\bdue\b|\beod\b"
+    r"|\bcob\b|\bby friday\b|\bthis week\b|\bend of (?:the )?(?:week|month|day)\b"
+)
 ROUTES = ("sql", "hybrid", "both")
-KINDS = ("deliverable", "decision", "meeting", "payment", "other")
-DIRECTIONS = ("i_owe", "they_owe", "third_party")
+KINDS = ("deliverable", "meeting", "payment", "review", "decision", "other")
+DIRECTIONS = ("i_owe", "they_owe", "mutual", "unclear")
 
 
 def is_bulk(sender="sender", subject="subject", body_new="body_new", has_list="has_list_unsubscribe") -> Column:
@@ -104,13 +109,12 @@ def same_commitment(message_a, text_a, message_b, text_b, threshold: float = 0.5
 
 def commitment_problems() -> Column:
     """The names of the rules that a commitment row breaks."""
-    text, quote = text_or_empty("text"), text_or_empty("quote")
     rules = {
-        "empty text": F.trim(text) == "",
+        "no message": text_or_empty("message_id") == "",
+        "empty text": F.trim(text_or_empty("text")) == "",
         "unknown kind": ~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)),
         "unknown direction": ~F.coalesce(F.col("direction").isin(*DIRECTIONS), F.lit(False)),
         "confidence out of range": ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)),
-        "due date without a phrase": F.col("due_at").isNotNull() & (F.trim(text_or_empty("due_phrase")) == ""),
-        "no supporting quote": F.trim(quote) == "",
+        "due date without a phrase": F.col("due_at").isNotNull() & (text_or_empty("due_phrase") == ""),
     }
     return F.filter(F.array(*[F.when(broken, name) for name, broken in rules.items()]), lambda x: x.isNotNull())

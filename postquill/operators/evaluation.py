@@ -12,10 +12,10 @@ from ..functions.text import term_overlap, token_set
 
 # Fixed values.
 CLASSES = ("semantic", "temporal", "entity", "unanswerable")
-TARGETS = {"semantic": 25, "temporal": 25, "entity": 25, "unanswerable": 25}
+TARGETS = {"semantic": 35, "temporal": 25, "entity": 10, "unanswerable": 10}
 CATEGORIES = ("bad_label", "chunk_boundary", "temporal", "multi_hop", "vocabulary", "ranking")
 LOW_OVERLAP = 0.10
-VERDICT_WORTH = {"supported": 1.0, "partial": 0.5, "unsupported": 0.0}
+VERDICT_WORTH = {"supported": 1.0, "partially_supported": 0.5, "unsupported": 0.0}
 
 
 def problems(queries: DataFrame, corpus: DataFrame | None = None, targets: dict[str, int] | None = None) -> DataFrame:

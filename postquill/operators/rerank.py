@@ -10,11 +10,18 @@ from pyspark.sql import functions as F
 from ..functions.text import term_overlap
 from .lexical import DIGITS
 
-#: Named arms: model, passages scored, tokens read. Models are plugged in by name.
+#: Fixed values. Named arms: model, passages scored, tokens read, whole-number weights. Models are plugged in by name.
 ARMS = {
-    "none": None, "l2_20": ("mini-2", 20, 512), "l2_20_t192": ("mini-2", 20, 192), "l4_20": ("mini-4", 20, 512),
-    "l6_20": ("mini-6", 20, 512), "l6_20_t192": ("mini-6", 20, 192), "l6_50": ("mini-6", 50, 512), "base_50": ("base", 50, 512),
-}
+    "none": None,
+    "L6@50": ("cross-encoder/ms-marco-MiniLM-L-6-v2", 50, 512, False),
+    "L6@20": ("cross-encoder/ms-marco-MiniLM-L-6-v2", 20, 512, False),
+    "L6@20/t192": ("cross-encoder/ms-marco-MiniLM-L-6-v2", 20, 192, False),
+    "L2@20/t192": ("cross-encoder/ms-marco-MiniLM-L-2-v2", 20, 192, False),
+    "L2@10": ("cross-encoder/ms-marco-MiniLM-L-2-v2", 10, 300, False),
+    "L6@20-onnx": ("cross-encoder/ms-marco-MiniLM-L-6-v2", 20, 512, True),
+    "bge@50": ("BAAI/bge-reranker-base", 50, 512, False),
+}
+DEFAULT_ARMS = ("none", "L6@20", "L6@20/t192", "L2@20/t192")
 
 
 def relevance(logits: Column) -> Column:

@@ -243,12 +243,15 @@ def commitment_prefilter(spark: SparkSession, sf: str) -> DataFrame:
     return rows(spark, _HINTS.replace("''", "\\'")).select("body", looks_like_commitment("body").alias("commitment"))
 
 
-@query("SELECT CASE WHEN label % 4 = 0 THEN ['unknown kind'] ELSE [] END || CASE WHEN vec_id % 5 = 0 THEN ['confidence out of range'] ELSE [] END || CASE WHEN vec_id % 7 = 0 THEN ['no supporting quote'] ELSE [] END AS problems, vec_id FROM embeddings")
+@query("""SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN ['no message'] ELSE [] END || CASE WHEN vec_id % 11 = 0 THEN ['empty text'] ELSE [] END || CASE WHEN label % 4 = 0 THEN ['unknown kind'] ELSE [] END
+ || CASE WHEN vec_id % 13 = 0 THEN ['unknown direction'] ELSE [] END || CASE WHEN vec_id % 5 = 0 THEN ['confidence out of range'] ELSE [] END || CASE WHEN vec_id % 6 = 2 THEN ['due date without a phrase'] ELSE [] END AS problems FROM embeddings""")
 def commitment_validation(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    made = e.select(
-        "vec_id", F.lit("send it").alias("text"), F.when(F.col("label") % 4 == 0, "gift").otherwise("deliverable").alias("kind"), F.lit("i_owe").alias("direction"),
-        F.when(F.col("vec_id") % 5 == 0, 1.5).otherwise(0.5).alias("confidence"), F.lit(None).cast("date").alias("due_at"), F.lit("").alias("due_phrase"), F.when(F.col("vec_id") % 7 == 0, " ").otherwise("q").alias("quote"),
+    n = F.col("vec_id")
+    kinds = F.array(*map(F.lit, ("gift", "review", "meeting", "other")))
+    made = table(spark, sf, "embeddings").select(
+        "vec_id", F.when(n % 7 == 0, "").otherwise("m").alias("message_id"), F.when(n % 11 == 0, " ").otherwise("send it").alias("text"), F.get(kinds, (F.col("label") % 4).cast("int")).alias("kind"),
+        F.when(n % 13 == 0, "third_party").when(n % 2 == 0, "mutual").otherwise("unclear").alias("direction"), F.when(n % 5 == 0, 1.5).otherwise(0.5).alias("confidence"),
+        F.when(n % 3 == 2, F.lit("2001-11-02").cast("date")).alias("due_at"), F.when(n % 2 == 1, "by friday").otherwise("").alias("due_phrase"),
     )
     return made.select("vec_id", commitment_problems().alias("problems"))
 

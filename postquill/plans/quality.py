@@ -101,13 +101,13 @@ def date_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.date_scores(pairs)
 
 
-_VERDICTS = "vd AS (SELECT doc_id // 10 AS query_id, (['supported', 'partial', 'unsupported', 'not_a_claim'])[(doc_id + quality) % 4 + 1] AS verdict, doc_id % 3 <> 0 AS cited FROM labels)"
-_SCORES = _VERDICTS + """, sc AS (SELECT query_id, count(*) FILTER (verdict <> 'not_a_claim') AS n_claims, round(avg(CASE verdict WHEN 'supported' THEN 1.0 WHEN 'partial' THEN 0.5 WHEN 'unsupported' THEN 0.0 END), 6) AS groundedness,
+_VERDICTS = "vd AS (SELECT doc_id // 10 AS query_id, (['supported', 'partially_supported', 'unsupported', 'not_a_claim'])[(doc_id + quality) % 4 + 1] AS verdict, doc_id % 3 <> 0 AS cited FROM labels)"
+_SCORES = _VERDICTS + """, sc AS (SELECT query_id, count(*) FILTER (verdict <> 'not_a_claim') AS n_claims, round(avg(CASE verdict WHEN 'supported' THEN 1.0 WHEN 'partially_supported' THEN 0.5 WHEN 'unsupported' THEN 0.0 END), 6) AS groundedness,
  round(count(*) FILTER (cited AND verdict = 'supported') / nullif(count(*) FILTER (cited AND verdict <> 'not_a_claim'), 0), 6) AS citation_accuracy FROM vd GROUP BY query_id)"""
 
 
 def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.array(*map(F.lit, ("supported", "partial", "unsupported", "not_a_claim")))
+    names = F.array(*map(F.lit, ("supported", "partially_supported", "unsupported", "not_a_claim")))
     d = F.col("doc_id")
     return table(spark, sf, "labels").select(F.floor(d / 10).alias("query_id"), F.get(names, ((d + F.col("quality")) % 4).cast("int")).alias("verdict"), F.when(d % 3 != 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("cited"))
 

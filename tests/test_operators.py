@@ -146,7 +146,7 @@ def test_miss_categories(spark):
     rows = [("q1", "pricing memo", "semantic", 1, 25, None, "", "pricing memo"), ("q2", "x", "semantic", 1, 3, None, "", ""), ("q3", "pricing", "semantic", 1, None, 4, "", None), ("q4", "pricing", "temporal", 2, None, None, "BAD_LABEL: no", None), ("q5", "pricing", "semantic", 1, None, None, "", "none")]
     t = spark.createDataFrame(rows, "query_id string, query string, query_class string, n_relevant int, found_at int, best_chunk_rank int, notes string, document string")
     assert {r["query_id"]: r["category"] for r in misses(t).collect()} == {"q1": "ranking", "q3": "chunk_boundary", "q4": "bad_label", "q5": "vocabulary"}
-    v = spark.createDataFrame([("q", [1], "supported"), ("q", [], "partial"), ("q", [2], "unsupported"), ("q", [], "not_a_claim")], "query_id string, cited array<int>, verdict string")
+    v = spark.createDataFrame([("q", [1], "supported"), ("q", [], "partially_supported"), ("q", [2], "unsupported"), ("q", [], "not_a_claim")], "query_id string, cited array<int>, verdict string")
     assert answer_scores(v).first()[1:] == (3, 0.5, 0.5)
 
 
