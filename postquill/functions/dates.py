@@ -221,3 +221,18 @@ def window(question: Column | str, as_of: Column | str) -> Column:
 def local_day(ts: Column | str, zone: Column | str = "UTC") -> Column:
     """The calendar day of a UTC timestamp in a time zone given by name or column."""
     return F.to_date(F.from_utc_timestamp(_c(ts), zone))
+
+
+def midnight_utc(day: Column | str) -> Column:
+    """The first moment of a day, as sessions run in UTC."""
+    return _c(day).cast("date").cast("timestamp")
+
+
+def window_days(found: Column) -> Column:
+    """Days of a window from :func:`window`, both ends counted."""
+    return F.datediff(found["end"], found["start"]) + 1
+
+
+def window_label(found: Column) -> Column:
+    late = F.when(found["include_overdue"], " plus anything already overdue").otherwise("")
+    return F.concat(found["start"].cast("string"), F.lit(" to "), found["end"].cast("string"), F.lit(" ("), window_days(found).cast("string"), F.lit(" days)"), late)

@@ -118,11 +118,13 @@ def extracted_commitments(answers: DataFrame) -> DataFrame:
     from ..functions.text import clamp_unit, unfenced
 
     shape = "commitments array<struct<text:string,kind:string,direction:string,owner:string,counterparty:string,due_phrase:string,confidence:string,quote:string>>"
-    one = answers.select("message_id", "sent", F.explode(F.from_json(unfenced("answer"), shape)["commitments"]).alias("c"))
+    plain = unfenced("answer")
+    listed = F.when(plain.startswith("["), F.from_json(plain, shape.removeprefix("commitments "))).otherwise(F.from_json(plain, shape)["commitments"])
+    one = answers.select("message_id", "sent", F.explode(listed).alias("c"))
     rows = one.where(F.trim(text_or_empty(F.col("c.text"))) != "").withColumn("r", resolve(F.col("c.due_phrase"), F.col("sent")))
-    known = lambda c, names, default: F.when(F.col(c).isin(*names), F.col(c)).otherwise(default)
+    known = lambda c, names, default: F.when(F.lower(F.trim(c)).isin(*names), F.lower(F.trim(c))).otherwise(default)
     return rows.select(
-        "message_id", F.substring(F.trim("c.text"), 1, 500).alias("text"), known("c.kind", KINDS, "other").alias("kind"), known("c.direction", DIRECTIONS, "third_party").alias("direction"),
+        "message_id", F.substring(F.trim("c.text"), 1, 500).alias("text"), known("c.kind", KINDS, "other").alias("kind"), known("c.direction", DIRECTIONS, "unclear").alias("direction"),
         F.coalesce("c.owner", F.lit("")).alias("owner"), F.coalesce("c.counterparty", F.lit("")).alias("counterparty"), F.coalesce("c.due_phrase", F.lit("")).alias("due_phrase"),
         F.col("r.value").alias("due_at"), F.coalesce("r.precision", F.lit("")).alias("due_precision"), F.coalesce("r.ambiguous", F.lit(False)).alias("due_ambiguous"),
         F.col("r.alternative").alias("due_alternative"), F.coalesce("r.rolled_year", F.lit(False)).alias("due_rolled_year"), clamp_unit("c.confidence").alias("confidence"), F.coalesce("c.quote", F.lit("")).alias("quote"),

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_id
+from ..functions.text import chunk_id, key_of_chunk
 
 MAX_TOKENS, OVERLAP = 512, 64
 
@@ -77,7 +77,28 @@ def thread_aware(messages: DataFrame, text: Column, order: list[str], size: int
     return packed.unionByName(_shape(large.select("dedup_key", "thread_id", F.posexplode(cut).alias("ordinal", "__tok"))))
 
 
-STRATEGIES = {"fixed_512": fixed, "whole_message": whole, "thread_aware": thread_aware}
+#: By name, as functions of messages, their text and the order of a thread.
+STRATEGIES = {
+    "fixed_512": lambda messages, text, order, **how: fixed(messages, text, **how),
+    "fixed_512_ov64": lambda messages, text, order, **how: fixed(messages, text, overlap=OVERLAP, **how),
+    "whole_message": lambda messages, text, order, **how: whole(messages, text, **how),
+    "thread_aware": lambda messages, text, order, **how: thread_aware(messages, text, order, **how),
+}
+
+
+def chunked(strategy: str, messages: DataFrame, text: Column, order: list[str], **how) -> DataFrame:
+    """The whole corpus in chunks by a named strategy."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; have {sorted(STRATEGIES)}")
+    return STRATEGIES[strategy](messages, text, order, **how)
+
+
+def rebuilt_threads(strategy: str, messages: DataFrame, wanted: DataFrame, text: Column, order: list[str], **how) -> DataFrame:
+    """Chunks of the whole threads that hold the messages of the ``wanted`` chunk ids: a
+    thread is packed as one, so part of it would give other chunks."""
+    keys = wanted.select(key_of_chunk("chunk_id").alias("dedup_key")).distinct()
+    threads = messages.join(keys, "dedup_key", "left_semi").select("thread_id").distinct()
+    return chunked(strategy, messages.join(threads, "thread_id", "left_semi").select(*messages.columns), text, order, **how)
 
 
 def rebuild(chunks: DataFrame, wanted: DataFrame) -> DataFrame:

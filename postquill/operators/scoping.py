@@ -41,3 +41,20 @@ def message_texts(chunks: DataFrame) -> DataFrame:
     """dedup_key and its chunks' texts in order, joined by spaces."""
     parts = F.sort_array(F.collect_list(F.struct("ordinal", F.coalesce("text", F.lit("")).alias("text"))))
     return chunks.groupBy("dedup_key").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
+
+
+def owned(rows: DataFrame, user: str) -> DataFrame:
+    """One user's rows; the filter reaches the scan."""
+    return rows.where(F.col("user_id") == user)
+
+
+def conversation_turns(turns: DataFrame, conversations: DataFrame, user: str) -> DataFrame:
+    """The turns of a user's conversations (id, user_id); nobody else's are seen."""
+    return turns.join(owned(conversations, user).select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
+
+
+def holds_marker(messages: DataFrame, markers: tuple[str, ...], column: str = "sender") -> bool:
+    """Whether any row holds one of the markers, for a guard before a corpus is shown; rows
+    are read until the first that does."""
+    has = [F.contains(F.coalesce(column, F.lit("")), F.lit(m)) for m in markers]
+    return not messages.where(F.greatest(*has, F.lit(False)) if has else F.lit(False)).isEmpty()

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import is_bulk
+from ..operators.chunking import chunked
 from ..operators.corpus import first_copies, new_bulk_rows
+from ..operators.indexes import load_or_build
+from ..operators.threads import assign_threads
 from ..schemas import BULK, MESSAGES
+from ..sources import versions
 from ..sources.tables import read_if_there
 
 
@@ -38,3 +42,21 @@ def staged(messages: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:
     """Recent mail first, the complement at the same cutoff later: together everything once."""
     recent = F.coalesce(F.col("date_utc") >= cutoff, F.lit(False))
     return messages.where(recent), messages.where(~recent)
+
+
+def rethread(spark: SparkSession, root: str, **limits) -> DataFrame:
+    """Threads of all messages anew, as the next version of ``threaded``: a late message can
+    join threads that were apart. The version before stays readable until the new one is whole."""
+    messages = read_if_there(spark, f"{root}/messages", MESSAGES + ", batch long").drop("batch", "thread_id")
+    versions.replace(messages.join(assign_threads(messages, **limits), "dedup_key", "left"), f"{root}/threaded")
+    return versions.read(spark, f"{root}/threaded")
+
+
+def reindex(spark: SparkSession, root: str, strategy: str = "thread_aware", text: Column | None = None, order: tuple[str, ...] = ("date_utc",), **how) -> str:
+    """Chunks and lexical index of the threaded messages; the folder of the index. An index
+    whose chunks did not change stays as it is."""
+    messages = versions.read(spark, f"{root}/threaded")
+    chunks = chunked(strategy, messages, F.col("body_new") if text is None else text, list(order), **how)
+    versions.replace(chunks, f"{root}/chunks")
+    kept = versions.read(spark, f"{root}/chunks").select(F.col("chunk_id").alias("id"), "text")
+    return load_or_build(kept, f"{root}/index")
