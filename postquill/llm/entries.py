@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, importance, language, merkle, mixing, neardup, packing, suffixes, topk, toxicity, urls
+from . import conversations, fingerprints, importance, language, merkle, mixing, neardup, packing, suffixes, topk, toxicity, urls
 
 QUERIES = {
     "op1_importance_resampling": importance.op1_importance_resampling,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_pack_sequences": packing.op9_pack_sequences,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 SQL = {
     "op3_impact_search": topk.OP3_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_conversation_repair": conversations.OP13_SQL,
 }
