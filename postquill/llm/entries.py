@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, fingerprints, importance, language, merkle, mixing, neardup, packing, suffixes, topk, toxicity, urls
+from . import conversations, fingerprints, importance, joins, language, merkle, mixing, neardup, packing, suffixes, topk, toxicity, urls
 
 QUERIES = {
     "op1_importance_resampling": importance.op1_importance_resampling,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_templates": urls.op8_url_templates,
     "op9_pack_sequences": packing.op9_pack_sequences,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_jaccard_join": joins.op11_jaccard_join,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 SQL = {
     "op3_impact_search": topk.OP3_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
+    "op11_jaccard_join": joins.OP11_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
     "op13_conversation_repair": conversations.OP13_SQL,
 }
