@@ -12,8 +12,8 @@ differ in shingles: each shingle flips one of ``BITS`` bits of its document's pa
 so two sketches never differ in more bits than the sets in shingles. The three tests lose
 no link.
 
-Equal sets are one node. In the list of a shingle, ordered by size, neighbours are compared
-first; what they link are components. Where a list still has several, its members outside
+Equal sets are one node. In the list of a shingle, neighbours of like sizes are compared
+first, others in each list; what they link are components. Where a list still has several, its members outside
 the largest component meet all its members, in blocks of ``BLOCK``, by their sketches: a
 pair leaves a block only if it could join two components. So a list of copies writes no
 pairs, and a list of any length is many tasks.
@@ -322,7 +322,9 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK, share: float = FREQU
     count = nodes.select(F.sum(F.size("lead"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 1_000_000)
     lists = nodes.select(F.explode("lead").alias("token"), "n", "id")
-    lists = lists.repartitionByRange(parts, "token", "n", "id").sortWithinPartitions("token", "n", "id")
+    # in another order for each shingle among sets of like sizes, so that the neighbours differ from list to list
+    order = ["token", F.floor(F.log("n") * 12), F.xxhash64("token", "id")]
+    lists = lists.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     lists = materialise(lists.mapInArrow(_shared, "token long, n int, id long, prev long"), "join-lists")
 
     sizes = nodes.select("id", "n", "sketch")
