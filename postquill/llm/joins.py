@@ -49,7 +49,7 @@ BITS = 512
 #: A shingle is frequent from this share of all rows on; at most so many are broadcast (the
 #: most frequent ones; the others stay where their hash puts them, which costs time only).
 FREQUENT = 1 / 4096
-MOST_FREQUENT = 1 << 20
+MOST_FREQUENT = 1 << 19
 BLOCK = 1024
 _STEP = U64(0x9E3779B97F4A7C15)
 _LATE = U64(1 << 63)
@@ -73,7 +73,8 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     for i in range(WORDS):
         inside = i < size
         key = np.where(inside, mix64(key * _STEP + h[np.where(inside, at + i, 0)]), key) if len(h) else key
-    order = np.lexsort((key, owner))
+    order = np.argsort(key)
+    order = order[np.argsort(owner[order].astype(np.uint16 if len(n) < 1 << 16 else np.int64), kind="stable")]
     owner, key = owner[order], key[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])] if len(key) else np.zeros(0, bool)
     return owner[new], key[new]
@@ -85,9 +86,11 @@ def needed(n: np.ndarray) -> np.ndarray:
 
 
 def leading(owner: np.ndarray, key: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of which linked sets share one, as (text, hash)."""
-    order = np.lexsort((key, placed(key, frequent), owner))
-    owner, key = owner[order], key[order]
+    """The shingles of which linked sets share one, as (text, hash), of sets ordered by hash."""
+    late = placed(key, frequent) >= _LATE
+    if late.any():
+        order = np.argsort(owner * 2 + late, kind="stable")
+        owner, key = owner[order], key[order]
     n = np.bincount(owner)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     kept = nth <= (n - needed(n))[owner]
@@ -116,7 +119,7 @@ def sketches(owner: np.ndarray, key: np.ndarray, texts: int) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that a task meets more than once among the leading ones by hash, and how
-    often; beyond 4 * MOST_FREQUENT kept shingles the rare ones are forgotten."""
+    often; beyond 2 * MOST_FREQUENT kept shingles the rare ones are forgotten."""
     none = np.zeros(0, U64)
     keys, counts, floor = none, np.zeros(0, np.int64), 0
     for batch in batches:
@@ -127,7 +130,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
             counts = np.bincount(at.ravel(), np.concatenate([counts, n]), minlength=len(whole)).astype(np.int64)
             keys = whole
-            if len(keys) > 4 * MOST_FREQUENT:
+            if len(keys) > 2 * MOST_FREQUENT:
                 floor += 1
                 keys, counts = keys[counts > floor], counts[counts > floor]
     kept = counts > 1
