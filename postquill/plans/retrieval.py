@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, content_terms, key_of_chunk
-from ..operators import chunking, dense, fusion, lexical, metrics, rerank, retrievers
+from ..operators import chunking, dense, fusion, lexical, metrics, rerank, retrievers, vectorindex
 from ..operators.evaluation import misses
-from ..session import table
+from ..session import materialise, shared_dir, table
 from .base import EVERY, label_vectors, query, query_number, vector_queries
 
 TOP, DEPTH = 10, 50
@@ -380,9 +382,14 @@ def dimension_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The index with codes against exact search at 20, and what it reads: at most a quarter of the vectors."""
     v, q = label_vectors(spark, sf), vector_queries(spark, sf)
-    placed, centres = dense.ivf_build(v)
-    return dense.ann_recall(dense.search_batch(v, q, 20), dense.ivf_search(placed, centres, q, 20, 12))
+    root = f"{shared_dir(spark)}/tables/vectors-{uuid.uuid4().hex}"
+    vectorindex.build(v, root)
+    short = min(vectorindex.REACH * 20, max(20, v.count() // 4))
+    found = materialise(vectorindex.search(spark, root, q, 20, short=short), "ann")
+    recall = dense.ann_recall(dense.search_batch(v, q, 20), found)
+    return recall.join(vectorindex.reading(spark, root, q, short), F.lit(True))
 
 
 _TAXONOMY = "WITH" + _DENSE + _VREL.rstrip(",") + f""", fa AS (SELECT qid, min(rank) AS found_at FROM own JOIN rel USING (qid, id) GROUP BY qid),

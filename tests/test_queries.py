@@ -72,10 +72,10 @@ def test_dense_search_with_odd_vectors(spark):
 
 
 def test_ann_recall(spark):
-    """Of the inverted file at the probes of the query, over all query vectors."""
+    """Of the index with codes, over all query vectors, with a quarter of the vectors read at most."""
     got = QUERIES["ann_recall"](spark, "/root/testdata/sf0.1").first()
     print("ann recall", got)
-    assert got["mean_recall"] >= 0.9
+    assert got["mean_recall"] >= 0.95 and got["rows_read"] <= 0.25
 
 
 def test_unknown_retriever(spark):
@@ -85,7 +85,7 @@ def test_unknown_retriever(spark):
         retrieve("other", None, None)
 
 
-def test_ann_recall_is_measured_on_all_query_vectors(spark, sf):
+def test_inverted_file_without_codes(spark, sf):
     from postquill.operators import dense
     from postquill.plans.base import label_vectors
 
@@ -93,9 +93,8 @@ def test_ann_recall_is_measured_on_all_query_vectors(spark, sf):
     q = v.where("id % 20 = 0").select(v.id.alias("qid"), v.embedding.alias("vector"))
     placed, centres = dense.ivf_build(v)
     exact, near = (r.groupBy("qid").agg({"id": "collect_set"}).toPandas().set_index("qid").iloc[:, 0] for r in (dense.search_batch(v, q, 20), dense.ivf_search(placed, centres, q, 20, 12)))
-    want = [len(set(exact[i]) & set(near[i])) / len(exact[i]) for i in exact.index]
-    got = QUERIES["ann_recall"](spark, sf).first()
-    assert len(want) == 25 and abs(got["mean_recall"] - sum(want) / 25) < 1e-9 and got["worst_recall"] == min(want)
+    got = [len(set(exact[i]) & set(near[i])) / len(exact[i]) for i in exact.index]
+    assert len(got) == 25 and sum(got) / 25 >= 0.9
 
 
 def test_every_document_meets_every_item(spark, tmp_path):
