@@ -107,6 +107,16 @@ def rebuild(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.withColumn("text", F.when(F.col("dedup_key").isNotNull(), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("cannot rebuild chunk "), F.col("chunk_id")))))
 
 
+def chunk_changes(messages: DataFrame, before: DataFrame, after: DataFrame, strategy: str, text: Column, order: list[str], **how) -> DataFrame:
+    """(id, text, gone): what changes among the chunks of the threads that ``after`` names.
+    ``before`` and ``after`` (dedup_key, thread_id) are whole threads before and after a change."""
+    light = messages.drop("thread_id")
+    old = chunked(strategy, light.join(before.join(after.select("dedup_key"), "dedup_key", "left_semi"), "dedup_key"), text, order, **how).select(F.col("chunk_id").alias("id"), F.col("text").alias("old"))
+    new = chunked(strategy, light.join(after, "dedup_key"), text, order, **how).select(F.col("chunk_id").alias("id"), "text")
+    both = old.join(new, "id", "full_outer").where(~F.col("old").eqNullSafe(F.col("text")))
+    return both.select("id", "text", F.col("text").isNull().alias("gone"))
+
+
 def id_differences(local: DataFrame, other: DataFrame, column: str = "chunk_id") -> DataFrame:
     """Ids on one side only (column side), duplicates counted: empty means parity."""
     a, b = local.select(column), other.select(column)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import participants
+from ..session import materialise
 from .components import connected_components
 
 # Fixed values.
@@ -46,6 +47,35 @@ def assign_threads(messages: DataFrame, **limits) -> DataFrame:
     return thread_ids(messages, edges)
 
 
+def _refs(messages: DataFrame) -> DataFrame:
+    named = F.concat_ws(" ", F.coalesce("in_reply_to", F.lit("")), F.coalesce("references", F.lit("")))
+    return messages.select("dedup_key", F.explode(F.regexp_extract_all(named, F.lit(MESSAGE_ID), F.lit(0))).alias("__ref"))
+
+
+def update_threads(known: DataFrame, threads: DataFrame, new: DataFrame, **limits) -> DataFrame:
+    """(dedup_key, thread_id) of the ``new`` messages and of all ``known`` ones in a thread that
+    they can change; ``threads`` (dedup_key, thread_id) are those of ``known``.
+
+    A thread can change if it has a message in a subject bucket of a new one (where a late
+    message may come between two others, or make the bucket a broadcast), or one that names a
+    new message, is named by one, or shares its message id. Other threads keep all their edges,
+    as both ends of an edge are in one thread. So only these threads are put together again, and
+    the result with the other threads is that of ``assign_threads`` over all messages.
+    """
+    ids = lambda df: df.where(F.coalesce("message_id", F.lit("")) != "").select(F.col("message_id").alias("__ref")).distinct()
+    subjects = new.where(F.length("subject_norm") >= MIN_SUBJECT).select("subject_norm").distinct()
+    same_id = known.select("dedup_key", F.col("message_id").alias("__ref")).join(ids(new).unionByName(_refs(new).select("__ref")).distinct(), "__ref", "left_semi")
+    seeds = known.join(subjects, "subject_norm", "left_semi").select("dedup_key").unionByName(_refs(known).join(ids(new), "__ref", "left_semi").select("dedup_key")).unionByName(same_id.select("dedup_key"))
+    changed = threads.join(seeds.distinct(), "dedup_key", "left_semi").select("thread_id").distinct()
+    keys = materialise(threads.join(changed, "thread_id", "left_semi").select("dedup_key").unionByName(new.select("dedup_key")), "threads-open")
+    every = known.unionByName(new, allowMissingColumns=True)
+    touched = materialise(every.join(keys, "dedup_key", "left_semi"), "threads-touched")
+    # buckets count with all their messages, edges with both ends in the changed threads
+    whole = every.join(touched.where(F.length("subject_norm") >= MIN_SUBJECT).select("subject_norm").distinct(), "subject_norm", "left_semi")
+    inside = subject_edges(whole, **limits).join(keys.select(F.col("dedup_key").alias("a")), "a", "left_semi").join(keys.select(F.col("dedup_key").alias("b")), "b", "left_semi")
+    return thread_ids(touched, header_edges(touched).unionByName(inside.select("a", "b")))
+
+
 def thread_ids(messages: DataFrame, edges: DataFrame) -> DataFrame:
     comp = connected_components(edges)
     light = messages.select("dedup_key", "date_utc").join(comp.select(F.col("id").alias("dedup_key"), "component"), "dedup_key", "left")
