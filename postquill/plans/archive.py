@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..functions.predicates import commitment_problems, is_bulk, looks_like_commitment
+from ..functions.predicates import commitment_problems
 from ..operators import corpus, incremental, sampling, threads
 from ..session import table
 from ..streaming import windows
@@ -14,7 +14,6 @@ from .base import EVENT_MESSAGES, document_messages, event_messages, query, rows
 
 # -- corpus
 
-_NOREPLY = r"(?i)(?:^|[._-])(?:no[._-]?reply|do[._-]?not[._-]?reply|notification|notifications|mailer[._-]?daemon|postmaster|bounce|listserv|majordomo|automail|autoreply)"
 _DOCMSG = r"""dm AS (SELECT *, doc_id::VARCHAR AS message_id, ['Re: ', 'FW: Fwd: ', '', 'AW[2]: ', ' sv : '][doc_id % 5 + 1] || substr(text, 1, 20) AS subject FROM documents)"""
 _KEYED = _DOCMSG + ", ck AS (SELECT *, 'sha256:' || sha256(concat_ws(chr(0), source, lang, '', subject, 'None', substr(text, 1, 8000))) AS dedup_key FROM dm)"
 
@@ -67,36 +66,11 @@ def drop_blasts(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.drop_blasts(event_messages(spark, sf), _BLAST).select("dedup_key")
 
 
-_BULK_CASES = """(VALUES
- (0, 'a@enron.com', 'contract', repeat('x', 100), false), (1, 'a@enron.com', 'contract', repeat('x', 100), true), (2, 'no-reply@example.com', 'contract', repeat('x', 100), false),
- (3, 'enron.announcements@enron.com', 'contract', repeat('x', 100), false), (4, 'a@enron.com', 'Out of Office AutoReply', repeat('x', 100), false),
- (5, 'a@enron.com', 'Re: Undeliverable: meeting', repeat('x', 100), false), (6, 'a@enron.com', 'contract', 'ok', false), (7, 'john.reply@enron.com', 'contract', repeat('x', 100), false),
- (8, CAST(NULL AS STRING), CAST(NULL AS STRING), repeat('x', 100), CAST(NULL AS BOOLEAN)), (9, 'Do_Not_Reply@x.org', '', repeat('y', 30), false)
-) AS t(i, sender, subject, body_new, has_list_unsubscribe)"""
-
-
-@query(f"""SELECT i, coalesce(has_list_unsubscribe, false) OR lower(coalesce(sender, '')) IN ('enron.announcements@enron.com', 'enron_announcements@enron.com', 'announcements.enron@enron.com', 'outlook.team@enron.com', 'ubsw.energy.announcements@enron.com', 'perfmgmt@enron.com', 'ezonline@enron.com')
- OR regexp_matches(coalesce(sender, ''), '{_NOREPLY}')
- OR regexp_matches(coalesce(subject, ''), '(?i)^(?:\\s*(?:re|fw|fwd)\\s*:\\s*)*\\s*(?:out of (?:the )?office|automatic reply|undeliverable|delivery status notification|returned mail|read:|tw:|newsletter|unsubscribe)')
- OR length(trim(coalesce(body_new, ''))) < 20 AS bulk FROM {_BULK_CASES}""")
-def bulk_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return rows(spark, _BULK_CASES).select("i", is_bulk().alias("bulk"))
-
-
 @query("WITH " + _DOCMSG + r" SELECT message_id, lower(trim(regexp_replace(subject, '(?i)^\s*(?:(?:re|fw|fwd|aw|sv)\s*(?:\[\d+\])?\s*:\s*)+', ''))) AS subject_norm FROM dm")
 def normalize_subject(spark: SparkSession, sf: str) -> DataFrame:
     return document_messages(spark, sf).select("message_id", text.normalize_subject("subject").alias("subject_norm"))
 
 
-_QUOTES = r"""(VALUES (0, 'Fine.', 'Fine.'), (1, 'Yes\n> no\nsure', 'Yes\nsure'), (2, 'Top\n\n-----Original Message-----\nFrom: x', 'Top'), (3, 'A\n  ---- Forwarded by Bob on 1/1\nrest', 'A'),
- (4, 'B\n__________\nfooter', 'B'), (5, 'C\nFrom: me\nSent: now\nx', 'C'), (6, 'On Monday Ann wrote:\n> q', ''), (7, 'On and on it wrote, fine', 'On and on it wrote, fine')) AS t(i, body, want)"""
-
-
-@query(_QUOTES.replace(r"\n", "' || chr(10) || '").join(("SELECT i, want AS body_new FROM ", "")))
-def strip_quoted(spark: SparkSession, sf: str) -> DataFrame:
-    return rows(spark, _QUOTES).select("i", text.strip_quoted("body").alias("body_new"))
-
-
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def late_materialize(spark: SparkSession, sf: str) -> DataFrame:
     light = table(spark, sf, "labels").where("quality = 1")
@@ -160,46 +134,6 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- dates: every case with the answer worked out by hand from a calendar
 
-_PHRASES = """(VALUES
- ('today', '2001-10-30', '2001-10-30', 'day'), ('by EOD', '2001-10-30', '2001-10-30', 'day'), ('by COB', '2001-10-30', '2001-10-30', 'day'), ('tomorrow', '2001-10-30', '2001-10-31', 'day'),
- ('day after tomorrow', '2001-10-30', '2001-11-01', 'day'), ('yesterday', '2001-10-30', '2001-10-29', 'day'), ('in 3 days', '2001-10-30', '2001-11-02', 'day'), ('in two weeks', '2001-10-30', '2001-11-13', 'day'),
- ('in a week', '2001-10-30', '2001-11-06', 'day'), ('three days from now', '2001-10-30', '2001-11-02', 'day'), ('in 5 business days', '2001-10-30', '2001-11-06', 'day'), ('within 3 working days', '2001-10-30', '2001-11-02', 'day'),
- ('in 1 month', '2001-01-31', '2001-02-28', 'month'), ('in 1 month', '2000-01-31', '2000-02-29', 'month'), ('end of week', '2001-10-30', '2001-11-02', 'day'), ('EOW', '2001-10-30', '2001-11-02', 'day'),
- ('end of next week', '2001-10-30', '2001-11-09', 'day'), ('end of the month', '2001-10-30', '2001-10-31', 'day'), ('end of next month', '2001-10-30', '2001-11-30', 'day'), ('end of quarter', '2001-10-30', '2001-12-31', 'day'),
- ('end of month', '2000-02-03', '2000-02-29', 'day'), ('by November 8', '2001-10-30', '2001-11-08', 'day'), ('Nov. 8', '2001-10-30', '2001-11-08', 'day'), ('8 November', '2001-10-30', '2001-11-08', 'day'),
- ('the 8th of November', '2001-10-30', '2001-11-08', 'day'), ('11/8', '2001-10-30', '2001-11-08', 'day'), ('11/8/01', '2001-10-30', '2001-11-08', 'day'), ('2001-11-08', '2001-10-30', '2001-11-08', 'day'),
- ('by November 8, 2002', '2001-10-30', '2002-11-08', 'day'), ('by January 3', '2000-12-30', '2001-01-03', 'day'), ('the October 15 filing', '2001-10-30', '2001-10-15', 'day'), ('by 13/11', '2001-10-30', NULL, NULL),
- ('by February 30', '2001-10-30', NULL, NULL), ('', '2001-10-30', NULL, NULL), ('before the board meeting', '2001-10-30', NULL, NULL), ('by 1/5/99', '2001-10-30', '1999-01-05', 'day'), ('by 1/5/02', '2001-10-30', '2002-01-05', 'day'),
- ('2001-13-45', '2001-10-30', NULL, NULL), ('next week', '2001-10-30', '2001-11-09', 'week'), ('this week', '2001-10-30', '2001-11-02', 'week'), ('next month', '2001-10-30', '2001-11-30', 'month'), ('next quarter', '2001-10-30', '2002-03-31', 'quarter'),
- ('next Thursday', '2001-10-30', '2001-11-08', 'day'), ('this Thursday', '2001-10-30', '2001-11-01', 'day'), ('Thursday', '2001-10-30', '2001-11-01', 'day'), ('Tuesday', '2001-10-30', '2001-11-06', 'day'), ('by fri', '2001-10-30', '2001-11-02', 'day'), ('next Tues', '2001-10-30', '2001-11-06', 'day')
-) AS t(phrase, sent, want, precision_)"""
-
-
-@query(f"SELECT phrase, sent, want::DATE AS due, precision_ AS due_precision FROM {_PHRASES}")
-def resolve_dates(spark: SparkSession, sf: str) -> DataFrame:
-    found = rows(spark, _PHRASES).withColumn("r", dates.resolve("phrase", F.to_date("sent")))
-    return found.select("phrase", "sent", F.col("r.value").alias("due"), F.col("r.precision").alias("due_precision"))
-
-
-@query("""SELECT * FROM (VALUES ('next Thursday', DATE '2001-11-08', true, DATE '2001-11-01', false), ('next Tuesday', DATE '2001-11-06', false, DATE '2001-11-06', false),
- ('January 3', DATE '2002-01-03', false, NULL, true), ('Friday', DATE '2001-11-02', false, NULL, false)) AS t(phrase, due, ambiguous, alternative, rolled_year)""")
-def ambiguous_dates(spark: SparkSession, sf: str) -> DataFrame:
-    asked = rows(spark, "(VALUES ('next Thursday'), ('next Tuesday'), ('January 3'), ('Friday')) AS t(phrase)")
-    found = asked.withColumn("r", dates.resolve("phrase", F.lit("2001-10-30").cast("date")))
-    return found.select("phrase", F.col("r.value").alias("due"), "r.ambiguous", "r.alternative", "r.rolled_year")
-
-
-_WINDOW_CASES = """(VALUES ('this week', '2001-10-29', '2001-11-04'), ('what is due next week', '2001-11-05', '2001-11-11'), ('last week', '2001-10-22', '2001-10-28'), ('came in yesterday', '2001-10-29', '2001-10-29'),
- ('this month', '2001-10-01', '2001-10-31'), ('next month', '2001-11-01', '2001-11-30'), ('last month', '2001-09-01', '2001-09-30'), ('this quarter', '2001-10-01', '2001-12-31'), ('in the next 10 days', '2001-10-30', '2001-11-09'),
- ('in the past 3 days', '2001-10-27', '2001-10-30'), ('what is due by November 8', '2001-10-30', '2001-11-08'), ('what is overdue', '1900-01-01', '2001-10-30'), ('today', '2001-10-30', '2001-10-30'),
- ('what was decided about pricing', NULL, NULL)) AS t(question, start_, end_)"""
-
-
-@query(f"SELECT question, start_::DATE AS window_start, end_::DATE AS window_end FROM {_WINDOW_CASES}")
-def parse_window(spark: SparkSession, sf: str) -> DataFrame:
-    found = rows(spark, _WINDOW_CASES).withColumn("w", dates.window("question", F.lit("2001-10-30")))
-    return found.select("question", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"))
-
 
 @query("""SELECT o_orderkey, n, (SELECT list(d ORDER BY d) FROM (SELECT unnest(generate_series(o_orderdate::DATE + 1, o_orderdate::DATE + 40, INTERVAL 1 DAY))::DATE AS d) WHERE isodow(d) < 6)[n] AS due
  FROM (SELECT o_orderkey, o_orderdate, (o_orderkey % 9 + 1)::INT AS n FROM orders)""")
@@ -235,14 +169,6 @@ def messages_by_local_day(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("day", day).where("day BETWEEN DATE '2024-01-05' AND DATE '2024-01-07'").select("event_id", "day")
 
 
-_HINTS = """(VALUES ('please review the draft', true), ('deliver by friday', true), ('can you send the file', true), ('lunch was nice', false), ('see 11/8', true), ('the dueling pianos', false), (CAST(NULL AS STRING), false), ('I''ll call back', true), ('May 5 is fine', true), ('nov 5 is fine', true)) AS t(body, want)"""
-
-
-@query(f"SELECT body, want AS commitment FROM {_HINTS}")
-def commitment_prefilter(spark: SparkSession, sf: str) -> DataFrame:
-    return rows(spark, _HINTS.replace("''", "\\'")).select("body", looks_like_commitment("body").alias("commitment"))
-
-
 @query("""SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN ['no message'] ELSE [] END || CASE WHEN vec_id % 11 = 0 THEN ['empty text'] ELSE [] END || CASE WHEN label % 4 = 0 THEN ['unknown kind'] ELSE [] END
  || CASE WHEN vec_id % 13 = 0 THEN ['unknown direction'] ELSE [] END || CASE WHEN vec_id % 5 = 0 THEN ['confidence out of range'] ELSE [] END || CASE WHEN vec_id % 6 = 2 THEN ['due date without a phrase'] ELSE [] END AS problems FROM embeddings""")
 def commitment_validation(spark: SparkSession, sf: str) -> DataFrame:
@@ -288,24 +214,6 @@ def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.cascade_delete(m, gone, "sender").select("dedup_key")
 
 
-_NOW = "2024-01-15 12:00:00"
-_JOBS = "(VALUES (1, 'sync', 'u1', 'queued', 0, TIMESTAMP '2024-01-15 11:00:00'), (2, 'sync', 'u2', 'queued', 1, TIMESTAMP '2024-01-15 10:00:00'), (3, 'digest', 'u1', 'running', 3, TIMESTAMP '2024-01-15 09:00:00'), (4, 'sync', 'u3', 'queued', 0, TIMESTAMP '2024-01-16 09:00:00'), (5, 'sync', 'u4', 'done', 1, TIMESTAMP '2024-01-15 09:00:00')) AS t(id, type, user_id, status, attempts, run_after)"
-
-
-def _now():
-    return F.lit(_NOW).cast("timestamp")
-
-
-@query(f"SELECT id, CASE WHEN id = 2 THEN 'running' ELSE status END AS status, attempts + (id = 2)::INT AS attempts FROM {_JOBS}")
-def queue_claim(spark: SparkSession, sf: str) -> DataFrame:
-    return incremental.claimed(rows(spark, _JOBS), _now()).select("id", "status", "attempts")
-
-
-@query(f"SELECT id, CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END AS status, CASE WHEN attempts < 3 THEN TIMESTAMP '{_NOW}' + attempts * INTERVAL 1 MINUTE ELSE run_after END AS run_after FROM {_JOBS}")
-def queue_retry(spark: SparkSession, sf: str) -> DataFrame:
-    return incremental.failed(rows(spark, _JOBS), _now()).select("id", "status", F.col("run_after").cast("timestamp_ntz").alias("run_after"))
-
-
 _SYNC = _EV + ", st AS (SELECT sender AS user_id, max(date_utc) AS last_sync_utc FROM msgs GROUP BY sender)"
 
 

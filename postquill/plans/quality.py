@@ -6,27 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.predicates import route, same_commitment
 from ..operators import evaluation, metrics
 from ..session import table
 from .base import query, rows
 
-_ROUTES = """(VALUES ('due this week', 'temporal', 'sql'), ('anything overdue', 'temporal', 'sql'), ('what is due by November 8', 'temporal', 'sql'), ('what came in today', 'temporal', 'sql'), ('how many emails about pricing', 'temporal', 'sql'),
- ('explain the pricing model', 'semantic', 'hybrid'), ('what did we agree is due next week', 'temporal', 'both'), ('mail from sara shackleton', 'entity', 'hybrid'), ('pricing', 'semantic', CAST(NULL AS STRING)), ('', 'unanswerable', CAST(NULL AS STRING)),
- ('why was it late yesterday', 'semantic', 'both'), ('list all contracts', 'unanswerable', 'sql')) AS t(question, query_class, want)"""
-
-
-@query(f"SELECT question, want AS route FROM {_ROUTES}")
-def route_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return rows(spark, _ROUTES).select("question", route("question").alias("route"))
-
-
-@query(f"""WITH r AS (SELECT query_class, coalesce(want, 'both') AS route FROM {_ROUTES} WHERE query_class <> 'unanswerable'), s AS (SELECT *, route = CASE WHEN query_class = 'temporal' THEN 'sql' ELSE 'hybrid' END OR route = 'both' AS ok FROM r)
-SELECT CASE WHEN grouping(query_class) = 1 THEN 'all' ELSE query_class END AS query_class, count(*) AS n, count(*) FILTER (ok) AS correct, count(*) FILTER (route = 'both') AS over_routed, round(count(*) FILTER (ok) / count(*), 6) AS accuracy FROM s GROUP BY ROLLUP (query_class)""")
-def router_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules first; what they leave open falls back to both arms."""
-    return metrics.route_scores(rows(spark, _ROUTES).withColumn("route", F.coalesce(route("question"), F.lit("both"))))
-
 
 _QUERYSET = """(VALUES ('q1', 'pricing  Model', 'semantic', array('0', '1'), true, ''), ('q2', 'pricing model', 'semantic', array('2'), true, ''), ('q3', 'due soon', 'temporal', array('3'), false, ''), ('q4', 'due when', 'temporal', array('4', '4'), true, '2001/1/1'),
  ('q5', 'nothing', 'unanswerable', array('5'), true, ''), ('q6', '  ', 'entity', array(), true, ''), ('q7', 'who', 'person', array('999999999'), true, ''), ('q8', 'x', 'entity', array('6'), true, ''), ('q8', 'y', 'entity', array('7'), true, '')) AS t(query_id, query, query_class, relevant_message_ids, verified, as_of)"""
@@ -44,20 +27,19 @@ def eval_validation(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.problems(_queryset(spark), corpus, {"semantic": 3, "temporal": 2, "entity": 2, "unanswerable": 2})
 
 
-@query("SELECT * FROM (VALUES ('semantic', 2::BIGINT), ('temporal', 2), ('entity', 3), ('unanswerable', 1), ('person', 1)) AS t(query_class, n)")
-def stratification(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.stratification(_queryset(spark))
-
-
 _STOPS = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 _T = rf"list_distinct(list_filter(regexp_extract_all(lower({{x}}), '[a-z0-9'']+'), lambda w: length(w) > 2 AND w NOT IN ({_STOPS})))"
 
 
-@query(f"""SELECT d.doc_id, b.item_id, round(CASE WHEN len({_T.format(x="b.text")}) = 0 THEN 0 ELSE len(list_intersect({_T.format(x="b.text")}, {_T.format(x="d.text")})) / len({_T.format(x="b.text")}) END, 6) AS overlap
- FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40""")
+@query(f"""WITH d AS (SELECT doc_id, unnest({_T.format(x="text")}) AS term FROM documents), b AS (SELECT item_id, len(t) AS n, unnest(t) AS term FROM (SELECT item_id, {_T.format(x="text")} AS t FROM benchmark))
+SELECT doc_id, item_id, round(count(*) / n, 6) AS overlap FROM d JOIN b USING (term) GROUP BY doc_id, item_id, n""")
 def term_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
-    return d.join(b, F.col("item_id") == F.col("doc_id") % 40).select("doc_id", "item_id", F.round(text.term_overlap("q", "text"), 6).alias("overlap"))
+    """Documents and items that share a term; the overlap of all other pairs is 0."""
+    b = table(spark, sf, "benchmark").select("item_id", text.content_terms("text").alias("t"))
+    b = b.select("item_id", F.size("t").alias("n"), F.explode("t").alias("term"))
+    d = table(spark, sf, "documents").select("doc_id", F.explode(text.content_terms("text")).alias("term"))
+    shared = d.join(b, "term").groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("k"))
+    return shared.select("doc_id", "item_id", F.round(F.col("k") / F.col("n"), 6).alias("overlap"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_T.format(x="text")} AS t FROM documents), b AS (SELECT item_id, {_T.format(x="text")} AS t FROM benchmark)
@@ -127,58 +109,11 @@ def generation_report(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.generation_report(s, answers)
 
 
-_ANSWERS = """(VALUES (0, 'It was agreed [1] and signed [3][1].', 3), (1, 'See [9] and [0], also [2].', 2), (2, 'No source at all.', 4), (3, CAST(NULL AS STRING), 2), (4, '[2] [2] [99999999999]', 2)) AS t(i, answer, n)"""
-
-
-@query("SELECT * FROM (VALUES (0, [1, 3], []::INT[]), (1, [2], [9, 0]), (2, [], []), (3, [], []), (4, [2], [NULL])) AS t(i, valid, invalid)")
-def parse_citations(spark: SparkSession, sf: str) -> DataFrame:
-    good, bad = text.citation_numbers("answer", F.col("n"))
-    return rows(spark, _ANSWERS).select("i", good.alias("valid"), bad.alias("invalid"))
-
-
-_CLAIMS = """(VALUES (0, 'The contract was signed in May by both sides. It was late [1].'), (1, 'The excerpts do not mention any price at all for this. Is that a long enough question here?'), (2, 'Short one. Here is the list of everything that follows:'), (3, 'All emails were deleted on Friday by the team.')) AS t(i, answer)"""
-
-
-@query("SELECT * FROM (VALUES (0, ['The contract was signed in May by both sides.']), (1, []), (2, []), (3, ['All emails were deleted on Friday by the team.'])) AS t(i, uncited)")
-def uncited_claims(spark: SparkSession, sf: str) -> DataFrame:
-    return rows(spark, _CLAIMS).select("i", text.uncited_claims("answer").alias("uncited"))
-
-
 @query(r"SELECT doc_id, CASE WHEN length(f) <= 120 THEN f ELSE regexp_replace(substr(f, 1, 120), ' [^ ]*$', '') || ' …' END AS clipped FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)")
 def clip_sources(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.clip("text", 120).alias("clipped"))
 
 
-_ARMS = """(VALUES ('m1', 'local', 'send the agenda to everyone'), ('m1', 'local', 'pay the vendor invoice'), ('m1', 'ceiling', 'send agenda'), ('m2', 'local', 'book a room'), ('m3', 'ceiling', 'sign the contract'), ('m1', 'ceiling', 'call the bank tomorrow')) AS t(message_id, arm, text)"""
-
-
-@query("SELECT 1::BIGINT AS both, 2::BIGINT AS local_only, 2::BIGINT AS ceiling_only, 0.2::DOUBLE AS agreement")
-def compare_arms(spark: SparkSession, sf: str) -> DataFrame:
-    a = rows(spark, _ARMS)
-    return evaluation.arm_agreement(evaluation.compare_arms(a.where("arm = 'local'"), a.where("arm = 'ceiling'")))
-
-
-@query("SELECT * FROM (VALUES ('book a room', false), ('pay the vendor invoice', false), ('send the agenda to everyone', true)) AS t(text, same)")
-def same_commitment_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    a = rows(spark, _ARMS).where("arm = 'local'")
-    return a.select("text", same_commitment("message_id", "text", F.lit("m1"), F.lit("send agenda")).alias("same"))
-
-
-_ABLATION = "(VALUES ('bm25', 0.5, 0.40), ('dense', 0.6, 0.45), ('hybrid', 0.7, 0.44)) AS t(arm, recall, ndcg)"
-
-
-@query(f"SELECT arm, recall::DOUBLE AS recall, ndcg::DOUBLE AS ndcg, round(recall::DOUBLE - 0.5, 6) AS recall_gain, round(ndcg::DOUBLE - 0.4, 6) AS ndcg_gain FROM {_ABLATION}")
-def gain_over_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    t = rows(spark, _ABLATION).select("arm", F.col("recall").cast("double"), F.col("ndcg").cast("double"))
-    return metrics.gain_over(t, F.col("arm"), "bm25", ["recall", "ndcg"])
-
-
-@query("SELECT 'dense' AS arm, 0.6::DOUBLE AS recall, 0.45::DOUBLE AS ndcg")
-def best_arm(spark: SparkSession, sf: str) -> DataFrame:
-    t = rows(spark, _ABLATION).select("arm", F.col("recall").cast("double"), F.col("ndcg").cast("double"))
-    return metrics.best_row(t, "ndcg", "arm")
-
-
 @query("SELECT verdict AS category, count(*) AS n, round(count(*) / (SELECT count(*) FROM vd), 6) AS share FROM vd GROUP BY verdict".join(("WITH " + _VERDICTS + " ", "")))
 def miss_report(spark: SparkSession, sf: str) -> DataFrame:
     v = _verdicts(spark, sf).select(F.col("verdict").alias("category"), F.lit("q").alias("query"), F.col("query_id").cast("string").alias("query_id"))

@@ -75,11 +75,3 @@ def rendered_threads(spark: SparkSession, sf: str) -> DataFrame:
 def substantial_threads(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "conversations").select(F.col("conv_id").alias("thread_id"), F.lit(None).cast("timestamp").alias("date_utc"), F.col("text").alias("body_new"))
     return answering.substantial_threads(t, "th")
-
-
-@query("""SELECT * FROM (VALUES ('m1', 'send the deck', 'deliverable', 'i_owe', DATE '2001-11-02', 'day', 0.9::DOUBLE), ('m1', 'pay', 'other', 'unclear', NULL, '', 0.5), ('m2', 'meet', 'meeting', 'they_owe', DATE '2001-11-09', 'week', 1.0)) AS t(message_id, text, kind, direction, due_at, due_precision, confidence)""")
-def extracted_commitments(spark: SparkSession, sf: str) -> DataFrame:
-    first = '{"commitments": [{"text": " send the deck ", "kind": "deliverable", "direction": "i_owe", "due_phrase": "by fri", "confidence": "0.9"}, {"text": "pay", "kind": "gift", "confidence": "high"}, {"text": " "}]}'
-    second = '```json\n{"commitments": [{"text": "meet", "kind": "meeting", "direction": "they_owe", "due_phrase": "next week", "confidence": 7}]}\n```'
-    a = spark.createDataFrame([("m1", first), ("m2", second), ("m3", "no json")], "message_id string, answer string").withColumn("sent", F.lit("2001-10-30").cast("date"))
-    return answering.extracted_commitments(a).select("message_id", "text", "kind", "direction", "due_at", "due_precision", "confidence")

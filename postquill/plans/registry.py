@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, kept, quality, questions, retrieval, upkeep  # noqa: F401  they register their queries
+from . import archive, cases, kept, quality, questions, retrieval, upkeep  # noqa: F401  they register their queries
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

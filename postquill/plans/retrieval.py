@@ -239,16 +239,16 @@ _DOT = "list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: p[
 _DENSE = f"""
 de AS (SELECT q.vec_id AS qid, d.vec_id AS id, round({_DOT}, 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0),
 dense AS (SELECT qid, 'dense' AS run, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM de QUALIFY rank <= 100),
-ha AS (SELECT q.vec_id AS qid, d.vec_id AS id, round({_DOT.replace("q.embedding", "q.embedding[1:16]").replace("d.embedding", "d.embedding[1:16]")}, 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0),
-half AS (SELECT qid, 'half' AS run, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM ha QUALIFY rank <= 100),
-runs AS (SELECT * FROM dense UNION ALL SELECT * FROM half)"""
+ha AS (SELECT q.vec_id AS qid, d.vec_id AS id, round({_DOT.replace("q.embedding", "list_transform(q.embedding, lambda x: sign(x))").replace("d.embedding", "list_transform(d.embedding, lambda x: sign(x))")}, 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0),
+signs AS (SELECT qid, 'signs' AS run, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM ha QUALIFY rank <= 100),
+runs AS (SELECT * FROM dense UNION ALL SELECT * FROM signs)"""
 
 
 def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     v, q = label_vectors(spark, sf), vector_queries(spark, sf)
-    cut = lambda df, c: df.withColumn(c, F.slice(c, 1, 16))
-    half = dense.search_batch(cut(v, "embedding"), cut(q, "vector"), 100).withColumn("run", F.lit("half"))
-    return dense.search_batch(v, q, 100), half
+    signs = lambda df, c: df.withColumn(c, F.transform(c, F.signum))
+    coarse = dense.search_batch(signs(v, "embedding"), signs(q, "vector"), 100).withColumn("run", F.lit("signs"))
+    return dense.search_batch(v, q, 100), coarse
 
 
 @query("WITH" + _DENSE + " SELECT qid, id, score, rank FROM dense")
@@ -273,13 +273,13 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH" + _DENSE + _MM + """, wf AS (SELECT qid, id, round(sum(CASE WHEN run = 'dense' THEN 0.7 ELSE 0.3 END * s), 6) AS score FROM mm GROUP BY qid, id)
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM wf QUALIFY rank <= 50""")
 def weighted_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.weighted(fusion.union_runs(*_runs(spark, sf)), {"dense": 0.7, "half": 0.3}, 50).drop("run")
+    return fusion.weighted(fusion.union_runs(*_runs(spark, sf)), {"dense": 0.7, "signs": 0.3}, 50).drop("run")
 
 
 @query("WITH" + _DENSE + _MM + """, wf AS (SELECT share, qid, id, round(sum(CASE WHEN run = 'dense' THEN share ELSE 1 - share END * s), 6) AS score FROM mm, (VALUES (0.3::DOUBLE), (0.4), (0.5), (0.6), (0.7)) v(share) GROUP BY ALL)
 SELECT share, qid, id, score, row_number() OVER (PARTITION BY share, qid ORDER BY score DESC, id)::INT AS rank FROM wf QUALIFY rank <= 10""")
 def weight_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.weight_sweep(fusion.union_runs(*_runs(spark, sf)), "dense", "half", top_k=10)
+    return fusion.weight_sweep(fusion.union_runs(*_runs(spark, sf)), "dense", "signs", top_k=10)
 
 
 _MULTI = "WITH" + _DENSE + """, inner_ AS (SELECT qid, run, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT qid // 40 AS qid, CASE WHEN run = 'dense' THEN 'dense' ELSE 'sparse' END AS run, id, rank FROM runs) GROUP BY ALL),
