@@ -15,7 +15,9 @@ DEFAULT_DAY = "2001-06-01"
 
 
 def with_windows(questions: DataFrame) -> DataFrame:
-    """questions (qid, query, as_of) with start, end and include_overdue of their windows."""
+    """questions (qid, query, as_of) with start, end and include_overdue of their windows, unless they have them."""
+    if {"start", "end", "include_overdue"} <= set(questions.columns):
+        return questions
     w = F.explode(F.array(window("query", "as_of")))  # a generator, so that the window is worked out once
     return questions.withColumn("w", w).select(*questions.columns, "w.start", "w.end", "w.include_overdue")
 

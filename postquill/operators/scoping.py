@@ -58,3 +58,11 @@ def holds_marker(messages: DataFrame, markers: tuple[str, ...], column: str = "s
     are read until the first that does."""
     has = [F.contains(F.coalesce(column, F.lit("")), F.lit(m)) for m in markers]
     return not messages.where(F.greatest(*has, F.lit(False)) if has else F.lit(False)).isEmpty()
+
+
+def bound(statement: str, values: dict, **rows: DataFrame) -> DataFrame:
+    """The rows of a SQL statement over ``rows`` (named in it in braces) with ``values`` bound to
+    its markers (``:name``). Values are literals of the plan and never part of the text, so
+    what a user types cannot change the statement; a null is bound as null."""
+    spark = next(iter(rows.values())).sparkSession
+    return spark.sql(statement, args=values, **rows)

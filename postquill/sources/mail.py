@@ -8,9 +8,12 @@ without prefixes, new text, content key) is added by expressions afterwards.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import suppress
 from datetime import UTC
 from email import policy
+from email.errors import HeaderParseError
 from email.header import decode_header, make_header
+from email.iterators import typed_subpart_iterator
 from email.parser import BytesParser
 from email.utils import getaddresses, parsedate_to_datetime
 
@@ -20,28 +23,43 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_key, normalize_subject, strip_quoted
 
-CHARSETS = ("utf-8", "cp1252", "latin-1")
+#: Tried in this order; what neither fits is Latin-1, which gives every byte a character.
+STRICT = ("utf-8", "cp1252")
 FIELDS = "message_id string, date_utc timestamp, sender string, recipients string, cc string, subject string, body string, in_reply_to string, references string, has_list_unsubscribe boolean"
 
 
+def _if_it_fits(raw: bytes, charset: str) -> str | None:
+    with suppress(UnicodeDecodeError):
+        return raw.decode(charset)
+
+
 def decoded(raw: bytes) -> str:
-    """Text in the first charset that fits; the last one fits anything."""
-    for charset in CHARSETS:
-        try:
-            return raw.decode(charset)
-        except UnicodeDecodeError:
-            continue
-    return raw.decode(CHARSETS[-1], "replace")
+    """The text that the bytes themselves allow; the charset that a message names is not asked."""
+    readings = (_if_it_fits(raw, charset) for charset in STRICT)
+    return next((text for text in readings if text is not None), raw.decode("latin-1"))
+
+
+def _word(raw: bytes | str, charset: str | None) -> str:
+    """One word of a header; of one that its charset does not fit, each bad byte is marked."""
+    if isinstance(raw, str):
+        return raw
+    try:
+        return raw.decode(charset or "ascii", "replace")
+    except LookupError:  # no such charset
+        return decoded(raw)
 
 
 def header(message, name: str) -> str:
-    value = message.get(name)
-    if value is None:
-        return ""
+    """A header with its encoded words read; a word that cannot be read spoils no other."""
+    value = str(message.get(name, ""))
+    try:
+        words = decode_header(value)
+    except HeaderParseError:
+        return value
     try:
-        return str(make_header(decode_header(str(value))))
-    except (ValueError, LookupError, UnicodeError):
-        return str(value)
+        return str(make_header(words))
+    except (ValueError, LookupError):
+        return " ".join(filter(None, (_word(*w).strip() for w in words)))
 
 
 def addresses(value: str) -> str:
@@ -59,8 +77,10 @@ def moment(value: str):
 
 
 def body(message) -> str:
-    parts = [p for p in message.walk() if p.get_content_type() == "text/plain"] if message.is_multipart() else [message]
-    return "\n".join(decoded(p.get_payload(decode=True) or b"") for p in parts)
+    """The plain text parts, one below the other; a message without parts is one, whatever its type."""
+    parts = typed_subpart_iterator(message, "text", "plain") if message.is_multipart() else iter((message,))
+    payloads = (part.get_payload(decode=True) for part in parts)
+    return "\n".join(decoded(raw) if raw else "" for raw in payloads)
 
 
 def parsed(raw: bytes | None) -> dict | None:

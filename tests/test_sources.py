@@ -104,3 +104,15 @@ def test_services(spark):
     assert fresh.count() == 0 and {r["answer"] for r in again.collect()} == {"WHAT PRICE", "NOTHING"}
     t = services.transform(q, F.when(F.col("qid") == 1, '{"queries": ["cost", "price list"]}'), "multi_query").orderBy("qid").collect()
     assert t[0]["dense_texts"] == ["what price", "cost", "price list"] and t[0]["fired"] and t[1]["degraded"] and t[1]["dense_texts"] == ["nothing"]
+
+
+def test_a_bad_header_word_spoils_no_other():
+    from email import message_from_bytes
+
+    from postquill.sources.mail import body, decoded, header
+
+    m = message_from_bytes(b"Subject: =?utf-8?q?caf=C3=A9?= and =?utf-8?q?=FF=FE?= =?nowhere?q?=E9t=E9?=\nX: plain\nY: =?utf-8?b?a?=\n\nbody \xe9")
+    got = header(m, "Subject")
+    assert got.startswith("caf\u00e9") and "and" in got and "\ufffd" in got and got.endswith("\u00e9t\u00e9")
+    assert header(m, "X") == "plain" and header(m, "none") == "" and header(m, "Y")
+    assert body(m) == "body \u00e9" and decoded(b"\x81\xe9") == "\x81\u00e9" and decoded(b"\x93q\x94") == "\u201cq\u201d"
