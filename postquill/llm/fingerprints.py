@@ -18,10 +18,10 @@ then by the text, and a single row is its own next document; an empty table give
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,16 +166,16 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def _bucket(splits: list[int], nameless: int):
-    """The number of splits up to an id, searched in two levels; rows without an id go to
+    """The number of splits up to an id, by binary search; rows without an id go to
     ``nameless`` buckets below zero, by the hash of their text."""
-    width = max(1, math.isqrt(len(splits)))
-    listed = lambda values: F.transform(F.split(F.lit(",".join(map(str, values))), ","), lambda x: x.cast("bigint"))  # noqa: E731  folded into one literal
-    rows = [splits[i : i + width] for i in range(0, len(splits), width)]
-    below = lambda values: F.size(F.filter(listed(values), lambda x: x <= F.col("doc_id")))
-    at = below([r[-1] for r in rows]) if rows else F.lit(0)
-    within = F.coalesce(F.get(F.array(*[below(r) for r in rows]), at), F.lit(0)) if rows else F.lit(0)
+    edges = np.array(splits, np.int64)
+
+    @F.pandas_udf("long")
+    def below(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="right"))
+
     by_hash = F.least(F.floor((F.col("lot") / float(1 << 64) + 0.5) * nameless), F.lit(nameless - 1))
-    return F.when(F.col("doc_id").isNull(), -1 - by_hash).otherwise(at * width + within).cast("long")
+    return F.when(F.col("doc_id").isNull(), -1 - by_hash).otherwise(below(F.coalesce("doc_id", F.lit(0)))).cast("long")
 
 
 def fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, most: int = MOST_BUCKETS) -> DataFrame:
