@@ -7,16 +7,17 @@ importance weight of a text of mean length, so that length alone decides nothing
 Sampling without
 replacement in proportion to these importance weights is Gumbel top-k: the ``k``
 documents with the largest log weight plus Gumbel noise. The noise is a hash of
-the id, so reruns agree; the k-th largest key is found by counting, 16 bits at a
-time, so nothing is sorted in one task.
+the id, or of the text where there is none, so reruns agree; the k-th largest key
+is found by counting, 16 bits at a time, so nothing is sorted in one task.
 
 Raw counts cover all documents. The target model is fit on at most ``TARGET``
 labelled documents drawn by a hash of the id; ``k`` is the corpus size times the
 share of good labels among all labels.
 
 Defined results: a null or wordless text has weight 0; repeated rows share a key
-and are taken or left together, as are ties beyond the id; without labels
-everything is selected; an empty table gives no rows.
+and are taken or left together, as are ties beyond the id; rows without an id draw by
+their texts, so different ones draw apart; without labels everything is selected; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def _weigh(shared, length: float):
                 total[a:b] = np.bincount(text, ratio[bucket], minlength=b - a)
                 n[a:b] = np.bincount(text, minlength=b - a)
             weight = total / np.maximum(n, 1) * length
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(n)], names=["doc_id", "log_weight", "n_grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(n), batch.column(2)], names=["doc_id", "log_weight", "n_grams", "draw"])
 
     return run
 
@@ -134,8 +135,9 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 1) -> DataFrame:
     n = docs.count()
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    weighed = rows.mapInArrow(_weigh(shared, n_grams / max(n, 1)), "doc_id long, log_weight double, n_grams long")
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    rows = rows.withColumn("draw", F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed))))
+    weighed = rows.mapInArrow(_weigh(shared, n_grams / max(n, 1)), "doc_id long, log_weight double, n_grams long, draw long")
+    u = (F.shiftrightunsigned("draw", 11) + 0.5) / float(1 << 53)
     keyed = weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
     keyed = materialise(keyed.withColumn("order_key", F.round(F.col("gumbel_key") * (1 << 20)).cast("long")), "importance")
     share = labels.where(F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]

@@ -8,8 +8,10 @@ blocks, each is merged with the one before it unless their shares differ by more
 ``Z`` standard errors. A template (a leaf) is rejected if the smoothed purity of its labels,
 ``(blocked + ALPHA * prior) / (labelled + ALPHA)``, exceeds ``REJECT``. The labels
 are the verdicts of the rules where one fits. Levels are built over all hosts at
-once from counts per template, so a host of any size is never one task's group;
-there are as many levels as the longest path has segments.
+once from counts per template, so a host of any size is never one task's group.
+A node with one shape, or without labels, branches no further: what is left of its
+templates follows from the shapes themselves, and they leave the loop. So there are as
+many passes as levels on which labelled shapes still part, not as segments in a path.
 
 Defined results: a null URL or one without ``://`` has empty host and path and no
 rule; repeated rows are judged alike; templates without labels get the prior, so
@@ -33,6 +35,7 @@ RULES = (
 )
 MANY, RARE = 32, 0.02
 ALPHA, REJECT, Z = 4.0, 0.5, 2.0
+PARTS = 16  # levels held apart before they are written together
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,39 +62,76 @@ def shape(path: str = "path") -> Column:
     return F.split(F.regexp_replace(hexed, r"[0-9]+", "{n}"), "/", -1)
 
 
+def _settled(rows: DataFrame, level: int) -> DataFrame:
+    """Rows with the ``shapes`` and ``labelled`` of their node on a ``level``; ``open`` where the
+    node can still branch. Elsewhere the prefix is completed: a labelled shape alone in
+    its node keeps its segments, shapes without labels get wildcards."""
+    left = F.greatest(F.size("shape") - level, F.lit(0))
+    own = F.slice("shape", level + 1, left)
+    rest = F.when(F.col("labelled") > 0, own).otherwise(F.array_repeat(F.lit("*"), left))
+    is_open = (F.col("shapes") > 1) & (F.col("labelled") > 0) & (left > 0)
+    whole = F.array_join(F.concat(F.array("prefix"), rest), "/")
+    return rows.withColumn("open", is_open).withColumn("prefix", F.when(is_open, F.col("prefix")).otherwise(whole)).drop("shapes", "labelled")
+
+
 def template_tree(urls: DataFrame) -> DataFrame:
     """host, shape, template, purity from rows (host, shape, verdict): one per host and shape."""
     blocked, allowed = (F.sum((F.col("verdict") == v).cast("long")) for v in ("block", "allow"))
     paths = urls.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.coalesce(blocked, F.lit(0)).alias("blocked"), F.coalesce(allowed, F.lit(0)).alias("allowed"))
     paths = materialise(paths.withColumn("prefix", F.lit("")), "url-shapes")
-    total = paths.agg(F.max(F.size("shape")).alias("depth"), F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).first()
+    total = paths.agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).first()
     prior = ((total["b"] or 0) + 1) / ((total["b"] or 0) + (total["a"] or 0) + 2)
     sums = [F.sum(c).alias(c) for c in ("n", "blocked", "allowed")]
-    for level in range(total["depth"] or 0):
+    labelled = F.col("blocked") + F.col("allowed")
+    hosts = paths.groupBy("host").agg(F.count(F.lit(1)).alias("shapes"), F.sum(labelled).alias("labelled"))
+    levels = [materialise(_settled(paths.join(hosts, "host"), 0), "url-level")]
+    discard(paths)
+    done, level = [], 0
+    while True:
+        done.append(levels[-1].where("NOT open"))
+        if len(done) == PARTS:  # the plan of the union stays short, however deep the tree
+            joined = materialise(_union(done), "url-done")
+            discard(*levels[:-1])
+            levels, done = [joined, levels[-1]], [joined]
+        paths = levels[-1].where("open")
+        if paths.isEmpty():
+            break
         seg = F.get("shape", F.lit(level))
-        child = paths.where(seg.isNotNull()).groupBy("host", "prefix", seg.alias("seg")).agg(*sums)
+        child = paths.where(seg.isNotNull()).groupBy("host", "prefix", seg.alias("seg")).agg(F.count(F.lit(1)).alias("shapes"), *sums)
         node = child.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("node_n"))
         both = child.join(node, ["host", "prefix"])
         rare = (F.col("children") > MANY) & (F.col("n") < RARE * F.col("node_n"))
-        labelled = F.col("blocked") + F.col("allowed")
         share = F.col("blocked") / F.greatest(labelled, F.lit(1))
-        both = both.select("host", "prefix", "seg", (rare | (labelled == 0)).alias("wild"), share.alias("share"), ((share * (1 - share) + 0.25 / (labelled + 1)) / F.greatest(labelled, F.lit(1))).alias("error"))
+        error = (share * (1 - share) + 0.25 / (labelled + 1)) / F.greatest(labelled, F.lit(1))
+        both = both.select("host", "prefix", "seg", "shapes", labelled.alias("labelled"), (rare | (labelled == 0)).alias("wild"), share.alias("share"), error.alias("error"))
         # a node keeps at most max(MANY, 1 / RARE) branches, so these windows are small
         by_share = Window.partitionBy("host", "prefix").orderBy("share", "seg")
         apart = F.col("share") - F.lag("share").over(by_share) > Z * F.sqrt(F.col("error") + F.lag("error").over(by_share))
         kept = both.where(~F.col("wild")).withColumn("first", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("branch", F.sum("first").over(by_share))
         size = F.count(F.lit(1)).over(Window.partitionBy("host", "prefix", "branch"))
-        kept = kept.select("host", "prefix", "seg", F.when(size > 1, F.concat(F.lit("~"), F.col("branch").cast("string"))).otherwise(F.col("seg")).alias("name"))
-        named = kept.unionByName(both.where("wild").select("host", "prefix", "seg", F.lit("*").alias("name")))
-        after = paths.withColumn("seg", seg).join(named, ["host", "prefix", "seg"], "left")
-        after = after.withColumn("prefix", F.when(F.col("seg").isNull(), F.col("prefix")).otherwise(F.concat_ws("/", "prefix", "name"))).drop("seg", "name")
-        done, paths = paths, materialise(after.select("host", "shape", "n", "blocked", "allowed", "prefix"), "url-level")
-        discard(done)
+        name = F.when(size > 1, F.concat(F.lit("~"), F.col("branch").cast("string"))).otherwise(F.col("seg"))
+        columns = ["host", "prefix", "seg", "shapes", "labelled"]
+        named = kept.select(*columns, name.alias("name")).unionByName(both.where("wild").select(*columns, F.lit("*").alias("name")))
+        below = named.groupBy("host", "prefix", "name").agg(F.sum("shapes").alias("shapes"), F.sum("labelled").alias("labelled"))
+        named = named.drop("shapes", "labelled").join(below, ["host", "prefix", "name"])
+        after = paths.withColumn("seg", seg).join(named, ["host", "prefix", "seg"])
+        after = after.withColumn("prefix", F.concat_ws("/", "prefix", "name")).drop("seg", "name", "open")
+        level += 1
+        levels.append(materialise(_settled(after, level).select("host", "shape", "n", "blocked", "allowed", "prefix", "open"), "url-level"))
+    paths = materialise(_union(done), "url-paths")
+    discard(*levels)
     leaf = paths.groupBy("host", "prefix").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
     leaf = leaf.withColumn("purity", (F.col("b") + ALPHA * prior) / (F.col("b") + F.col("a") + ALPHA))
     return paths.join(leaf, ["host", "prefix"]).select("host", "shape", F.concat("host", "prefix").alias("template"), "purity")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def judge(pages: DataFrame, id_: str = "page_id", url: str = "url") -> DataFrame:
     """host, path, rule, verdict, template and purity of every URL."""
     host, path = parsed(url)

@@ -112,6 +112,9 @@ def test_importance(spark, docs, labels, empty):
     for r in got:
         u = (((lot[r["doc_id"]] % (1 << 64)) >> 11) + 0.5) / (1 << 53)
         assert np.isclose(r["gumbel_key"], r["log_weight"] - math.log(-math.log(u)))
+    nameless = spark.createDataFrame([(None, f"one two three {t}") for t in "abcdefghijkl"] + [(None, "one two three a")], "doc_id long, text string")
+    keys = [r["gumbel_key"] for r in importance.resample(nameless, labels).collect()]
+    assert len(set(keys)) == 12 and len(keys) == 13  # texts without ids draw apart, equal rows alike
     assert importance.resample(empty, labels).count() == 0
     assert importance.resample(docs, labels.limit(0)).where("not selected").count() == 0
 
@@ -670,6 +673,19 @@ def test_template_tree_against_plain_loops(spark):
     assert any("~" in t for t, _ in got.values())
 
 
+def test_one_long_path_takes_no_pass_for_each_segment(spark, monkeypatch):
+    monkeypatch.setattr(urls, "PARTS", 2)
+    trap = ["", *("abc"[i % 3] for i in range(2000))]
+    made = [("h", trap, "block"), ("h", trap[:1], "allow"), ("h", ["", "b", "c"], "allow"), ("h", ["", "b"], "block"), ("g", trap[:900], None), ("g", trap[:800], None), ("e", ["", "a", "b"], "block"), ("e", ["", "a", "c"], "allow"), ("e", ["", "a", "c", "d"], None)]
+    rows = spark.createDataFrame(made, "host string, shape array<string>, verdict string")
+    written = []
+    monkeypatch.setattr(urls, "materialise", lambda df, tag, real=urls.materialise: written.append(tag) or real(df, tag))
+    want = brute_tree([(r["host"], tuple(r["shape"]), r["verdict"]) for r in rows.collect()])
+    got = {(r["host"], tuple(r["shape"])): (r["template"], r["purity"]) for r in urls.template_tree(rows).collect()}
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1]) for k in want)
+    assert written.count("url-level") < 6
+
+
 # -- 9
 
 
