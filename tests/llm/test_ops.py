@@ -112,9 +112,6 @@ def test_importance(spark, docs, labels, empty):
     for r in got:
         u = (((lot[r["doc_id"]] % (1 << 64)) >> 11) + 0.5) / (1 << 53)
         assert np.isclose(r["gumbel_key"], r["log_weight"] - math.log(-math.log(u)))
-    nameless = spark.createDataFrame([(None, f"one two three {t}") for t in "abcdefghijkl"] + [(None, "one two three a")], "doc_id long, text string")
-    keys = [r["gumbel_key"] for r in importance.resample(nameless, labels).collect()]
-    assert len(set(keys)) == 12 and len(keys) == 13  # texts without ids draw apart, equal rows alike
     assert importance.resample(empty, labels).count() == 0
     assert importance.resample(docs, labels.limit(0)).where("not selected").count() == 0
 
