@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import term_overlap
+from ..session import materialise
 from .lexical import DIGITS
+from .scoring import BATCH, Loader, score_pairs, times, token_similarity
 
 #: Fixed values. Named arms: model, passages scored, tokens read, whole-number weights. Models are plugged in by name.
 ARMS = {
@@ -36,8 +38,26 @@ def rerank(runs: DataFrame, queries: DataFrame, texts: DataFrame, k: int, scorer
     """``scorer`` (an expression of query and passage, a pandas UDF included) orders the
     first ``k``. Passages without text go to the front of the tail; tail scores
     fall by one from below the lowest head score, so scores stay monotone."""
-    head = runs.where(F.col("rank") <= k).join(queries.select("qid", "query"), "qid").join(texts.select("id", "text"), "id", "left")
+    head = _head(runs, queries, texts, k)
     scored = head.select("qid", "id", "rank", F.when(F.col("text").isNotNull(), F.round(scorer(F.col("query"), F.col("text")).cast("double"), DIGITS)).alias("new"))
+    return _placed(runs, scored, k)
+
+
+def rerank_batched(runs: DataFrame, queries: DataFrame, texts: DataFrame, k: int, load: Loader = token_similarity, batch: int = BATCH, max_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(run, times): as ``rerank``, by a loaded scorer that takes a batch of pairs at a time.
+    ``times`` has the passages and the scorer's milliseconds of every query. Pairs are scored
+    once and kept."""
+    head = _head(runs, queries, texts, k)
+    scored = materialise(score_pairs(head, load, batch, max_tokens), "scored")
+    new = runs.where(F.col("rank") <= k).join(scored.select("qid", "id", F.round(relevance(F.col("logits")), DIGITS).alias("new")), ["qid", "id"], "left")
+    return _placed(runs, new.select("qid", "id", "rank", "new"), k), times(scored)
+
+
+def _head(runs: DataFrame, queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    return runs.where(F.col("rank") <= k).join(queries.select("qid", "query"), "qid").join(texts.select("id", "text"), "id", "left")
+
+
+def _placed(runs: DataFrame, scored: DataFrame, k: int) -> DataFrame:
     rest = runs.where(F.col("rank") > k).select("qid", "id", "rank", F.lit(None).cast("double").alias("new"))
     both = scored.unionByName(rest)
     order = Window.partitionBy("qid").orderBy(F.desc_nulls_last("new"), "rank", "id")

@@ -361,6 +361,34 @@ def rerank_head_tail(spark: SparkSession, sf: str) -> DataFrame:
     return rerank.rerank(runs, asked, docs, _RERANK_K).drop("run")
 
 
+_SCORED = "WITH " + _FIXED.format(stride=512) + ", texts AS (SELECT id, array_to_string(c, ' ') AS text FROM ch), " + _bm25("texts") + rf""",
+hw AS (SELECT qid, id FROM bm WHERE rank <= {_RERANK_K}),
+qw AS (SELECT qid, w, count(*) AS n FROM (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '\w\w+')) AS w FROM benchmark) GROUP BY ALL),
+pw AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '\w\w+')) AS w FROM texts WHERE id IN (SELECT id FROM hw)),
+ms AS (SELECT qid, id, qw.w, n, max(jaccard(qw.w, pw.w)) AS s FROM hw JOIN qw USING (qid) JOIN pw USING (id) GROUP BY ALL),
+sc AS (SELECT qid, id, round((sum(n * floor(s * 1000000)::BIGINT) // sum(n)) / 1000000, 6) AS new FROM ms GROUP BY ALL)"""
+
+
+def _reranked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """BM25 over chunks, the head by the similarity of words; chunks are no longer than a scorer reads."""
+    chunks, asked = _chunks(spark, sf), _questions(spark, sf)
+    runs = materialise(lexical.bm25(chunks, asked, DEPTH, keep_zero=False), "run")
+    return rerank.rerank_batched(runs, asked, chunks, _RERANK_K)
+
+
+@query(_SCORED + """,
+pl AS (SELECT qid, id, new, row_number() OVER (PARTITION BY qid ORDER BY new DESC NULLS LAST, rank, id)::INT AS rank, min(new) OVER (PARTITION BY qid) AS lo, count(new) OVER (PARTITION BY qid) AS n FROM bm LEFT JOIN sc USING (qid, id))
+SELECT qid, id, coalesce(new, coalesce(lo, 0) - (rank - n)) AS score, rank FROM pl""")
+def rerank_token_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    return _reranked(spark, sf)[0].drop("run")
+
+
+@query(_SCORED + " SELECT qid, count(*) AS passages, true AS timed FROM hw GROUP BY qid")
+def rerank_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages that the scorer read for each question, and whether its time was taken."""
+    return _reranked(spark, sf)[1].select("qid", "passages", (F.col("ms") > 0).alias("timed"))
+
+
 @query("WITH " + _FIXED.format(stride=512) + ", texts AS (SELECT id, array_to_string(c, ' ') AS text FROM ch), " + _bm25("texts") + f""",
 g AS (SELECT qid, regexp_replace(id, ':[^:]*$', '') AS key, min(rank)::INT AS first_rank, list(id ORDER BY rank, id) AS chunk_ids FROM bm GROUP BY ALL)
 SELECT qid, key, first_rank, row_number() OVER (PARTITION BY qid ORDER BY first_rank, key)::INT AS rank, chunk_ids FROM g QUALIFY rank <= {TOP}""")
