@@ -216,7 +216,7 @@ sa AS (SELECT *, coalesce(least(len(a), len(b)) > 0 AND len(list_intersect(a, b)
 
 def _sides(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("doc_id")
-    other = F.when(n % 3 == 0, F.upper(F.substring("text", 1, 40))).when(n % 3 == 1, F.substring("text", 41, 60))
+    other = F.when(n % 3 == 0, text.plain_upper(F.substring("text", 1, 40))).when(n % 3 == 1, F.substring("text", 41, 60))
     return table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("local"), other.alias("ceiling"))
 
 
