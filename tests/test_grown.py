@@ -1,5 +1,7 @@
 """What came to light on larger tables: letters, sentences, and searches cut into several tiles."""
 
+from pyspark.sql import functions as F
+
 from postquill.functions import text
 from postquill.plans.registry import QUERIES
 
@@ -14,3 +16,10 @@ def test_arms_with_sharp_s(spark, tmp_path):
     spark.createDataFrame([(3, "engeßge keitßt")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert QUERIES["same_commitment_pairs"](spark, str(tmp_path)).first()["same"]
     assert QUERIES["compare_arms"](spark, str(tmp_path)).first()["both"] == 1
+
+
+def test_sentences_keep_their_digits(spark):
+    """The second sentence is number 1, the third number 2; neither loses that digit."""
+    row = spark.sql("SELECT 'First it was agreed. 1224 were sent out on Friday 1. 22 came back on the next Friday 2' AS t")
+    assert row.select(text.uncited_claims("t")).first()[0] == ["1224 were sent out on Friday 1.", "22 came back on the next Friday 2"]
+    assert row.select(F.size(text.split_claims("t"))).first()[0] == 3
