@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stemming import stemmed_texts
+from ..session import materialise
 from . import dense, fusion, lexical
 
 Embed = Callable[[DataFrame, str, str], DataFrame]
@@ -27,7 +28,7 @@ def stemmed_run(chunks: DataFrame, questions: DataFrame, depth: int, tokens: Cal
 def dense_run(chunks: DataFrame, questions: DataFrame, depth: int, embed: Embed = dense.hashed_embedding) -> DataFrame:
     """``embed`` maps (rows, key, text column) to (key, embedding); any encoder fits."""
     asked = embed(questions, "qid", "query").select("qid", F.col("embedding").alias("vector"))
-    return dense.search_batch(embed(chunks, "id", "text"), asked, depth)
+    return dense.search_batch(materialise(embed(chunks, "id", "text"), "vectors"), asked, depth)  # counted, then searched
 
 
 def _hybrid(fuse) -> Callable:

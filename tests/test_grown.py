@@ -23,3 +23,37 @@ def test_sentences_keep_their_digits(spark):
     row = spark.sql("SELECT 'First it was agreed. 1224 were sent out on Friday 1. 22 came back on the next Friday 2' AS t")
     assert row.select(text.uncited_claims("t")).first()[0] == ["1224 were sent out on Friday 1.", "22 came back on the next Friday 2"]
     assert row.select(F.size(text.split_claims("t"))).first()[0] == 3
+
+
+def test_search_in_several_tiles(spark):
+    """Rows with equal and almost equal scores, cut into tiles of few queries and rows."""
+    from postquill.operators import dense, tiles
+
+    rows = [(i, [float(i * 7 % 5), (i % 3) * 1e-7]) for i in range(300)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = spark.createDataFrame([(i, [1.0, float(i % 4)]) for i in range(9)], "qid int, vector array<double>")
+    want = sorted((i, *x) for i in range(9) for x in sorted(((-round(a + b * (i % 4), 6), n) for n, (a, b) in rows))[:20])
+    held, tiles.HELD = tiles.HELD, 50
+    try:
+        got = dense.search_batch(v, q, 20, query_batch=4, block_rows=40)
+        assert sorted((r["qid"], -r["score"], r["id"]) for r in got.collect()) == want
+    finally:
+        tiles.HELD = held
+
+
+def test_a_tile_holds_no_more_than_its_bounds():
+    """Scores that grow row by row are the worst case: each row enters; what is kept stays at k a query."""
+    import numpy as np
+
+    from postquill.operators import tiles
+
+    best = tiles._Best(3, 5, -np.inf)
+    held, tiles.HELD = tiles.HELD, 100
+    try:
+        for a in range(0, 4000, 10):
+            best.add(np.arange(a, a + 10), np.arange(a, a + 10)[:, None] // 2 * np.ones(3))
+            assert sum(len(x[0]) for x in best.kept) <= 200
+    finally:
+        tiles.HELD = held
+    query, score, row = best.settle()
+    assert sorted(row[query == 1].tolist())[-4:] == [3996, 3997, 3998, 3999]
