@@ -57,3 +57,14 @@ def test_a_tile_holds_no_more_than_its_bounds():
         tiles.HELD = held
     query, score, row = best.settle()
     assert sorted(row[query == 1].tolist())[-4:] == [3996, 3997, 3998, 3999]
+
+
+def test_relevant_vectors_are_counted_not_paired(spark, tmp_path):
+    """One label for all rows: no join may make their pairs."""
+    spark.range(400).selectExpr("id AS vec_id", "array(float(id % 7), float(id % 5)) AS embedding", "1 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    from postquill.plans.retrieval import _vector_eval
+
+    run, _, relevant, counts = _vector_eval(spark, str(tmp_path))
+    assert relevant.count() == run.count() <= 20 * 100
+    assert {r["n_relevant"] for r in counts.collect()} == {399}
+    assert {r["n_relevant"] for r in QUERIES["per_query_found_at"](spark, str(tmp_path)).collect()} == {399}
