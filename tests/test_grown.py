@@ -68,3 +68,35 @@ def test_relevant_vectors_are_counted_not_paired(spark, tmp_path):
     assert relevant.count() == run.count() <= 20 * 100
     assert {r["n_relevant"] for r in counts.collect()} == {399}
     assert {r["n_relevant"] for r in QUERIES["per_query_found_at"](spark, str(tmp_path)).collect()} == {399}
+
+
+def test_bm25_makes_no_pairs_in_a_join(spark):
+    """Questions meet chunks in tiles: the plan that ranks them joins and adds up nothing."""
+    from postquill.operators import lexical
+
+    chunks = spark.range(50).selectExpr("id", "concat('word', id % 7, ' common text') AS text")
+    asked = spark.createDataFrame([(1, "word3 common"), (2, "nothing")], "qid int, query string")
+    out = lexical.bm25(chunks, asked, 3, keep_zero=False)
+    assert [(r["qid"], r["id"]) for r in out.orderBy("rank").collect()] == [(1, 3), (1, 10), (1, 17)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_bm25_with_ids_that_are_there_twice(spark):
+    """Rows of one id and length are one chunk of both words, others of that id add up; so is a null id's."""
+    import math
+
+    from postquill.operators import lexical, tiles
+
+    rows = [(1, "red red cat"), (1, "red dog owl"), (1, "red"), (2, "red cat"), (3, "owl"), (None, "cat"), (4, None)]
+    asked = spark.createDataFrame([(i, "red cat red") for i in range(5)], "qid int, query string")
+    n, avgdl = 7, 11 / 7
+    idf = {"red": math.log(1 + (n - 3 + 0.5) / 3.5), "cat": math.log(1 + (n - 3 + 0.5) / 3.5)}
+    part = lambda w, tf, dl: (2 if w == "red" else 1) * idf[w] * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))
+    want = {1: part("red", 3, 3) + part("cat", 1, 3) + part("red", 1, 1), 2: part("red", 1, 2) + part("cat", 1, 2), None: part("cat", 1, 1)}
+    held, tiles.HELD = tiles.HELD, 3
+    try:
+        got = lexical.bm25(spark.createDataFrame(rows, "id int, text string"), asked, 9, keep_zero=False).collect()
+    finally:
+        tiles.HELD = held
+    assert {(r["qid"], r["id"]): r["score"] for r in got} == {(q, i): round(s, 6) for q in range(5) for i, s in want.items()}
