@@ -9,10 +9,11 @@ are those of the living: counts of all segments less those of the tombstones, jo
 Postings lie in blocks, one for a term and a stripe of documents; the documents of a stripe
 have like lengths. Beside a block stand its number of rows, its largest term frequency and its
 shortest length, which bound what any of its rows can add to a score, whatever the statistics
-are by then. A search reads these heads and scores the stripes with the largest bounds for each
-query. Of the others those stay whose bound reaches the ``k``-th score found. There the terms
-that could reach it name the candidates; blocks of the weaker terms are read only in stripes
-of candidates that these could lift so far. The rest cannot enter the run and is not read.
+are by then. A search adds up these heads by stripe, in tiles of stripes and questions, and
+scores the stripes with the largest bounds for each question. The ``k``-th score found is what
+a row must reach: a stripe stays whose bound reaches that of some question, and its living rows
+are put together and scored, in tiles again. The others cannot enter a run and are not read.
+No table holds pairs of a question and a block or a document.
 
 A manifest that is replaced as a whole names what is in force, so a reader sees a change
 entirely or not at all, and a writer that dies leaves files that nobody reads.
@@ -24,15 +25,18 @@ an unknown id does nothing; a null text is empty; an empty text is a row of leng
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from ..sources import versions
 from ..sources.tables import read_if_there
-from . import lexical
+from . import lexical, tiles
 
 FAN = 4
 #: Documents of a stripe, about.
@@ -168,39 +172,122 @@ def search(spark: SparkSession, root: str, queries: DataFrame, k: int = 100, k1:
     df = heads.groupBy("term").agg(F.sum("n").alias("df")).join(lost, "term", "left").select("term", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df")).where("df > 0")
     weight = asked.join(df, "term").select("qid", "term", "qtf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = materialise(weight, "segment-weights")
-    share = lambda tf, dl: F.col("qtf") * F.col("idf") * F.col(tf) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / F.lit(max(avgdl, 1e-9))))
-    # what a block can add to a score at most, and what all blocks of a stripe can
-    parts = materialise(heads.join(weight, "term").select("qid", "segment", "stripe", "term", "n", share("tf_max", "dl_min").alias("most")), "segment-parts")
-    bound = parts.groupBy("qid", "segment", "stripe").agg(F.sum("most").alias("most"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("most"), "segment", "stripe"))
-    bound = materialise(bound.withColumn("place", place), "segment-bounds")
-    key = ["qid", "segment", "stripe"]
-
-    def contributions(blocks: DataFrame) -> DataFrame:
-        """(qid, segment, stripe, id, part) of the rows of blocks (qid, segment, stripe, term)."""
-        named = ["segment", "stripe", "term"]
-        read = postings.join(blocks.select(*named).distinct(), named, "left_semi")
-        held = read.select(*named, F.explode("items").alias("x")).select(*named, "x.*")
-        held = held.join(dead.select(F.col("in_segment").alias("segment"), "id"), ["segment", "id"], "left_anti")
-        return held.join(blocks.select("qid", *named), named).join(weight, ["qid", "term"]).select(*key, "id", share("tf", "dl").alias("part"))
-
+    share = lambda tf, dl: F.col(tf) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / F.lit(max(avgdl, 1e-9))))
+    of = F.concat_ws(":", "segment", F.col("stripe").cast("string"))
+    # what a block can add to a score at most, for a weight of 1: a row for each stripe
+    lifts = F.sort_array(F.collect_list(F.struct("term", share("tf_max", "dl_min").alias("most"), "n")))
+    stripes = materialise(heads.join(df.select("term"), "term", "left_semi").groupBy(of.alias("id")).agg(lifts.alias("s")), "segment-stripes")
+    many = stripes.count()
+    told = weight.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("w")))).alias("s"))
+    told = materialise(told, "segment-asked-weights")
+    n_asked = told.count()
+
+    def shaped(rows: DataFrame, key: str, *values: Column) -> DataFrame:
+        return rows.select(key, F.lit(0).alias("size"), F.array_join("s.term", lexical._SEP).alias("words"), F.concat(*values).alias("values"))
+
+    def scored(rows: DataFrame, n_rows: int, best: int) -> DataFrame:
+        return tiles.search(shaped(rows, "id", F.col("s.most")), n_rows, shaped(told, "qid", F.col("s.w")), n_asked, best, _lifted, lexical.PART_ROWS, lexical.QUERY_GROUP, floor=0.0)
+
+    def living(blocks: DataFrame) -> DataFrame:
+        """(stripe, id, term, most) of the living rows of blocks (segment, stripe, term, items, of)."""
+        held = blocks.select("segment", "of", "term", F.explode("items").alias("x")).select("segment", "of", "term", "x.*")
+        held = held.join(F.broadcast(gone_ids) if gone["n"] <= PUSHED else gone_ids, ["segment", "id"], "left_anti")
+        return held.select("of", "id", "term", share("tf", "dl").alias("most"))
+
+    gone_ids = dead.select(F.col("in_segment").alias("segment"), "id")
     # the stripes of the largest bounds first: their scores tell what a row must reach
-    early = materialise(parts.join(bound.where(F.col("place") <= first).select(*key), key, "left_semi"), "segment-early")
-    begun = materialise(contributions(early).groupBy("qid", "id").agg(F.sum("part").alias("score")), "segment-begun")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    early = materialise(scored(stripes, many, first).withColumn("place", place).where(F.col("place") <= first).select("qid", F.col("id").alias("of"), "score"), "segment-early")
+    blocks = postings.withColumn("of", of)
+    begun = living(blocks.join(early.select("of").distinct(), "of", "left_semi")).join(early.select("qid", "of"), "of").join(weight, ["qid", "term"])
+    begun = begun.groupBy("qid", "id").agg(F.sum(F.col("most") * F.col("qtf") * F.col("idf")).alias("score"))
     edge = lexical.ranked(begun, k, "bm25").where(F.col("rank") == k).select("qid", (F.col("score") - _SLACK).alias("edge"))
-    open_ = bound.where(F.col("place") > first).join(edge, "qid", "left").withColumn("edge", F.coalesce("edge", F.lit(0.0))).where(F.col("most") >= F.col("edge"))
-    # terms that even together cannot lift a row to the edge name no candidates
-    sums = F.sum("top").over(Window.partitionBy("qid").orderBy("top", "term").rowsBetween(Window.unboundedPreceding, 0))
-    tops = parts.groupBy("qid", "term").agg(F.max("most").alias("top")).withColumn("sum", sums).join(edge, "qid", "left")
-    tops = tops.select("qid", "term", (F.col("sum") < F.coalesce("edge", F.lit(0.0))).alias("weak"))
-    late = materialise(parts.join(open_.select(*key, "edge"), key).join(tops, ["qid", "term"]), "segment-late")
-    rest = late.where("weak").groupBy(*key).agg(F.sum("most").alias("rest"))
-    strong = contributions(late.where("not weak")).groupBy(*key, "id").agg(F.sum("part").alias("score"))
-    hopeful = strong.join(rest, key, "left").join(edge, "qid", "left").where(F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("edge", F.lit(0.0)))
-    hopeful = materialise(hopeful.select(*key, "id", "score"), "segment-hopeful")
-    weak = materialise(late.where("weak").join(hopeful.select(*key).distinct(), key, "left_semi"), "segment-weak")
-    added = contributions(weak).join(hopeful.select(*key, "id"), [*key, "id"], "left_semi").select("qid", "id", "part")
-    whole = added.unionByName(hopeful.select("qid", "id", F.col("score").alias("part"))).groupBy("qid", "id").agg(F.sum("part").alias("score"))
-    run = lexical.ranked(begun.unionByName(whole), k, "bm25")
-    read = early.select("qid", "n").unionByName(late.where("not weak").select("qid", "n")).unionByName(weak.select("qid", "n")).groupBy("qid").agg(F.sum("n").alias("rows_read"))
-    return run, parts.groupBy("qid").agg(F.sum("n").alias("rows_all")).join(read, "qid")
+    told = materialise(told.join(edge, "qid", "left").withColumn("edge", F.coalesce("edge", F.lit(0.0))), "segment-told")
+    pairs = tiles.dealt(shaped(stripes, "id", F.col("s.most"), F.col("s.n").cast("array<double>")), many, shaped(told, "qid", F.col("s.w"), F.array("edge")), n_asked, lexical.PART_ROWS, lexical.QUERY_GROUP)
+    opened = materialise(pairs.mapInArrow(_opened, f"qid {told.schema['qid'].dataType.simpleString()}, of string, rows_read long, rows_all long"), "segment-open")
+    open_ = opened.where("of IS NOT NULL").select("of").distinct()
+    rows_ = living(blocks.join(open_, "of", "left_semi")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "most"))).alias("s"))  # an id lives once
+    run = lexical.ranked(scored(rows_, max(n, 0), k), k, "bm25")
+    # read early, but not open to the question by then
+    shut = early.join(told.select("qid", "edge"), "qid").where(F.col("score") < F.col("edge"))
+    shut = shut.join(heads.withColumn("of", of).select("of", "term", "n"), "of").join(weight, ["qid", "term"]).groupBy("qid").agg(F.sum("n").alias("rows_read"))
+    reads = opened.where("of IS NULL").select("qid", "rows_read", "rows_all").unionByName(shut.select("qid", "rows_read", F.lit(0).cast("long").alias("rows_all")))
+    return run, reads.groupBy("qid").agg(F.sum("rows_all").alias("rows_all"), F.sum("rows_read").alias("rows_read"))
+
+
+def _lifted(words: pa.Array, values: pa.Array) -> Callable[[pa.Array, pa.Array], tiles.Scores]:
+    """Sums of a row's values, one a word, by the weights that questions give to the words."""
+    weights, known, words_of = _matrix(words, values.flatten().to_numpy())
+
+    def scores(words: pa.Array, values: pa.Array) -> tiles.Scores:
+        row, col, at = words_of(words)
+        most = values.flatten().to_numpy()[at]
+        numbers, begin = np.unique(row, return_index=True)
+        begin, step, a = np.r_[begin, len(row)], max(1, tiles.HELD // weights.shape[1]), 0
+        while a < len(numbers):
+            b = max(a + 1, int(np.searchsorted(begin, begin[a] + step, "right")) - 1)
+            these = slice(begin[a], begin[b])
+            yield numbers[a:b], np.add.reduceat(weights[col[these]] * most[these, None], begin[a:b] - begin[a])
+            a = b
+
+    return scores
+
+
+def _matrix(words: pa.Array, values: np.ndarray) -> tuple[np.ndarray, pa.Array, Callable]:
+    """Weights (words x questions), the words, and what finds them in rows: (row, word, position)."""
+    lists = pc.split_pattern(words, lexical._SEP)
+    known = pc.unique(lists.flatten())
+    weights = np.zeros((len(known), len(lists)))
+    weights[pc.index_in(lists.flatten(), value_set=known).to_numpy(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())] = values
+
+    def words_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(words, lexical._SEP)
+        col = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy()
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        at = np.flatnonzero(col >= 0)
+        return row[at], col[at], at
+
+    return weights, known, words_of
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stripes whose bound reaches the edge of some question of the tile, then for each question
+    the rows of its terms in the stripes that are open to it, and in all."""
+    names, asked, weights = ["qid", "of", "rows_read", "rows_all"], [], None
+    for batch in batches:
+        mine = batch.filter(pc.equal(batch.column(2), 0))
+        if len(mine):
+            asked.append(mine)
+        stripes = batch.filter(pc.equal(batch.column(2), 1))
+        if not asked or not len(stripes):
+            continue
+        if weights is None:
+            told = pa.Table.from_batches(asked).combine_chunks()
+            qid, words, values = told.column("qid").combine_chunks(), told.column("words").combine_chunks(), told.column("values").combine_chunks()
+            ends = np.cumsum(pc.list_value_length(values).to_numpy()) - 1  # the edge is the last of a question's values
+            flat = values.flatten().to_numpy()
+            edge = flat[ends]
+            weights, _, words_of = _matrix(words, np.delete(flat, ends))
+            read, every = np.zeros(len(qid)), np.zeros(len(qid))
+        for a in range(0, len(stripes), 256):
+            some = stripes.slice(a, 256)
+            row, col, at = words_of(some.column(5))
+            values = some.column(6)
+            size = pc.list_value_length(values).to_numpy()  # a stripe's lifts, then as many numbers of rows
+            half = size // 2
+            begin = np.cumsum(size) - size
+            at = at - (np.cumsum(half) - half)[row]
+            flat = values.flatten().to_numpy()
+            lift, n = flat[begin[row] + at], flat[begin[row] + half[row] + at]
+            bound, rows = np.zeros((len(some), len(edge))), np.zeros((len(some), len(edge)))
+            for r in np.unique(row):
+                here = slice(*np.searchsorted(row, [r, r + 1]))
+                bound[r], rows[r] = lift[here] @ weights[col[here]], n[here] @ (weights[col[here]] > 0)
+            reach = (bound >= edge) & (rows > 0)
+            read, every = read + (rows * reach).sum(axis=0), every + rows.sum(axis=0)
+            of = some.column(4).filter(pa.array(reach.any(axis=1)))
+            none = pa.nulls(len(of), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(of), qid.type), of, none, none], names=names)
+    if weights is not None:
+        met = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([qid.take(pa.array(met)), pa.nulls(len(met), pa.string()), pa.array(read[met].astype(np.int64)), pa.array(every[met].astype(np.int64))], names=names)
