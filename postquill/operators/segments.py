@@ -49,7 +49,7 @@ _SLACK = 2e-6
 
 MANIFEST = "kind string, name string, n long, dl long"
 POSTINGS = "term string, stripe long, n int, tf_max int, dl_min int, items array<struct<id: string, tf: int, dl: int>>, segment string"
-DOCS = "id string, dl int, terms array<string>, segment string"
+DOCS = "id string, dl int, terms array<string>, tfs array<int>, segment string"
 DEAD = "in_segment string, id string, dl int, terms array<string>, batch string"
 
 
@@ -74,24 +74,42 @@ def _state(spark: SparkSession, root: str) -> tuple[list, list[str], DataFrame]:
 
 
 def _striped(docs: DataFrame, stripe: int) -> DataFrame:
-    """(id, stripe): lengths of a class of an eighth of an octave, dealt by the hash of the id."""
+    """docs with a stripe: lengths of a class of an eighth of an octave, dealt by the hash of the id."""
     band = F.floor(F.log2(F.col("dl") + F.lit(1.0)) * 8).cast("long")
     sizes = docs.groupBy(band.alias("__band")).agg(F.ceil(F.count(F.lit(1)) / F.lit(stripe)).alias("__many"))
     first = F.coalesce(F.sum("__many").over(Window.partitionBy(F.lit(1)).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.withColumn("__first", first)  # a row for each class of lengths, of which there are a few hundred
-    return docs.withColumn("__b", band).join(sizes, F.col("__b") == F.col("__band")).select(F.col("id").alias("__id"), (F.col("__first") + F.pmod(F.xxhash64("id"), F.col("__many"))).cast("long").alias("stripe"))
+    placed = docs.withColumn("__band", band).join(F.broadcast(sizes), "__band")
+    return placed.withColumn("stripe", (F.col("__first") + F.pmod(F.xxhash64("id"), F.col("__many"))).cast("long")).drop("__band", "__first", "__many")
 
 
-def _write(docs: DataFrame, postings: DataFrame, root: str, stripe: int) -> tuple[str, int, int]:
-    """A segment from docs (id, dl, terms) and postings (term, id, tf, dl); its name, rows and length."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, dl, terms, tfs) from (id, tokens): a row's distinct terms and how often it has each."""
+    for batch in batches:
+        lists = batch.column(1)
+        size = pc.list_value_length(lists).to_numpy()
+        words = lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(batch)), size)
+        many = max(len(words.dictionary), 1)
+        cell, tf = np.unique(row * many + words.indices.to_numpy(), return_counts=True)
+        row, term = np.divmod(cell, many)
+        ends = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32))
+        terms, tfs = pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(term))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int32)), terms, tfs], names=["id", "dl", "terms", "tfs"])
+
+
+def _write(docs: DataFrame, root: str, stripe: int) -> tuple[str, int, int]:
+    """A segment from docs (id, dl, terms, tfs); its name, rows and length. Postings are dealt
+    by range once and gathered there."""
     name = uuid.uuid4().hex
     docs.write.option("compression", "zstd").parquet(f"{root}/docs/segment={name}")
-    kept = docs.sparkSession.read.parquet(f"{root}/docs/segment={name}").select("id", "dl")
-    placed = postings.join(_striped(kept, stripe), F.col("id") == F.col("__id"))
-    blocks = placed.groupBy("term", "stripe").agg(
+    kept = docs.sparkSession.read.schema("id string, dl int, terms array<string>, tfs array<int>").parquet(f"{root}/docs/segment={name}")
+    pair = F.explode(F.arrays_zip("terms", "tfs")).alias("p")
+    placed = _striped(kept, stripe).select("id", "dl", "stripe", pair).select(F.col("p.terms").alias("term"), "stripe", "id", F.col("p.tfs").alias("tf"), "dl")
+    blocks = placed.repartitionByRange("term", "stripe").sortWithinPartitions("term", "stripe").groupBy("term", "stripe").agg(
         F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("tf_max"), F.min("dl").alias("dl_min"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("items"),
     )  # a block has at most about a stripe's rows
-    blocks.repartitionByRange("term", "stripe").sortWithinPartitions("term", "stripe").write.option("compression", "zstd").parquet(f"{root}/postings/segment={name}")
+    blocks.sortWithinPartitions("term", "stripe").write.option("compression", "zstd").parquet(f"{root}/postings/segment={name}")
     n, dl = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     return name, n, dl
 
@@ -103,11 +121,10 @@ def apply(changes: DataFrame, root: str, fan: int = FAN, stripe: int = STRIPE, t
     rows, live, dead = _state(spark, root)
     kept = changes.groupBy(F.col("id").cast("string").alias("id")).agg(F.max(F.struct(F.coalesce("gone", F.lit(False)).alias("gone"), F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
     kept = materialise(kept.select("id", "last.*"), "segment-change")
-    texts = kept.where("not gone").select("id", tokens(F.col("text")).alias("__t")).withColumn("dl", F.size("__t"))
+    texts = kept.where("not gone").select("id", tokens(F.col("text")).alias("tokens"))
     new = []
     if not texts.isEmpty():
-        counted = texts.select("id", "dl", F.explode("__t").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        name, n, dl = _write(texts.select("id", "dl", F.array_distinct("__t").alias("terms")), counted, root, stripe)
+        name, n, dl = _write(texts.mapInArrow(_counted, "id string, dl int, terms array<string>, tfs array<int>"), root, stripe)
         new.append(("segment", name, n, dl))
     if live:
         docs = _read(spark, root, "docs", DOCS, "segment", live)
@@ -145,8 +162,7 @@ def merge(spark: SparkSession, root: str, fan: int = FAN, stripe: int = STRIPE)
         return False
     gone = dead.select(F.col("in_segment").alias("segment"), "id")
     docs = _read(spark, root, "docs", DOCS, "segment", full).join(gone, ["segment", "id"], "left_anti")
-    held = _read(spark, root, "postings", POSTINGS, "segment", full).select("segment", "term", F.explode("items").alias("x")).select("segment", "term", "x.*")
-    name, n, dl = _write(docs.select("id", "dl", "terms"), held.join(gone, ["segment", "id"], "left_anti").drop("segment"), root, stripe)
+    name, n, dl = _write(docs.select("id", "dl", "terms", "tfs"), root, stripe)
     left = [tuple(r) for r in rows if r["name"] not in full] + ([("segment", name, n, dl)] if n else [])
     here = {r[0] for r in dead.where(~F.col("in_segment").isin(full)).select("batch").distinct().collect()}  # batches are at most as many as changes
     _publish(spark, root, [r for r in left if r[0] == "segment" or r[1] in here])

@@ -100,3 +100,28 @@ def test_bm25_with_ids_that_are_there_twice(spark):
     finally:
         tiles.HELD = held
     assert {(r["qid"], r["id"]): r["score"] for r in got} == {(q, i): round(s, 6) for q in range(5) for i, s in want.items()}
+
+
+def test_segments_count_words_where_the_text_is():
+    """Terms of a row with their numbers, in a batch with an empty row; no row leaves its place."""
+    import pyarrow as pa
+
+    from postquill.operators import segments
+
+    rows = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array([["red", "cat", "red"], [], ["owl", "cat"]], pa.list_(pa.string()))], names=["id", "tokens"])
+    got = [(r["id"], r["dl"], dict(zip(r["terms"], r["tfs"]))) for b in segments._counted(iter([rows])) for r in b.to_pylist()]
+    assert got == [("a", 3, {"red": 2, "cat": 1}), ("b", 0, {}), ("c", 2, {"owl": 1, "cat": 1})]
+
+
+def test_bounds_open_stripes_for_their_questions():
+    """Two questions, two stripes: a stripe is open to the question whose edge its bound reaches."""
+    import pyarrow as pa
+
+    from postquill.operators import segments
+
+    names = ["tile", "size", "kind", "qid", "id", "words", "values"]
+    cols = [[0] * 4, [0] * 4, [0, 0, 1, 1], [1, 2, None, None], [None, None, "s:0", "s:1"], ["cat\x1fred", "cat", "cat", "cat\x1fowl\x1fred"], [[1.0, 2.0, 1.5], [1.0, 9.0], [0.5, 7.0], [0.5, 0.1, 0.9, 3.0, 8.0, 4.0]]]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+    got = [tuple(r.values()) for b in segments._opened(iter([batch])) for r in b.to_pylist()]
+    assert got == [(None, "s:1", None, None), (1, None, 7, 14), (2, None, 0, 10)]
