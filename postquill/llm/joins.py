@@ -9,14 +9,17 @@ when each of the others held all that its smaller side has.
 Candidates share one of the first ``n - ceil(0.85 n) + 1`` shingles of the order, as linked
 sets of n must, have sizes that allow a link, and differ in no more bits than they may
 differ in shingles: each shingle flips one of ``BITS`` bits of its document's parity sketch,
-so two sketches never differ in more bits than the sets in shingles. The three tests lose
-no link.
+so two sketches never differ in more bits than the sets in shingles. Sets of more shingles
+than ``BITS`` fill such a sketch; their pairs are tested again by sketches that grow with
+the set, up to ``WIDE`` bits. The tests lose no link.
 
 Equal sets are one node. In the list of a shingle, neighbours of like sizes are compared
 first, others in each list; what they link are components. Where a list still has several, its members outside
 the largest component meet all its members, in blocks of ``BLOCK``, by their sketches: a
-pair leaves a block only if it could join two components. So a list of copies writes no
-pairs, and a list of any length is many tasks.
+pair leaves a block only if it could join two components. Of these the closest pair of each
+two components is counted first, and all pairs only of components that are still apart. So
+a list of copies writes no pairs, a group of near copies few, and a list of any length is
+many tasks.
 
 Defined results: null texts, and texts without a word, have no shingles and are linked with
 nothing; with fewer words than four the whole sequence is the one shingle; repeated rows are
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import discard, materialise, table
+from ..session import discard, materialise, release, table
 from .bytekit import U64, buffers, inked, mix64, prefix_hash, slices, span_hash, tidy
 from .neardup import by_key
 
@@ -46,6 +49,11 @@ SHARE, PARTS = 85, 100
 FRAGMENT_BITS = 3
 FRAGMENTS = (1 << FRAGMENT_BITS) + 1
 BITS = 512
+#: The most bits of a sketch that grows with its set; and so many pairs are gathered for the closest.
+WIDE = 1 << 15
+GATHERED = 1 << 17
+#: Texts of more keys than this are joined without a filter before; a filter has 16 to 32 bits a key.
+FILTERED = 1 << 22
 #: A shingle is frequent from this share of all rows on; at most so many are broadcast (the
 #: most frequent ones; the others stay where their hash puts them, which costs time only).
 FREQUENT = 1 / 4096
@@ -117,6 +125,23 @@ def sketches(owner: np.ndarray, key: np.ndarray, texts: int) -> np.ndarray:
     return out
 
 
+def wide_sketch(key: np.ndarray) -> bytes:
+    """The parity sketch of a set in as many bits as it has shingles, a power of two to ``WIDE``."""
+    bits = min(WIDE, 1 << (len(key) - 1).bit_length())
+    odd = np.bincount((mix64(key + _STEP) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def wide_differ(a: bytes, b: bytes) -> int:
+    """Bits in which two such sketches differ, the longer folded to the shorter."""
+    x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that a task meets more than once among the leading ones by hash, and how
     often; beyond 2 * MOST_FREQUENT kept shingles the rare ones are forgotten."""
@@ -144,7 +169,7 @@ def frequent_shingles(rows: DataFrame, total: int, share: float = FREQUENT, most
     return np.sort(found.column(0).to_numpy().astype(U64))
 
 
-SIGNED = "doc_id long, same binary, sig binary, n int, sketch binary, lead array<long>"
+SIGNED = "doc_id long, same binary, sig binary, n int, sketch binary, wide binary, lead array<long>"
 
 
 def _sign(shared):
@@ -155,6 +180,7 @@ def _sign(shared):
             n = np.zeros(len(batch), np.int32)
             sig, sketch = np.zeros((len(batch), 2), U64), np.zeros((len(batch), BITS // 64), U64)
             lists: list = [[]] * len(batch)
+            wide: list = [None] * len(batch)
             for a, b in slices(offsets):
                 owner, key = shingle_sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if not len(key):
@@ -169,8 +195,10 @@ def _sign(shared):
                 lead = lead.astype(np.int64)
                 for i, text in enumerate(found.tolist()):
                     lists[a + text] = lead[edge[i] : edge[i + 1]]
+                    if size[i] > BITS:
+                        wide[a + text] = wide_sketch(key[first[i] : first[i] + size[i]])
             flat = [pa.array([row.tobytes() for row in x], pa.binary()) for x in (sig, sketch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat[0], pa.array(n), flat[1], pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "same", "sig", "n", "sketch", "lead"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat[0], pa.array(n), flat[1], pa.array(wide, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "same", "sig", "n", "sketch", "wide", "lead"])
 
     return run
 
@@ -218,6 +246,41 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x).filter(kept) for x in (a, b, na, nb)], names=["a", "b", "na", "nb"])
 
 
+def _screen_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        most = (PARTS - SHARE) * (batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy())
+        differ = np.array([wide_differ(a.as_py(), b.as_py()) for a, b in zip(batch.column("wa"), batch.column("wb"))], np.int64)
+        yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(differ * (PARTS + SHARE) <= most))
+
+
+def _among(shared):
+    """Of rows (spot, same, text), those whose spot is marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
+        for batch in batches:
+            spot = batch.column(0).to_numpy()
+            yield batch.select([1, 2]).filter(pa.array((marks[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1))
+
+    return run
+
+
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of ``wanted`` (id, same), from ``rows`` (same, text): most other texts are
+    left out by a bit for each key before any text is shuffled, the rest by the join."""
+    spark, many = rows.sparkSession, wanted.count()
+    few = rows.select("same", "text")
+    if many <= FILTERED:
+        bits = max(1 << 16, 1 << (16 * many).bit_length())
+        spot = F.pmod(F.xxhash64("same"), F.lit(bits)).cast("int").alias("spot")
+        marks = np.zeros(bits // 8, np.uint8)
+        at = wanted.select(spot).distinct().toArrow().column(0).to_numpy()
+        np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        few = few.select(spot, "same", "text").mapInArrow(_among(spark.sparkContext.broadcast(marks)), "same binary, text string")
+    one = few.groupBy("same").agg(F.first("text").alias("text"))
+    return one.join(wanted.select("id", F.col("same").alias("__same")).hint("merge"), F.col("same") == F.col("__same")).select("id", "text")
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The rows of batches sorted by ``key``, no group of a key in two tables."""
     kept: pa.Table | None = None
@@ -234,12 +297,14 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
 
 
 PAIR = "a long, b long, na int, nb int"
+MET = f"{PAIR}, p long, q long, d int"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block (group) that could join two components (part), of different sides
-    unless the block has one: every row with those after it, in the order of sizes, until
-    sizes forbid a link. All blocks of a table go on together."""
+    """Pairs of a block (group) that could join two components (part; p and q, the smaller
+    first), of different sides unless the block has one, with the bits d that they differ in:
+    every row with those after it, in the order of sizes, until sizes forbid a link. All
+    blocks of a table go on together."""
     for rows in whole_groups(batches, "group"):
         group, n, id_, part, side = (rows.column(c).to_numpy() for c in ("group", "n", "id", "part", "side"))
         n, sketch = n.astype(np.int64), _words(rows.column("sketch").combine_chunks() if isinstance(rows.column("sketch"), pa.ChunkedArray) else rows.column("sketch"))
@@ -257,7 +322,30 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(i):
                 turn = id_[i] > id_[j]
                 i, j = np.where(turn, j, i), np.where(turn, i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(id_[i]), pa.array(id_[j]), pa.array(n[i].astype(np.int32)), pa.array(n[j].astype(np.int32))], names=["a", "b", "na", "nb"])
+                p, q = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
+                d = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (id_[i], id_[j], n[i].astype(np.int32), n[j].astype(np.int32), p, q, d)], names=["a", "b", "na", "nb", "p", "q", "d"])
+
+
+def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pairs that meet, the closest of each two components; of many components, some are told twice."""
+    kept: list[pa.RecordBatch] = []
+    for batch in _meet(batches):
+        kept.append(batch)
+        if sum(map(len, kept)) > GATHERED:
+            kept = [_nearest(kept)]
+            if len(kept[0]) > GATHERED // 2:
+                yield kept.pop()
+    if kept:
+        yield _nearest(kept)
+
+
+def _nearest(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    all_ = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    a, b, p, q, d = (all_.column(c).to_numpy() for c in ("a", "b", "p", "q", "d"))
+    order = np.lexsort((b, a, d, q, p))
+    p, q = p[order], q[order]
+    return all_.take(pa.array(order[np.r_[True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])]]))
 
 
 SEGMENT = "id long, fragment int, sizes array<int>, shingles array<long>"
@@ -319,9 +407,12 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK, share: float = FREQU
     signed = materialise(rows.mapInArrow(tidy(_sign(frequent)), SIGNED), "join-signs")
 
     # one node for each set; its number holds from here on, as the table is written
-    one = [F.first(c).alias(c) for c in ("n", "sketch", "lead")]
+    one = [F.first(c).alias(c) for c in ("n", "sketch", "wide", "lead")]
     nodes = signed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("same").alias("same"), *one)
     nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "join-nodes")
+    whole_rows, signed = signed, materialise(signed.select("doc_id", "n", "sig"), "join-rows")
+    discard(whole_rows)
+    release(spark)
     count = nodes.select(F.sum(F.size("lead"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 1_000_000)
     lists = nodes.select(F.explode("lead").alias("token"), "n", "id")
@@ -329,19 +420,28 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK, share: float = FREQU
     order = ["token", F.floor(F.log("n") * 12), F.xxhash64("token", "id")]
     lists = lists.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     lists = materialise(lists.mapInArrow(_shared, "token long, n int, id long, prev long"), "join-lists")
+    whole_nodes, nodes = nodes, materialise(nodes.drop("lead"), "join-sets")
+    discard(whole_nodes)
+    release(spark)
 
     sizes = nodes.select("id", "n", "sketch")
     done: list[DataFrame] = []
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among ``pairs``; only the texts that they need are read again."""
-        pairs = materialise(pairs, "join-pairs")
+        met = materialise(pairs, "join-met")
+        long_ = F.least("na", "nb") > BITS
+        wide_a, wide_b = (nodes.where(F.col("n") > BITS).select(F.col("id").alias(f"__{c}"), F.col("wide").alias(f"w{c}")) for c in "ab")
+        wide = met.where(long_).join(wide_a, F.col("a") == F.col("__a")).join(wide_b, F.col("b") == F.col("__b"))
+        pairs = materialise(met.where(~long_).unionByName(wide.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_screen_wide, PAIR)), "join-pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-        wanted = nodes.select("id", "same", "copies").join(wanted, F.col("id") == F.col("__id"), "left_semi")
-        texts = by_key(rows.select("same", "text"), wanted, "same", "copies", total).groupBy("id").agg(F.first("text").alias("text"))
-        segments = materialise(texts.select("id", "text").mapInArrow(tidy(_cut(frequent)), SEGMENT), "join-segments")
+        wanted = materialise(nodes.select("id", "same").join(wanted, F.col("id") == F.col("__id"), "left_semi"), "join-wanted")
+        segments = materialise(texts_of(rows, wanted).mapInArrow(tidy(_cut(frequent)), SEGMENT), "join-segments")
+        discard(met, wanted)
+        release(spark)
         found = materialise(linked(pairs, segments), "join-links")
         discard(segments, pairs)
+        release(spark)
         return found
 
     # neighbours in the lists first
@@ -351,39 +451,64 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK, share: float = FREQU
     links = verified(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_screen, PAIR))
     parts_of = materialise(connected_components(links), "join-parts")
 
-    # where a list holds several components, those outside the largest with all
-    own = nodes.select("id", "sketch").join(parts_of.select(F.col("id").alias("__id"), "component"), F.col("id") == F.col("__id"), "left")
-    own = own.select(F.col("id").alias("__id"), "sketch", F.coalesce("component", "id").alias("part"))
-    members = lists.select("token", "n", "id").join(own.select("__id", "part"), F.col("id") == F.col("__id")).drop("__id")
-    split = members.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
-    split = split.agg(F.sum("k").alias("m"), F.max(F.struct("k", "part")).alias("most"), F.count(F.lit(1)).alias("__parts")).where("__parts > 1")
-    blocks = lambda rows_: F.ceil(rows_ / F.lit(block)).cast("int")
-    split = materialise(split.select("token", "m", F.col("most.part").alias("big"), blocks(F.col("most.k")).alias("bigs"), blocks(F.col("m") - F.col("most.k")).alias("outs")), "join-split")
-    apart = by_key(members, split, "token", "m", count)
-    inner = F.col("part") == F.col("big")
-    spread = F.pmod(F.xxhash64("id", F.lit(1)), F.when(inner, F.col("bigs")).otherwise(F.col("outs"))).cast("int")
-    apart = apart.withColumn("own", spread)
-    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side")))
-    outs = F.sequence(F.lit(0), F.col("outs") - 1)
-    among = F.transform(outs, lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.when(o == F.col("own"), -1).when(F.col("own") < o, 0).otherwise(1).alias("side")))
-    with_big = F.transform(F.sequence(F.lit(0), F.col("bigs") - 1), lambda o: F.struct(F.col("own").alias("i"), (-1 - o).alias("j"), F.lit(0).alias("side")))
-    from_big = F.transform(outs, lambda o: F.struct(o.alias("i"), (-1 - F.col("own")).alias("j"), F.lit(1).alias("side")))
-    at = F.when(F.col("m") <= block, whole).when(inner, from_big).otherwise(F.concat(among, with_big))
-    apart = apart.withColumn("at", F.explode(at)).select(F.xxhash64("token", "at.i", "at.j").alias("group"), "n", "id", "part", "at.side")
-    apart = apart.join(own.select("__id", "sketch"), F.col("id") == F.col("__id")).drop("__id")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = apart.repartition(tasks, "group").sortWithinPartitions("group", "n", "id").mapInArrow(_meet, PAIR).distinct()
-    more = verified(met)
+    def placed_in(parts_of: DataFrame) -> DataFrame:
+        """(__id, sketch, part) of every set; a set without links is a part by itself."""
+        own = nodes.select("id", "sketch").join(parts_of.select(F.col("id").alias("__id"), "component"), F.col("id") == F.col("__id"), "left")
+        return own.select(F.col("id").alias("__id"), "sketch", F.coalesce("component", "id").alias("part"))
+
+    def meeting(own: DataFrame) -> DataFrame:
+        """Where a list holds several components, those outside the largest with all, by blocks."""
+        members = lists.select("token", "n", "id").join(own.select("__id", "part"), F.col("id") == F.col("__id")).drop("__id")
+        split = members.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
+        split = split.agg(F.sum("k").alias("m"), F.max(F.struct("k", "part")).alias("most"), F.count(F.lit(1)).alias("__parts")).where("__parts > 1")
+        blocks = lambda rows_: F.ceil(rows_ / F.lit(block)).cast("int")
+        split = materialise(split.select("token", "m", F.col("most.part").alias("big"), blocks(F.col("most.k")).alias("bigs"), blocks(F.col("m") - F.col("most.k")).alias("outs")), "join-split")
+        apart = by_key(members, split, "token", "m", count)
+        inner = F.col("part") == F.col("big")
+        spread = F.pmod(F.xxhash64("id", F.lit(1)), F.when(inner, F.col("bigs")).otherwise(F.col("outs"))).cast("int")
+        apart = apart.withColumn("own", spread)
+        whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side")))
+        outs = F.sequence(F.lit(0), F.col("outs") - 1)
+        among = F.transform(outs, lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.when(o == F.col("own"), -1).when(F.col("own") < o, 0).otherwise(1).alias("side")))
+        with_big = F.transform(F.sequence(F.lit(0), F.col("bigs") - 1), lambda o: F.struct(F.col("own").alias("i"), (-1 - o).alias("j"), F.lit(0).alias("side")))
+        from_big = F.transform(outs, lambda o: F.struct(o.alias("i"), (-1 - F.col("own")).alias("j"), F.lit(1).alias("side")))
+        at = F.when(F.col("m") <= block, whole).when(inner, from_big).otherwise(F.concat(among, with_big))
+        apart = apart.withColumn("at", F.explode(at)).select(F.xxhash64("token", "at.i", "at.j").alias("group"), "n", "id", "part", "at.side")
+        apart = apart.join(own.select("__id", "sketch"), F.col("id") == F.col("__id")).drop("__id")
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        done.append(split)
+        return apart.repartition(tasks, "group").sortWithinPartitions("group", "n", "id")
+
+    # first the closest pair of each two components
+    closest = meeting(placed_in(parts_of)).mapInArrow(_closest, MET).groupBy("p", "q").agg(F.min(F.struct("d", "a", "b", "na", "nb")).alias("pair"))
+    closest = materialise(closest.select("pair.a", "pair.b", "pair.na", "pair.nb"), "join-closest")
+    more = verified(closest)
+    done += [closest, more]
+    if more.limit(1).count():
+        done += [parts_of, links]
+        links = materialise(links.unionByName(more), "join-links")
+        parts_of = materialise(connected_components(links), "join-parts")
+
+    # then all pairs of components that have met and are still apart
+    own = placed_in(parts_of)
+    part_a, part_b = (own.select(F.col("__id").alias(f"__{c}"), F.col("part").alias(f"p{c}")) for c in "ab")
+    apart = closest.join(part_a, F.col("a") == F.col("__a")).join(part_b, F.col("b") == F.col("__b")).where("pa <> pb")
+    apart = materialise(apart.select(F.explode(F.array("pa", "pb")).alias("__part")).distinct(), "join-apart")
+    rest = meeting(own.join(apart, F.col("part") == F.col("__part"), "left_semi")).mapInArrow(_meet, MET)
+    more = verified(rest.select("a", "b", "na", "nb").distinct())
+    done += [apart, more]
     if more.limit(1).count():
-        done.append(parts_of)
-        parts_of = materialise(connected_components(links.unionByName(more)), "join-parts")
+        done += [parts_of, links]
+        links = materialise(links.unionByName(more), "join-links")
+        parts_of = materialise(connected_components(links), "join-parts")
 
     # rows get the smallest id of their component's sets
     light = nodes.select("id", "sig", "least", "copies").join(parts_of.select(F.col("id").alias("__id"), "component"), F.col("id") == F.col("__id"), "left").drop("__id")
     light = light.withColumn("component", F.coalesce("component", "id"))
     heads = light.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("k"))
     named = materialise(by_key(light, heads, "component", "k", total).select("sig", "copies", "component_id"), "join-named")
-    discard(nodes, lists, split, links, more, parts_of, *done)
+    discard(nodes, lists, links, parts_of, *done)
+    release(spark)
     full = by_key(signed.where("n > 0").select("doc_id", "n", "sig"), named, "sig", "copies", total).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return full.unionByName(signed.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 

@@ -114,3 +114,52 @@ def test_sketches_and_leading_shingles_lose_no_link():
 def test_empty_tables(spark):
     assert found(spark.createDataFrame([], DOC)) == []
     assert found(spark.createDataFrame([(4, None, None, None, None), (None, "", None, None, None)], DOC)) == [(-1, 0, -1), (4, 0, 4)]
+
+
+def counted(monkeypatch):
+    """The numbers of pairs whose overlaps are counted, a number for each round."""
+    many = []
+    linked = joins.linked
+
+    def count(pairs, segments):
+        many.append(pairs.count())
+        return linked(pairs, segments)
+
+    monkeypatch.setattr(joins, "linked", count)
+    return many
+
+
+def test_near_copies_of_one_text_are_few_pairs(spark, monkeypatch):
+    """A group of near copies: not every set outside the largest component with each inside."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 1, 1, 2, 2])):  # 24 shingles differ of one edit and two: just no link, unless edits are near
+            own[at] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(own)))
+    many = counted(monkeypatch)
+    assert found(spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOC), share=1.0) == plain(rows)
+    assert sum(many[1:]) < len(rows) // 4
+
+
+def test_long_texts_that_share_a_passage_are_no_pairs(spark, monkeypatch):
+    """512 bits are filled by 3,000 shingles; sketches that grow with the set tell such texts apart."""
+    passage = " ".join(f"p{i}" for i in range(200))
+    rows = [(i, passage + " " + " ".join(f"d{i}w{j}" for j in range(2_800))) for i in range(12)]
+    rows += [(20, rows[0][1] + " and a few words more"), (21, rows[1][1].replace("d1w5 ", "d1w6 "))]
+    many = counted(monkeypatch)
+    assert found(spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOC), share=1.0) == plain(rows)
+    assert sum(many) <= 4
+
+
+def test_growing_sketches_lose_no_link():
+    rng = np.random.default_rng(4)
+    for n in (513, 1024, 1025, 5_000, 50_000):
+        a = rng.integers(0, 1 << 60, n).astype(np.uint64)
+        b = np.r_[a[: n - n // 15], rng.integers(0, 1 << 60, rng.integers(0, n // 15)).astype(np.uint64)]
+        differ = len(np.setxor1d(a, b))
+        got = joins.wide_differ(joins.wide_sketch(a), joins.wide_sketch(b))
+        assert got <= differ and got == joins.wide_differ(joins.wide_sketch(b), joins.wide_sketch(a))
+        assert joins.wide_differ(joins.wide_sketch(a), joins.wide_sketch(rng.integers(0, 1 << 60, n).astype(np.uint64))) * 185 > 15 * 2 * n or n > 2 * joins.WIDE // 3
