@@ -50,3 +50,30 @@ def test_odd_vectors(spark, tmp_path):
     assert [(r["qid"], r["id"], r["score"]) for r in vectorindex.search(spark, str(tmp_path / "a"), q, 2).orderBy("rank").collect()] == [("x", 1, 1.0), ("x", 8, 1.0)]
     vectorindex.build(v.limit(0), str(tmp_path / "b"), cells=2, parts=2, words=4)
     assert vectorindex.search(spark, str(tmp_path / "b"), q, 2).count() == 0
+
+
+def test_codes_and_vectors_meet_queries_in_tiles(spark, sf, tmp_path, monkeypatch):
+    """Short lists of several groups and parts are the best of the decoded vectors; no join makes pairs."""
+    for name, many in (("QUERY_GROUP", 9), ("PART_ROWS", 60), ("BLOCK", 20), ("EXACT_GROUP", 9), ("EXACT_ROWS", 100)):
+        monkeypatch.setattr(vectorindex, name, many, raising=False)
+    v, q = label_vectors(spark, sf), vector_queries(spark, sf)
+    at = vectorindex.build(v, str(tmp_path), cells=5, parts=8, words=8)
+    listed = vectorindex.short_list(spark, str(tmp_path), q, 30)
+    assert "Join" not in listed._jdf.queryExecution().optimizedPlan().toString()
+    _, book = vectorindex.load(spark, str(tmp_path))
+    kept = spark.read.parquet(f"{at}/vectors").collect()
+    stands = {r["id"]: book.centres[r["cell"]] + np.concatenate([w[c] for w, c in zip(book.words, r["code"])]) for r in kept}
+    got = {r["qid"]: set(r["ids"]) for r in listed.groupBy("qid").agg({"id": "collect_set"}).toDF("qid", "ids").collect()}
+    for r in q.collect():
+        score = {i: float(np.dot(r["vector"], x)) for i, x in stands.items()}
+        last = sorted(score.values())[-30]
+        assert len(got[r["qid"]]) == 30 and all(score[i] >= last - 2e-6 for i in got[r["qid"]])
+    assert run(vectorindex.search(spark, str(tmp_path), q, 7, short=v.count())) == run(dense.search_batch(v, q, 7).drop("run"))
+
+
+def test_recall_takes_one_short_list(spark, sf, monkeypatch):
+    from postquill.plans.registry import QUERIES
+
+    calls, made = [], vectorindex.short_list
+    monkeypatch.setattr(vectorindex, "short_list", lambda *a, **b: calls.append(1) or made(*a, **b))
+    assert QUERIES["ann_recall"](spark, sf).count() == 1 and len(calls) == 1
