@@ -15,6 +15,9 @@ a row must reach: a stripe stays whose bound reaches that of some question, and
 are put together and scored, in tiles again. The others cannot enter a run and are not read.
 No table holds pairs of a question and a block or a document.
 
+So many questions at once that every stripe is open to some of them have nothing from bounds:
+``scan`` reads each living row once, with the words that are asked for, and scores it in tiles.
+
 A manifest that is replaced as a whole names what is in force, so a reader sees a change
 entirely or not at all, and a writer that dies leaves files that nobody reads.
 
@@ -45,6 +48,10 @@ STRIPE = 16
 FIRST = 32
 #: Up to this many keys are pushed to a scan as a filter, more are joined.
 PUSHED = 1000
+#: Words that a task puts into blocks, about, and postings that it holds at a time.
+PACKED, HELD = 1_500_000, 4_000_000
+#: Up to this many asked words are known to the tasks that read documents; beyond, all words travel.
+KNOWN = 500_000
 _SLACK = 2e-6
 
 MANIFEST = "kind string, name string, n long, dl long"
@@ -73,14 +80,59 @@ def _state(spark: SparkSession, root: str) -> tuple[list, list[str], DataFrame]:
     return rows, live, dead.where(F.col("in_segment").isin(live) if live else F.lit(False))
 
 
-def _striped(docs: DataFrame, stripe: int) -> DataFrame:
-    """docs with a stripe: lengths of a class of an eighth of an octave, dealt by the hash of the id."""
-    band = F.floor(F.log2(F.col("dl") + F.lit(1.0)) * 8).cast("long")
-    sizes = docs.groupBy(band.alias("__band")).agg(F.ceil(F.count(F.lit(1)) / F.lit(stripe)).alias("__many"))
-    first = F.coalesce(F.sum("__many").over(Window.partitionBy(F.lit(1)).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("__first", first)  # a row for each class of lengths, of which there are a few hundred
-    placed = docs.withColumn("__band", band).join(F.broadcast(sizes), "__band")
-    return placed.withColumn("stripe", (F.col("__first") + F.pmod(F.xxhash64("id"), F.col("__many"))).cast("long")).drop("__band", "__first", "__many")
+def _band() -> Column:
+    return F.floor(F.log2(F.col("dl") + F.lit(1.0)) * 8).cast("long")
+
+
+def _striped(docs: DataFrame, sizes: list) -> DataFrame:
+    """docs with a stripe: lengths of a class of an eighth of an octave, dealt by the hash of the
+    id. Stripes go in order to parts of like length. ``sizes`` are (class, first stripe, stripes,
+    words before, words)."""
+    known = docs.sparkSession.createDataFrame(sizes, "__band long, __first long, __many long, __before long, __words long")  # a row for each class of lengths, of which there are a few hundred
+    placed = docs.withColumn("__band", _band()).join(F.broadcast(known), "__band")
+    nth = F.pmod(F.xxhash64("id"), F.col("__many"))
+    part = F.floor((F.col("__before") + F.col("__words") * (nth / F.col("__many"))) / F.lit(PACKED)).cast("int")
+    return placed.select("id", "dl", "terms", "tfs", (F.col("__first") + nth).cast("long").alias("stripe"), part.alias("part"))
+
+
+_WORD = np.zeros(256, bool)
+_WORD[np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_", np.uint8)] = True
+
+
+def _worded(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """``lexical.terms`` of lowered texts, stop words among them: (row, word), text by text."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    word = _WORD[data]
+    before, after = np.r_[False, word[:-1]], np.r_[word[1:], False]
+    before[ends[:-1][ends[:-1] < len(data)]] = False  # no word goes on into the next text
+    after[ends[1:][ends[1:] > 0] - 1] = False
+    begin, end = np.flatnonzero(word & ~before[: len(word)]), np.flatnonzero(word & ~after[: len(word)]) + 1
+    size = end - begin
+    word[begin[size < 2]] = False
+    begin, size = begin[size > 1], size[size > 1]
+    row = np.searchsorted(ends, begin, "right") - 1
+    return row, pa.StringArray.from_buffers(len(size), pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(data[word].tobytes()))
+
+
+def _read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, dl, terms, tfs) from (id, lowered text)."""
+    for batch in batches:
+        row, words = _worded(batch.column(1))
+        words = words.dictionary_encode()
+        here = words.indices.to_numpy(zero_copy_only=False)
+        kept = ~pc.is_in(words.dictionary, value_set=pa.array(lexical.STOPWORDS)).to_numpy(zero_copy_only=False)[here] if len(here) else np.zeros(0, bool)
+        yield _rows(batch.column(0), row[kept], here[kept], words.dictionary)
+
+
+def _rows(ids: pa.Array, row: np.ndarray, word: np.ndarray, dictionary: pa.Array) -> pa.RecordBatch:
+    size, many = np.bincount(row, minlength=len(ids)), max(len(dictionary), 1)
+    cell, tf = np.unique(row * many + word, return_counts=True)
+    row, term = np.divmod(cell, many)
+    ends = pa.array(np.searchsorted(row, np.arange(len(ids) + 1)).astype(np.int32))
+    terms, tfs = pa.ListArray.from_arrays(ends, dictionary.take(pa.array(term))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([ids, pa.array(size.astype(np.int32)), terms, tfs], names=["id", "dl", "terms", "tfs"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,28 +142,77 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = pc.list_value_length(lists).to_numpy()
         words = lists.flatten().dictionary_encode()
         row = np.repeat(np.arange(len(batch)), size)
-        many = max(len(words.dictionary), 1)
-        cell, tf = np.unique(row * many + words.indices.to_numpy(), return_counts=True)
-        row, term = np.divmod(cell, many)
-        ends = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32))
-        terms, tfs = pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(term))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int32)), terms, tfs], names=["id", "dl", "terms", "tfs"])
+        yield _rows(batch.column(0), row, words.indices.to_numpy(), words.dictionary)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (term, stripe, n, tf_max, dl_min, items) by term and stripe, from (id, dl, terms, tfs,
+    stripe) by stripe and id. About ``HELD`` postings are held at a time; a stripe is never cut."""
+    held, many = [], 0
+    for batch in batches:
+        for a in range(0, len(batch), 1024):
+            some = batch.slice(a, 1024)
+            held.append(some)
+            many += pc.sum(pc.list_value_length(some.column(2))).as_py() or 0
+            if many >= HELD:
+                whole = pa.Table.from_batches(held)
+                stripe = whole.column(4).to_numpy()
+                cut = int(np.searchsorted(stripe, stripe[-1]))
+                yield from _blocks(whole.slice(0, cut))
+                held = whole.slice(cut).to_batches()
+                many = sum(pc.sum(pc.list_value_length(x.column(2))).as_py() or 0 for x in held)
+    if held:
+        yield from _blocks(pa.Table.from_batches(held))
+
+
+def _blocks(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    rows = rows.combine_chunks()
+    if not len(rows):
+        return
+    ids, dl, terms, tfs, stripe = (rows.column(i).combine_chunks() for i in range(5))
+    row = np.repeat(np.arange(len(rows)), pc.list_value_length(terms).to_numpy())
+    if not len(row):
+        return
+    words = terms.flatten().dictionary_encode()
+    order = pc.sort_indices(words.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    stripe = stripe.to_numpy()
+    first, wide = stripe[0], stripe[-1] - stripe[0] + 1
+    key = place[words.indices.to_numpy()] * wide + stripe[row] - first
+    by = np.argsort(key, kind="stable")  # rows of a stripe stay in order of their ids
+    key, row = key[by], row[by]
+    tf, dl = tfs.flatten().to_numpy()[by], dl.to_numpy()[row]
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    n = np.diff(np.r_[begin, len(key)])
+    term, at = np.divmod(key[begin], wide)
+    tf_max, dl_min = np.maximum.reduceat(tf, begin), np.minimum.reduceat(dl, begin)
+    begin = np.r_[begin, len(key)]
+    for a in range(0, len(n), 65536):
+        b = min(a + 65536, len(n))
+        x, y = begin[a], begin[b]
+        items = pa.StructArray.from_arrays([ids.take(pa.array(row[x:y])), pa.array(tf[x:y]), pa.array(dl[x:y])], names=["id", "tf", "dl"])
+        yield pa.RecordBatch.from_arrays([
+            words.dictionary.take(pa.array(order[term[a:b]])), pa.array(at[a:b] + first), pa.array(n[a:b].astype(np.int32)), pa.array(tf_max[a:b]), pa.array(dl_min[a:b]),
+            pa.ListArray.from_arrays(pa.array((begin[a : b + 1] - x).astype(np.int32)), items),
+        ], names=["term", "stripe", "n", "tf_max", "dl_min", "items"])
 
 
 def _write(docs: DataFrame, root: str, stripe: int) -> tuple[str, int, int]:
-    """A segment from docs (id, dl, terms, tfs); its name, rows and length. Postings are dealt
-    by range once and gathered there."""
+    """A segment from docs (id, dl, terms, tfs); its name, rows and length. Documents are dealt
+    by stripe; a file of postings has all blocks of its stripes, by term."""
     name = uuid.uuid4().hex
     docs.write.option("compression", "zstd").parquet(f"{root}/docs/segment={name}")
     kept = docs.sparkSession.read.schema("id string, dl int, terms array<string>, tfs array<int>").parquet(f"{root}/docs/segment={name}")
-    pair = F.explode(F.arrays_zip("terms", "tfs")).alias("p")
-    placed = _striped(kept, stripe).select("id", "dl", "stripe", pair).select(F.col("p.terms").alias("term"), "stripe", "id", F.col("p.tfs").alias("tf"), "dl")
-    blocks = placed.repartitionByRange("term", "stripe").sortWithinPartitions("term", "stripe").groupBy("term", "stripe").agg(
-        F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("tf_max"), F.min("dl").alias("dl_min"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("items"),
-    )  # a block has at most about a stripe's rows
-    blocks.sortWithinPartitions("term", "stripe").write.option("compression", "zstd").parquet(f"{root}/postings/segment={name}")
-    n, dl = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    return name, n, dl
+    sizes, first, words = [], 0, 0
+    lengths = kept.groupBy(_band().alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).orderBy("band").collect()  # a few hundred
+    for r in lengths:
+        sizes.append((r["band"], first, -(-r["n"] // stripe), words, r["dl"]))
+        first, words = first + sizes[-1][2], words + r["dl"]
+    if sizes:
+        placed = _striped(kept, sizes).repartitionById(words // PACKED + 1, F.col("part")).sortWithinPartitions("stripe", "id")
+        placed.drop("part").mapInArrow(_packed, "term string, stripe long, n int, tf_max int, dl_min int, items array<struct<id: string, tf: int, dl: int>>").write.option("compression", "zstd").parquet(f"{root}/postings/segment={name}")
+    return name, sum(r["n"] for r in lengths), words
 
 
 def apply(changes: DataFrame, root: str, fan: int = FAN, stripe: int = STRIPE, tokens: Callable[[Column], Column] = lexical.terms) -> None:
@@ -119,12 +220,17 @@ def apply(changes: DataFrame, root: str, fan: int = FAN, stripe: int = STRIPE, t
     those that are ``gone``."""
     spark = changes.sparkSession
     rows, live, dead = _state(spark, root)
-    kept = changes.groupBy(F.col("id").cast("string").alias("id")).agg(F.max(F.struct(F.coalesce("gone", F.lit(False)).alias("gone"), F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
-    kept = materialise(kept.select("id", "last.*"), "segment-change")
-    texts = kept.where("not gone").select("id", tokens(F.col("text")).alias("tokens"))
+    kept = materialise(changes.select(F.col("id").cast("string").alias("id"), F.coalesce("gone", F.lit(False)).alias("gone"), F.coalesce("text", F.lit("")).alias("text")), "segment-change")
+    once, twice = lexical._by_id(kept)  # texts stay where they are, except those of ids that are there twice
+    last = twice.groupBy("id").agg(F.max(F.struct("gone", "text")).alias("last")).select("id", "last.*")
+    texts = once.unionByName(last).where("not gone")
     new = []
     if not texts.isEmpty():
-        name, n, dl = _write(texts.mapInArrow(_counted, "id string, dl int, terms array<string>, tfs array<int>"), root, stripe)
+        if tokens is lexical.terms:
+            counted = texts.select("id", F.lower("text").alias("text")).mapInArrow(_read_words, "id string, dl int, terms array<string>, tfs array<int>")
+        else:
+            counted = texts.select("id", tokens(F.col("text")).alias("tokens")).mapInArrow(_counted, "id string, dl int, terms array<string>, tfs array<int>")
+        name, n, dl = _write(counted, root, stripe)
         new.append(("segment", name, n, dl))
     if live:
         docs = _read(spark, root, "docs", DOCS, "segment", live)
@@ -169,24 +275,86 @@ def merge(spark: SparkSession, root: str, fan: int = FAN, stripe: int = STRIPE)
     return True
 
 
-def search(spark: SparkSession, root: str, queries: DataFrame, k: int = 100, k1: float = lexical.K1, b: float = lexical.B, first: int = FIRST, tokens: Callable[[Column], Column] = lexical.terms) -> tuple[DataFrame, DataFrame]:
-    """The run of ``lexical.bm25(..., keep_zero=False)`` over the living rows, and (qid,
-    rows_read, rows_all): postings read for a query, and all of its terms."""
-    rows, live, dead = _state(spark, root)
-    asked = materialise(lexical.asked_terms(queries, tokens), "segment-asked")
+def _asked_postings(spark: SparkSession, root: str, live: list[str], asked: DataFrame) -> DataFrame:
     postings = _read(spark, root, "postings", POSTINGS, "segment", live)
     words = [r["term"] for r in asked.select("term").distinct().limit(PUSHED + 1).collect()]
     if len(words) <= PUSHED:
-        postings = postings.where(F.col("term").isin(words))
-    else:
-        postings = postings.join(asked.select("term").distinct(), "term", "left_semi")
+        return postings.where(F.col("term").isin(words))
+    return postings.join(asked.select("term").distinct(), "term", "left_semi")
+
+
+def _totals(rows: list, dead: DataFrame) -> tuple:
+    """Rows and length of the dead; number and mean length of the living."""
     gone = dead.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
     n = sum(r["n"] for r in rows if r["kind"] == "segment") - gone["n"]
-    avgdl = (sum(r["dl"] for r in rows if r["kind"] == "segment") - gone["dl"]) / max(n, 1)
+    return gone, n, (sum(r["dl"] for r in rows if r["kind"] == "segment") - gone["dl"]) / max(n, 1)
+
+
+def _living_df(heads: DataFrame, dead: DataFrame, asked: DataFrame) -> DataFrame:
+    lost = dead.select(F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("lost"))
+    return heads.groupBy("term").agg(F.sum("n").alias("df")).join(lost, "term", "left").select("term", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df")).where("df > 0")
+
+
+def _weight(asked: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    return asked.join(df, "term").select("qid", "term", "qtf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
+def _told(weight: DataFrame) -> DataFrame:
+    return weight.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("w")))).alias("s"))
+
+
+def _shares(known, norm: Callable[[np.ndarray], np.ndarray]):
+    """(segment, id, words, values): the words of a row that are known, all without ``known``, and
+    what each adds to a score for a weight of 1; rows without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = None if known is None else pa.array(known.value)
+        for batch in batches:
+            lists = batch.column(3)
+            row = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy())
+            words, tf = lists.flatten(), batch.column(4).flatten().to_numpy().astype(np.float64)
+            if asked is not None:
+                at = np.flatnonzero(pc.is_in(words, value_set=asked).to_numpy(zero_copy_only=False))
+                row, words, tf = row[at], words.take(pa.array(at)), tf[at]
+            value = tf / (tf + norm(batch.column(2).to_numpy().astype(np.float64))[row])
+            there, begin = np.unique(row, return_index=True)
+            ends = pa.array(np.r_[begin, len(row)].astype(np.int32))
+            joined = pc.binary_join(pa.ListArray.from_arrays(ends, words), lexical._SEP)
+            there = pa.array(there)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(there), batch.column(1).take(there), joined, pa.ListArray.from_arrays(ends, pa.array(value))], names=["segment", "id", "words", "values"])
+
+    return run
+
+
+def scan(spark: SparkSession, root: str, queries: DataFrame, k: int = 100, k1: float = lexical.K1, b: float = lexical.B, tokens: Callable[[Column], Column] = lexical.terms) -> DataFrame:
+    """The run of ``search`` without bounds: each living row is read once and scored for all questions."""
+    rows, live, dead = _state(spark, root)
+    asked = materialise(lexical.asked_terms(queries, tokens), "segment-asked")
+    gone, n, avgdl = _totals(rows, dead)
+    df = _living_df(_asked_postings(spark, root, live, asked).select("term", "n"), dead, asked)
+    told = materialise(_told(_weight(asked, df, n)), "segment-asked-weights")
+    words = [r["term"] for r in asked.select("term").distinct().limit(KNOWN + 1).collect()]
+    known = spark.sparkContext.broadcast(words) if len(words) <= KNOWN else None
+    docs = _read(spark, root, "docs", DOCS, "segment", live).select("segment", "id", "dl", "terms", "tfs")
+    per = k1 * b / max(avgdl, 1e-9)
+    held = docs.mapInArrow(_shares(known, lambda dl: k1 * (1 - b) + per * dl), "segment string, id string, words string, values array<double>")
+    if gone["n"]:
+        held = held.join(dead.select(F.col("in_segment").alias("segment"), "id"), ["segment", "id"], "left_anti")
+    shape = lambda rows, key, *of: rows.select(key, F.lit(0).alias("size"), *of)
+    found = tiles.search(shape(held, "id", "words", "values"), max(n, 0), shape(told, "qid", F.array_join("s.term", lexical._SEP).alias("words"), F.col("s.w").alias("values")), told.count(), k, _lifted, lexical.PART_ROWS, lexical.QUERY_GROUP, floor=0.0)
+    return lexical.ranked(found, k, "bm25")
+
+
+def search(spark: SparkSession, root: str, queries: DataFrame, k: int = 100, k1: float = lexical.K1, b: float = lexical.B, first: int = FIRST, tokens: Callable[[Column], Column] = lexical.terms) -> tuple[DataFrame, DataFrame]:
+    """The run of ``lexical.bm25(..., keep_zero=False)`` over the living rows, and (qid,
+    rows_read, rows_all): postings read for a query, and all of its terms."""
+    rows, live, dead = _state(spark, root)
+    asked = materialise(lexical.asked_terms(queries, tokens), "segment-asked")
+    postings = _asked_postings(spark, root, live, asked)
+    gone, n, avgdl = _totals(rows, dead)
     heads = materialise(postings.select("segment", "term", "stripe", "n", "tf_max", "dl_min"), "segment-heads")
-    lost = dead.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("lost"))
-    df = heads.groupBy("term").agg(F.sum("n").alias("df")).join(lost, "term", "left").select("term", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df")).where("df > 0")
-    weight = asked.join(df, "term").select("qid", "term", "qtf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    df = _living_df(heads, dead, asked)
+    weight = _weight(asked, df, n)
     weight = materialise(weight, "segment-weights")
     share = lambda tf, dl: F.col(tf) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / F.lit(max(avgdl, 1e-9))))
     of = F.concat_ws(":", "segment", F.col("stripe").cast("string"))
@@ -194,8 +362,7 @@ def search(spark: SparkSession, root: str, queries: DataFrame, k: int = 100, k1:
     lifts = F.sort_array(F.collect_list(F.struct("term", share("tf_max", "dl_min").alias("most"), "n")))
     stripes = materialise(heads.join(df.select("term"), "term", "left_semi").groupBy(of.alias("id")).agg(lifts.alias("s")), "segment-stripes")
     many = stripes.count()
-    told = weight.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("w")))).alias("s"))
-    told = materialise(told, "segment-asked-weights")
+    told = materialise(_told(weight), "segment-asked-weights")
     n_asked = told.count()
 
     def shaped(rows: DataFrame, key: str, *values: Column) -> DataFrame:

@@ -38,7 +38,7 @@ def segmented_search(spark: SparkSession, sf: str) -> DataFrame:
     )
     for batch in batches:
         segments.apply(batch.select("id", "text", "gone"), root, fan=2)
-    return segments.search(spark, root, _questions(spark, sf), DEPTH)[0].drop("run")
+    return segments.scan(spark, root, _questions(spark, sf), DEPTH).drop("run")
 
 
 def _block_max(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

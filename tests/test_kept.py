@@ -209,3 +209,58 @@ def test_progress_rows(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert sum(r["rows"] for r in seen) == 3 and listener.table(spark).count() == len(seen) >= 3
+
+
+def test_words_of_a_text_are_those_of_the_expression(spark, tmp_path):
+    """Odd letters, digits, lone letters, stop words, empty texts beside others; ids that are there twice, one null."""
+    import pyarrow as pa
+
+    texts = ["The red_1 É ÉCOLE x y2", "", "a", "İstanbul ΣΑΣ K9 K", "of the", "end", "start_", "_", "9 99 the99", " lead trail ", "tab\tnew\nline--dash", "ß"] * 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    want = {r["id"]: r["t"] for r in rows.select("id", lexical.terms(F.col("text")).alias("t")).collect()}
+    low = rows.select(F.col("id").cast("string"), F.lower("text").alias("text")).orderBy("id").toArrow().combine_chunks().to_batches()[0]
+    for batch in (low, low.slice(3, 7), low.slice(1, 1)):
+        got = [r for b in segments._read_words(iter([batch])) for r in b.to_pylist()]
+        assert [r["id"] for r in got] == batch.column(0).to_pylist()
+        for r in got:
+            assert dict(zip(r["terms"], r["tfs"])) == {w: want[int(r["id"])].count(w) for w in want[int(r["id"])]} and r["dl"] == len(want[int(r["id"])])
+    assert segments._worded(pa.array([], pa.string()))[0].size == 0
+    changes = [("1", "red cat", False), ("1", "red dog", False), ("2", "cat", False), ("2", "zoo", True), (None, "owl", False), (None, "owl cat", False)]
+    segments.apply(spark.createDataFrame(changes, "id string, text string, gone boolean"), str(tmp_path))
+    docs = {r["id"]: sorted(r["terms"]) for r in spark.read.parquet(f"{tmp_path}/docs").collect()}
+    assert docs == {"1": ["dog", "red"], None: ["cat", "owl"]}
+
+
+def test_blocks_are_whole_however_many_postings_are_held(monkeypatch):
+    import pyarrow as pa
+
+    rows = [(f"{s}{i}", 3 + i, ["red", f"w{s}", "cat"][: 1 + i], [1 + i, 2, 1][: 1 + i], s) for s in range(6) for i in range(3)] + [("6", 0, [], [], 6)]
+    cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64()))]
+    batch = pa.RecordBatch.from_arrays(cols, names=["id", "dl", "terms", "tfs", "stripe"])
+    want = {}
+    for i, dl, terms, tfs, s in rows:
+        for t, tf in zip(terms, tfs):
+            want.setdefault((t, s), []).append({"id": i, "tf": tf, "dl": dl})
+    for held in (1, 13, 1000):
+        monkeypatch.setattr(segments, "HELD", held)
+        got = [r for b in segments._packed(batch.slice(a, 1) for a in range(len(batch))) for r in b.to_pylist()]
+        assert len(got) == len(want) and {(r["term"], r["stripe"]): r["items"] for r in got} == want
+        assert all((r["n"], r["tf_max"], r["dl_min"]) == (len(r["items"]), max(x["tf"] for x in r["items"]), min(x["dl"] for x in r["items"])) for r in got)
+    assert [(r["term"], r["stripe"]) for r in got] == sorted(want)
+
+
+def test_a_scan_is_the_search(spark, tmp_path, monkeypatch):
+    """Living rows alone, with words that the tasks know and with all of them, in segments of several parts."""
+    monkeypatch.setattr(segments, "PACKED", 40)
+    root, now = str(tmp_path), {str(i): f"red w{i % 7} " + "cat " * (i % 5) for i in range(90)}
+    segments.apply(spark.createDataFrame([(i, t, False) for i, t in now.items()], "id string, text string, gone boolean"), root, fan=2)
+    segments.apply(spark.createDataFrame([("3", "red red", False), ("4", None, True), ("new", "w1 cat", False)], "id string, text string, gone boolean"), root, fan=2)
+    now |= {"3": "red red", "new": "w1 cat"}
+    del now["4"]
+    asked = spark.createDataFrame([(1, "red cat"), (2, "w1 w1 cat"), (3, "none"), (4, None)], "qid int, query string")
+    want = run(lexical.bm25(spark.createDataFrame(list(now.items()), "id string, text string"), asked, 6, keep_zero=False))
+    assert run(segments.search(spark, root, asked, 6)[0]) == want
+    for known in (0, 100):
+        monkeypatch.setattr(segments, "KNOWN", known)
+        assert run(segments.scan(spark, root, asked, 6)) == want
+    assert segments.scan(spark, f"{root}/none", asked, 6).count() == 0
