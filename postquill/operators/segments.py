@@ -3,7 +3,8 @@
 A change writes a segment of the new texts and tombstones for the rows that it replaces or
 removes; nothing that was written is rewritten, so the work follows the change. Segments of
 like size are merged once there are ``fan`` of them, without their dead rows, so a row is
-written again about as often as the logarithm of the index. Document frequencies and lengths
+written again about as often as the logarithm of the index. A new one that would be merged at
+once takes the others in as it is written. Document frequencies and lengths
 are those of the living: counts of all segments less those of the tombstones, joined at search.
 
 Postings lie in blocks, one for a term and a stripe of documents; the documents of a stripe
@@ -224,19 +225,25 @@ def apply(changes: DataFrame, root: str, fan: int = FAN, stripe: int = STRIPE, t
     once, twice = lexical._by_id(kept)  # texts stay where they are, except those of ids that are there twice
     last = twice.groupBy("id").agg(F.max(F.struct("gone", "text")).alias("last")).select("id", "last.*")
     texts = once.unionByName(last).where("not gone")
-    new = []
-    if not texts.isEmpty():
+    n_new, new, held, absorbed = texts.count(), [], None, []
+    docs = _read(spark, root, "docs", DOCS, "segment", live)
+    out = dead.select(F.col("in_segment").alias("segment"), "id")
+    if live:
+        held = docs.select("segment", "id").join(kept.select("id"), "id", "left_semi")  # ids alone are read of all
+        held = materialise(held.join(out, ["segment", "id"], "left_anti"), "segment-held")
+        absorbed = _absorbed(rows, n_new, out.unionByName(held), fan) if n_new else []
+    if n_new:
         if tokens is lexical.terms:
             counted = texts.select("id", F.lower("text").alias("text")).mapInArrow(_read_words, "id string, dl int, terms array<string>, tfs array<int>")
         else:
             counted = texts.select("id", tokens(F.col("text")).alias("tokens")).mapInArrow(_counted, "id string, dl int, terms array<string>, tfs array<int>")
+        if absorbed:
+            old = docs.where(F.col("segment").isin(absorbed)).join(out.unionByName(held), ["segment", "id"], "left_anti")
+            counted = counted.unionByName(old.select("id", "dl", "terms", "tfs"))
         name, n, dl = _write(counted, root, stripe)
         new.append(("segment", name, n, dl))
     if live:
-        docs = _read(spark, root, "docs", DOCS, "segment", live)
-        ids = kept.select("id")
-        held = docs.select("segment", "id").join(ids, "id", "left_semi")  # ids alone are read of all
-        held = materialise(held.join(dead.select(F.col("in_segment").alias("segment"), "id"), ["segment", "id"], "left_anti"), "segment-held")
+        held = held.where(~F.col("segment").isin(absorbed)) if absorbed else held
         some = [r["id"] for r in held.select("id").limit(PUSHED + 1).collect()]
         if some:
             there = docs.where(F.col("id").isin(some)) if len(some) <= PUSHED else docs
@@ -244,11 +251,32 @@ def apply(changes: DataFrame, root: str, fan: int = FAN, stripe: int = STRIPE, t
             batch = uuid.uuid4().hex
             gone.write.option("compression", "zstd").parquet(f"{root}/dead/batch={batch}")
             new.append(("dead", batch, len(some) if len(some) <= PUSHED else held.count(), 0))
-    _publish(spark, root, [tuple(r) for r in rows] + new)
+    _publish(spark, root, _without(rows, dead, absorbed) + new)
     while merge(spark, root, fan, stripe):
         pass
 
 
+def _absorbed(rows: list, n_new: int, gone: DataFrame, fan: int) -> list[str]:
+    """Segments that would be merged with a new one of ``n_new`` rows as soon as it is there."""
+    lost = {r["segment"]: r["count"] for r in gone.groupBy("segment").count().collect()}  # a row a segment
+    left, found = [r for r in rows if r["kind"] == "segment"], []
+    while True:
+        same = [r for r in left if _tier(r["n"], fan) == _tier(n_new, fan)]
+        if not same or len(same) + 1 < fan:
+            return found
+        found += [r["name"] for r in same]
+        left = [r for r in left if r["name"] not in found]
+        n_new += sum(r["n"] - lost.get(r["name"], 0) for r in same)
+
+
+def _without(rows: list, dead: DataFrame, full: list[str]) -> list[tuple]:
+    """What stays in force without the segments ``full``: others, and tombstones that name them."""
+    if not full:
+        return [tuple(r) for r in rows]
+    here = {r[0] for r in dead.where(~F.col("in_segment").isin(full)).select("batch").distinct().collect()}  # batches are at most as many as changes
+    return [tuple(r) for r in rows if r["name"] not in full and (r["kind"] == "segment" or r["name"] in here)]
+
+
 def _tier(n: int, fan: int) -> int:
     tier = 0
     while n >= fan:
@@ -269,9 +297,7 @@ def merge(spark: SparkSession, root: str, fan: int = FAN, stripe: int = STRIPE)
     gone = dead.select(F.col("in_segment").alias("segment"), "id")
     docs = _read(spark, root, "docs", DOCS, "segment", full).join(gone, ["segment", "id"], "left_anti")
     name, n, dl = _write(docs.select("id", "dl", "terms", "tfs"), root, stripe)
-    left = [tuple(r) for r in rows if r["name"] not in full] + ([("segment", name, n, dl)] if n else [])
-    here = {r[0] for r in dead.where(~F.col("in_segment").isin(full)).select("batch").distinct().collect()}  # batches are at most as many as changes
-    _publish(spark, root, [r for r in left if r[0] == "segment" or r[1] in here])
+    _publish(spark, root, _without(rows, dead, full) + ([("segment", name, n, dl)] if n else []))
     return True
 
 

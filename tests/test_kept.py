@@ -264,3 +264,16 @@ def test_a_scan_is_the_search(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(segments, "KNOWN", known)
         assert run(segments.scan(spark, root, asked, 6)) == want
     assert segments.scan(spark, f"{root}/none", asked, 6).count() == 0
+
+
+def test_what_would_be_merged_at_once_is_written_once(spark, tmp_path):
+    """The second of two like batches takes the first in: two segments are written, not three; rows replaced or removed by it are gone."""
+    root = str(tmp_path)
+    batch = lambda a, b, *more: spark.createDataFrame([(str(i), f"red w{i % 3}", False) for i in range(a, b)] + list(more), "id string, text string, gone boolean")
+    segments.apply(batch(0, 40), root, fan=2)
+    segments.apply(batch(40, 78, ("3", "blue", False), ("4", None, True)), root, fan=2)
+    assert len(list(tmp_path.glob("postings/segment=*"))) == len(list(tmp_path.glob("docs/segment=*"))) == 2
+    assert [(r["kind"], r["n"]) for r in segments._manifest(spark, root)] == [("segment", 77)]
+    asked = spark.createDataFrame([(1, "blue red"), (2, "w1")], "qid int, query string")
+    now = {str(i): f"red w{i % 3}" for i in range(78) if i != 4} | {"3": "blue"}
+    assert run(segments.scan(spark, root, asked, 90)) == run(lexical.bm25(spark.createDataFrame(list(now.items()), "id string, text string"), asked, 90, keep_zero=False))
